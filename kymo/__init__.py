@@ -1,0 +1 @@
+"""Analytics over recordings on Spark."""
