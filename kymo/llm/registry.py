@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, simhash, tokens
+from . import decontaminate, exact, packing, simhash, tokens, warc
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op4_exact_fingerprint": exact.op4_exact_fingerprint,
         "op5_pack": packing.op5_pack,
         "op6_simhash": simhash.op6_simhash,
+        "op7_warc": warc.op7_warc,
         "op9_token_counts": tokens.op9_token_counts,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontaminate": decontaminate.OP1_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op7_warc": warc.OP7_SQL}
