@@ -52,15 +52,15 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(id, ``fp``): the fingerprint as a signed long."""
+    """(id, ``row``, ``fp``): a hash of id and text, and the fingerprint as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, words, seed) for t in byte_values(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=[id_col, "fp"])
+            fps = np.array([fingerprint(t, words, seed) for t in byte_values(b.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=[id_col, "row", "fp"])
 
-    return docs.select(F.col(id_col), utf8(text_col).alias("bytes")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(F.col(id_col), F.xxhash64(id_col, text_col).alias("row"), utf8(text_col).alias("bytes")).mapInArrow(run, f"`{id_col}` {kind}, row long, fp long")
 
 
 def _linked(limit: int):
@@ -101,16 +101,27 @@ def tables(classes: DataFrame, limit: int = BITS) -> DataFrame:
     return classes.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"), "fp")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, limit: int = BITS, seed: int = SEED) -> DataFrame:
-    """Per document: id, ``fp``, ``component_id`` (the smallest id that links reach, its own included)."""
-    prints = written(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
+def grouped(prints: DataFrame, id_col: str, limit: int = BITS) -> DataFrame:
+    """(``fp``, ``label``, ``component_id``) of every fingerprint: its component, and the smallest id in it. Written."""
     classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
     linked = components(links_in_groups(tables(classes.select("fp"), limit), ["t", "key"], "fp", ["fp"], _linked(limit)))
-    named = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = written(named, "named")
+    named = written(classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "named")
     ids = written(named.groupBy("label").agg(F.min("least").alias("component_id")), "ids")
-    by_print = written(named.join(ids, "label").select("fp", "component_id"), "by_print")
-    return prints.join(by_print, "fp").select(id_col, "fp", "component_id")
+    return written(named.join(ids, "label").select("fp", "label", "component_id"), "by_print")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, limit: int = BITS, seed: int = SEED) -> DataFrame:
+    """Per document: id, ``fp``, ``component_id`` (the smallest id that links reach, its own included)."""
+    prints = written(fingerprints(docs, id_col, text_col, words, seed).drop("row"), "fingerprints")
+    return prints.join(grouped(prints, id_col, limit), "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, limit: int = BITS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id (a null is smallest)."""
+    prints = written(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
+    first = prints.join(grouped(prints, id_col, limit), "fp").groupBy("label").agg(F.min(F.struct(id_col, "row")).alias("first"))
+    kept = written(first.select(F.col("first.row").alias("_row")).distinct(), "kept")
+    return docs.withColumn("_row", F.xxhash64(id_col, text_col)).join(kept, "_row", "left_semi").dropDuplicates(["_row", id_col]).select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
