@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import ledger, plan, screen, transcript
+from . import evaluation, folds, frames, ledger, plan, screen, terms, transcript
 
-_MODULES = (transcript, ledger, screen, plan)
+_MODULES = (transcript, ledger, screen, plan, terms, frames, evaluation)
 
 
 def queries() -> dict:
-    return {q.name: q for m in _MODULES for q in m.QUERIES}
+    return {q.name: q for m in _MODULES for q in m.QUERIES} | folds.queries()
 
 
 def oracle_sql() -> dict[str, str]:
