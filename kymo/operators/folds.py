@@ -299,15 +299,21 @@ def fold_misreadings(ratio: float = 0.8) -> Callable[[Rows], Iterator[tuple]]:
     from difflib import SequenceMatcher
 
     def step(rows: Rows) -> Iterator[tuple]:
-        kept: list[list] = []
+        kept: dict[str, list[list]] = {}
+        same = SequenceMatcher(autojunk=False)
         for r in rows:
-            for k in kept:
-                if r["term"][:2] == k[0][:2] and 2 * min(len(r["term"]), len(k[0])) >= ratio * (len(r["term"]) + len(k[0])) and SequenceMatcher(None, k[0], r["term"], autojunk=False).ratio() >= ratio:
+            group = kept.setdefault(r["term"][:2], [])
+            same.set_seq2(r["term"])
+            for k in group:
+                if 2 * min(len(r["term"]), len(k[0])) < ratio * (len(r["term"]) + len(k[0])):
+                    continue
+                same.set_seq1(k[0])
+                if same.quick_ratio() >= ratio and same.ratio() >= ratio:
                     k[1] += r["n"]
                     break
             else:
-                kept.append([r["term"], r["n"]])
-        yield from map(tuple, kept)
+                group.append([r["term"], r["n"]])
+        yield from (tuple(k) for group in kept.values() for k in group)
 
     return step
 

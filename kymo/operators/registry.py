@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from ..sources import files
+from ..streaming import machines
 from . import evaluation, folds, frames, ledger, plan, screen, terms, transcript
 
 _MODULES = (transcript, ledger, screen, plan, terms, frames, evaluation)
 
 
 def queries() -> dict:
-    return {q.name: q for m in _MODULES for q in m.QUERIES} | folds.queries()
+    return {q.name: q for m in _MODULES for q in m.QUERIES} | folds.queries() | files.queries() | machines.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {q.name: q.oracle() for m in _MODULES for q in m.QUERIES if q.checked}
+    return {q.name: q.oracle() for m in _MODULES for q in m.QUERIES if q.checked} | files.oracle_sql() | machines.oracle_sql()
