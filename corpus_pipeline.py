@@ -16,7 +16,7 @@ from kymo.llm.common import table, written
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel machine takes for toxic go."""
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    return toxicity.scored(docs, toxicity.train(docs, labels)).filter("score < 0.5").select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ each a band of one row: at a Jaccard of 0.8 a pair meets in some band with 1 - 0
    The first occurrence (smallest id, then position) of a component stays.
 
 Cases: null, empty and short texts have no paragraphs; copies of a document repeat all its passages; repeated rows with
-the same id count as one document; an empty table gives no rows.
+the same id, or with none, count as one document; an empty table gives no rows.
 """
 
 from __future__ import annotations

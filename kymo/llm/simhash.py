@@ -28,6 +28,8 @@ from .components import Forest, components, links_in_groups
 
 WORDS, BITS, SEED = 4, 4, 42
 PIVOTS = 16
+#: A name that no table has.
+_ROW = "__kymo_row"
 _BLOCK = 1 << 14
 #: Reference fingerprints: fixed by this seed, the same in every task.
 _PIVOT_VALUES = np.random.default_rng(7).integers(0, 1 << 64, PIVOTS, np.uint64)
@@ -120,8 +122,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id (a null is smallest)."""
     prints = written(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     first = prints.join(grouped(prints, id_col, limit), "fp").groupBy("label").agg(F.min(F.struct(id_col, "row")).alias("first"))
-    kept = written(first.select(F.col("first.row").alias("_row")).distinct(), "kept")
-    return docs.withColumn("_row", F.xxhash64(id_col, text_col)).join(kept, "_row", "left_semi").dropDuplicates(["_row", id_col]).select(*docs.columns)
+    kept = written(first.select(F.col("first.row").alias(_ROW)).distinct(), "kept")
+    return docs.withColumn(_ROW, F.xxhash64(id_col, text_col)).join(kept, _ROW, "left_semi").dropDuplicates([_ROW, id_col]).drop(_ROW)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

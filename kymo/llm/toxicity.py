@@ -284,25 +284,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model.fit([bags[k] for k in order], [y[k] for k in order])
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``: the probability of the label 1."""
+def _scores(column: pa.Array, model: Model) -> np.ndarray:
+    """Scores of a text column, some megabytes at a time."""
+    scores, bags, size = [], [], 0
+    for text in byte_values(column.cast(pa.binary())):
+        bags.append(words(text))
+        size += len(text)
+        if size > 1 << 22:
+            scores.append(model.score(bags))
+            bags, size = [], 0
+    return np.concatenate([*scores, model.score(bags)])
+
+
+def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with the probability of the label 1 as column ``name``, in place of one of that name."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(name)
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores, bags, size = [], [], 0
-            for text in byte_values(b.column(at).cast(pa.binary())):
-                bags.append(words(text))
-                size += len(text)
-                if size > 1 << 22:
-                    scores.append(held.value.score(bags))
-                    bags, size = [], 0
-            scores.append(held.value.score(bags))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores), pa.float64())], names=[*b.schema.names, "score"])
-
-    return docs.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_scores(b.column(at), held.value), pa.float64())], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows of a score of ``least`` or more; nothing else changes."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_scores(b.column(at), held.value) < least))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ Of records with equal payloads of ``LEAST`` bytes or more the one with the large
 it. A revisit has no payload; its HTTP header keeps the payload's length, its WARC header the digest.
 
 Cases: a null payload is empty; smaller payloads are always responses; payloads equal by SHA-1 and length are equal; rows
-with one id are records of their own; an empty table makes no bundle and no rows.
+with one id are records of their own, a null id is always a response; an empty table makes no bundle and no rows.
 """
 
 from __future__ import annotations
@@ -131,9 +131,10 @@ def roles(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html",
 
 def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least: int = LEAST) -> DataFrame:
     """Write every row as a record; gives the index (``bundle``, id, ``frame``, ``offset``)."""
-    known = roles(pages, id_col, payload_col, least).dropDuplicates([id_col, "digest"]).withColumnRenamed("digest", "_digest")
-    raw = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"), utf8(payload_col).alias("payload")).withColumn("_digest", F.sha1("payload"))
-    rows = raw.join(known, [id_col, "_digest"]).select(id_col, "url", "payload", "_digest", "size", "refers_to")
+    key = F.xxhash64(id_col, "digest").alias("key")
+    known = roles(pages, id_col, payload_col, least).select(key, "digest", "size", "refers_to").dropDuplicates(["key", "digest"])
+    raw = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string").alias("url"), utf8(payload_col).alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("key", key)
+    rows = raw.join(known, ["key", "digest"]).select(id_col, "url", "payload", "digest", "size", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{folder}/{TaskContext.get().partitionId():06d}.warc.zst"
@@ -183,7 +184,7 @@ def read_bundles(index: DataFrame, id_col: str = "page_id") -> DataFrame:
                     size = int(http.rpartition(b"Content-Length:")[2])
                     digest = base64.b32decode(head["warc-payload-digest"].partition(":")[2]).hex()
                     revisit = head["warc-type"] == "revisit"
-                    page_id = int(head["warc-record-id"][10:-1])
+                    page_id = None if (name := head["warc-record-id"][10:-1]) == "None" else int(name)
                     if page_id != place["id"] or not revisit and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
                         raise ValueError(f"record {page_id} of {bundle} isn't what the index says")
                     for column, value in zip(out, (page_id, size, digest, head["warc-type"], int(head["warc-refers-to"][10:-1]) if revisit else None), strict=True):
