@@ -369,6 +369,12 @@ def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("recording_id"), F.col("vec_id").alias("image_id"), bits.alias("bits"))
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a hypothesis lacks, of each clip."""
+    pairs = fixtures.view(spark, sf_dir, "eval_pairs")
+    return pairs.select("clip", (F.size(F.split("reference", " ")) - F.size(F.split("hypothesis", " "))).alias("errors"), F.size(F.split("reference", " ")).alias("words"))
+
+
 def queries() -> dict:
     seg, blocks = _segments, _blocks
     sections = lambda s, d: blocks(s, d).groupBy("plan_id", "section_idx").agg(F.min_by(F.substring("text", 1, 60), "block_idx").alias("title"), F.listagg("text", F.lit(" ")).alias("text"), F.min("source_start").alias("start_s"), F.max("source_end").alias("end_s"))
@@ -389,5 +395,22 @@ def queries() -> dict:
         "frame_chunks": lambda s, d: fold(said(s, d), "recording_id", ["ts", "image_id"], frame_chunks(), "image_id long, chunk int"),
         "glossary_budget": lambda s, d: fold(_terms(s, d).withColumn("minus", -F.col("n")), "plan_id", ["minus", "term"], glossary_budget(), "term string, used int"),
         "folded_misreadings": lambda s, d: fold(_terms(s, d).withColumn("minus", -F.col("n")), "plan_id", ["minus", "term"], fold_misreadings(), "term string, n long"),
+        "bootstrap_interval": lambda s, d: bootstrap_interval(_pairs(s, d), "errors", "words"),
         "stable_threshold": lambda s, d: fold(_signals(s, d), "recording_id", ["ts"], stable_threshold, "cuts int, k double, width int"),
     }
+
+
+def bootstrap_interval(rows: DataFrame, errors: str, length: str, rounds: int = 2000, seed: int = 7) -> DataFrame:
+    """A 95 % interval of the pooled error rate by drawing clips again: the 51st and 1950th of ``rounds`` rates.
+
+    The clip of each draw follows from a hash of round and place, so a run gives the same interval anywhere. Work is
+    rows times rounds, for evaluation sets of some thousand clips.
+    """
+    from pyspark.sql import Window
+
+    n = rows.count()
+    numbered = rows.withColumn("i", F.row_number().over(Window.orderBy(F.xxhash64(*rows.columns))) - 1)
+    draws = numbered.select("i", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).select("round", F.pmod(F.xxhash64("round", "i", F.lit(seed)), F.lit(max(1, n))).cast("int").alias("i"))
+    rates = draws.join(numbered, "i").groupBy("round").agg((F.sum(errors) / F.sum(length)).alias("rate"))
+    sorted_rates = F.array_sort(F.collect_list("rate"))
+    return rates.agg(F.get(sorted_rates, F.lit(rounds * 50 // 2000)).alias("low"), F.get(sorted_rates, F.lit(rounds * 1949 // 2000)).alias("high"))

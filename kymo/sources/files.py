@@ -170,3 +170,25 @@ def oracle_sql() -> dict[str, str]:
         "probe_facts": "SELECT p_partkey, p_size + 0.5 AS duration_seconds, CASE WHEN p_partkey % 2 = 1 THEN 720 ELSE 1280 END AS width, CASE WHEN p_partkey % 2 = 1 THEN 1280 ELSE 720 END AS height, round(p_partkey * 1000 / 1001.0, 6) AS fps, true AS has_audio FROM part",
         "study_replies": "SELECT item_id, 'q' || CAST(item_id AS VARCHAR) AS question, CASE WHEN item_id % 3 = 0 THEN 'mcq' ELSE 'short' END AS kind, 'hard' AS difficulty, CAST(2 AS BIGINT) AS sources FROM benchmark WHERE item_id % 4 <> 3",
     }
+
+
+def read_eval_set(spark: SparkSession, manifest: str, references: str) -> DataFrame:
+    """Clips with their reviewed references; the two files must be of one evaluation."""
+    clips = spark.read.option("multiLine", True).schema("eval_id string, clips array<struct<name: string, source: string, start: double, duration: double, hyp: string>>").json(manifest)
+    refs = spark.read.option("multiLine", True).schema("eval_id string, clips map<string, struct<text: string, reviewed: boolean, exclude: boolean>>").json(references)
+    if clips.select("eval_id").first() != refs.select("eval_id").first():
+        raise ValueError("the references are of another evaluation")
+    rows = clips.join(refs.withColumnRenamed("clips", "refs"), "eval_id").select(F.explode("clips").alias("c"), "refs")
+    return rows.select("c.*", F.col("refs")[F.col("c.name")].alias("ref"))
+
+
+def watch_inbox(spark: SparkSession, folder: str, ledger: str, checkpoint: str) -> None:
+    """Take in every new media file of a folder once and add it to the ledger; empty files are passed over."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("at"), F.lit("taken").alias("status"))
+    media = named.filter(F.lower(F.element_at(F.split("name", "[.]"), -1)).isin(*VIDEO, *AUDIO))
+
+    def note(rows: DataFrame, _: int) -> None:
+        append_ledger(rows.dropDuplicates(["name", "size", "at"]), ledger)
+
+    media.writeStream.foreachBatch(note).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -146,3 +146,41 @@ def test_text_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/cards").count() == 2
     files.write_report(cues, f"{tmp_path}/report")
     assert spark.read.json(f"{tmp_path}/report").count() == 2
+
+
+def one(spark, column, **values):
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)).select(column).first()[0]
+
+
+def test_text_functions(spark):
+    from pyspark.sql import functions as F
+
+    from kymo.functions import text
+
+    t, p = F.col("t"), F.col("p")
+    assert one(spark, text.collapse_repeats(t), t="شكرا لكم شكرا لكم شكرا لكم شكرا لكم") == "شكرا لكم"
+    assert one(spark, text.normalize_arabic(t, True), t="مـــرحبًا  ، é") == "مرحبا، é"
+    assert one(spark, text.strip_known_phrases(t), t="hello Subtitles by the Amara.org community .") == "hello"
+    assert one(spark, text.strip_prompt_echo(t, p), t="This lecture is about Spark joins. Now we begin.", p="this lecture is about spark joins") == "Now we begin."
+    assert one(spark, text.jaccard3(t, p), t="a b c d", p="a b c e") == pytest.approx(1 / 3)
+    shuffled = one(spark, text.shuffled_options(t, F.split(p, ",")), t="q", p="x,All of the above,y,z")
+    assert shuffled[-1] == "All of the above" and sorted(shuffled[:3]) == ["x", "y", "z"]
+    text.register(spark)
+    assert tuple(spark.sql("SELECT kymo_fold(' A-b! '), kymo_overlap(0, 4, 2, 8), kymo_half_up(0.25)").first()) == ("a b", 0.5, 0.3)
+
+
+def test_evaluation_set_and_inbox(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"eval_id": "e1", "clips": [{"name": "a", "source": "s", "start": 0.0, "duration": 20.0, "hyp": "x"}]}))
+    (tmp_path / "r.json").write_text(json.dumps({"eval_id": "e1", "clips": {"a": {"text": "x y", "reviewed": True, "exclude": False}}}))
+    assert files.read_eval_set(spark, f"{tmp_path}/m.json", f"{tmp_path}/r.json").first().ref.text == "x y"
+    (tmp_path / "r2.json").write_text(json.dumps({"eval_id": "e2", "clips": {}}))
+    with pytest.raises(ValueError, match="another evaluation"):
+        files.read_eval_set(spark, f"{tmp_path}/m.json", f"{tmp_path}/r2.json").collect()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.mp4").write_bytes(b"x")
+    (tmp_path / "in/b.txt").write_bytes(b"x")
+    for k in range(2):
+        files.watch_inbox(spark, f"{tmp_path}/in", f"{tmp_path}/ledger", f"{tmp_path}/state")
+        assert spark.read.text(f"{tmp_path}/ledger").count() == k + 1
+        (tmp_path / "in/c.mp3").write_bytes(b"y")
+    assert {json.loads(r.value)["status"] for r in spark.read.text(f"{tmp_path}/ledger").collect()} == {"taken"}
