@@ -31,6 +31,10 @@ PIVOTS = 16
 #: A name that no table has.
 _ROW = "__kymo_row"
 _BLOCK = 1 << 14
+#: Of ``similar``: smallest hashes that make its groups; hashes kept of each text (all of a text of that many shingles or
+#: fewer); what an estimate from so many may be off; bits that fingerprints of similar texts may differ in.
+KEYS, SKETCH, SLACK, WIDE_BITS = 5, 256, 0.05, 24
+_MIXERS = [int(x) for x in np.random.default_rng(11).integers(1, 1 << 63, 16, np.int64)]
 #: Reference fingerprints: fixed by this seed, the same in every task.
 _PIVOT_VALUES = np.random.default_rng(7).integers(0, 1 << 64, PIVOTS, np.uint64)
 #: (blocks, equal blocks, most classes): the first row whose third value isn't exceeded is used.
@@ -118,10 +122,94 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(grouped(prints, id_col, limit), "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, limit: int = BITS, seed: int = SEED) -> DataFrame:
+def sketch(text: bytes, words: int, keys: int = KEYS, size: int = SKETCH) -> tuple[int, list[int], bytes, bool]:
+    """Hash of the words, the smallest shingle hash under each of ``keys`` functions, the ``size`` smallest hashes, and whether those are all."""
+    tokens = text.lower().split()
+    joined = memoryview(b" ".join(tokens))
+    ends = list(accumulate(len(t) + 1 for t in tokens))
+    starts = [0, *ends[:-1]]
+    n = max(1, len(tokens) - words + 1)
+    digest = xxhash.xxh64_intdigest
+    if not tokens:
+        return digest(b"", SEED), [0] * keys, np.zeros(1, np.uint64).tobytes(), True
+    hashes = np.unique(np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts[:n], ends[min(words, len(tokens)) - 1 :])), np.uint64, n))  # noqa: B905
+    least = [int(((hashes ^ np.uint64(m)) * np.uint64(m | 1)).min()) for m in _MIXERS[:keys]]
+    places = (np.array(least, np.uint64) + np.arange(keys, dtype=np.uint64)).view(np.int64).tolist()
+    return digest(joined, SEED), places, hashes[:size].tobytes(), len(hashes) <= size
+
+
+def _similar(least: float, bits: int):
+    """Joins texts of a group of a Jaccard of ``least`` or more. Pivot distances over ``bits`` apart discard pairs first; those already joined aren't compared."""
+
+    def link(columns: list) -> Forest:
+        fps = columns[0].to_numpy().view(np.uint64)
+        sets = [np.frombuffer(x, np.uint64) for x in columns[1].to_pylist()]
+        whole = columns[2].to_pylist()
+        distances = np.bitwise_count(fps[:, None] ^ _PIVOT_VALUES[None, :]).astype(np.int8)
+        forest = Forest(len(fps))
+        groups: list[list[int]] = []
+        for a in range(len(fps)):
+            near = np.abs(distances - distances[a]).max(axis=1) <= bits
+            joined = []
+            for members in groups:
+                for b in members:
+                    if near[b] and jaccard(sets[a], sets[b], whole[a] and whole[b]) >= least - (0 if whole[a] and whole[b] else SLACK):
+                        forest.join(a, b)
+                        joined.append(members)
+                        break
+            if not joined:
+                groups.append([a])
+                continue
+            joined[0].append(a)
+            for more in joined[1:]:
+                joined[0].extend(more)
+                groups.remove(more)
+        return forest
+
+    return link
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, whole: bool) -> float:
+    """Of two sorted sets of hashes; of sketches, over the smallest hashes that both would show."""
+    if not whole:
+        top = min(a[-1] if len(a) >= SKETCH else np.iinfo(np.uint64).max, b[-1] if len(b) >= SKETCH else np.iinfo(np.uint64).max)
+        a, b = a[a <= top], b[b <= top]
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bits: int = WIDE_BITS) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicates by shingle similarity: rows (id, ``row``, ``th``), and (``node``, ``label``) of linked texts ``th``. Written.
+
+    A limit of few bits finds only copies that are almost whole: at a Jaccard of 0.8, fingerprints differ in about ten
+    bits. So texts meet in groups by their smallest shingle hashes (all but 0.2**KEYS of the pairs at 0.8 share one), pivot
+    distances discard pairs of fingerprints too far apart, and the survivors are verified by the Jaccard of their shingles.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = list(byte_values(b.column(2)))
+            th, keys, sets, whole = zip(*(sketch(t, words) for t in texts), strict=True) if texts else ((), (), (), ())
+            fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            th = np.array(th, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(th), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(whole, pa.bool_())], names=[id_col, "row", "th", "fp", "keys", "hashes", "whole"])
+
+    rows = docs.select(F.col(id_col), F.xxhash64(id_col, text_col).alias("row"), utf8(text_col).alias("bytes"))
+    prints = written(rows.mapInArrow(run, f"`{id_col}` {kind}, row long, th long, fp long, keys array<long>, hashes binary, whole boolean"), "sketches")
+    met = prints.select("th", F.explode("keys").alias("key")).groupBy("key").agg(F.min("th").alias("low"), F.max("th").alias("high")).filter("low <> high").select("key")
+    found = written(prints.select("th", F.explode("keys").alias("key")).join(met, "key", "left_semi").select("th", "key").distinct(), "met")
+    texts = prints.select("th", "fp", "hashes", "whole").join(found.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
+    members = written(found.join(written(texts, "members"), "th"), "meetings")
+    linked = components(links_in_groups(members, ["key"], "th", ["fp", "hashes", "whole"], _similar(least, bits), tile=1024))
+    return prints.select(id_col, "row", "th"), linked
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id (a null is smallest)."""
-    prints = written(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
-    first = prints.join(grouped(prints, id_col, limit), "fp").groupBy("label").agg(F.min(F.struct(id_col, "row")).alias("first"))
+    rows, linked = similar(docs, id_col, text_col, words, least)
+    named = rows.join(linked.withColumnRenamed("node", "th"), "th", "left").withColumn("label", F.coalesce("label", "th"))
+    first = named.groupBy("label").agg(F.min(F.struct(id_col, "row")).alias("first"))
     kept = written(first.select(F.col("first.row").alias(_ROW)).distinct(), "kept")
     return docs.withColumn(_ROW, F.xxhash64(id_col, text_col)).join(kept, _ROW, "left_semi").dropDuplicates([_ROW, id_col]).drop(_ROW)
 

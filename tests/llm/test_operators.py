@@ -370,6 +370,31 @@ def test_one_of_each_group_stays(odd, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_similar_texts_are_grouped_as_brute_force_groups_them(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(25):
+        ws = prose(k, 150).split()
+        for c in range(4):
+            copy = list(ws)
+            for at in rng.sample(range(150), c * 2):
+                copy[at] = f"other{rng.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    parent = list(range(len(rows)))
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.collect()} == {k for k in range(len(rows)) if root(k) == k}
+
+
 # 7
 
 
