@@ -87,3 +87,10 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         last = tuple(b.column(k)[b.num_rows - 1].as_py() for k in keys)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def texts_of(rows: DataFrame, chosen: list[int]) -> dict[int, bytes]:
+    """The texts (column ``bytes``) whose hash is among ``chosen``, each once however often it occurs; the list's length is the bound."""
+    few = rows.sparkSession.createDataFrame([(h,) for h in chosen], "hash long")
+    found = rows.withColumn("hash", F.xxhash64("bytes")).join(F.broadcast(few), "hash").groupBy("hash").agg(F.first("bytes").alias("bytes")).collect()
+    return {r.hash: bytes(r.bytes) for r in found}

@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, table, utf8
+from .common import byte_values, table, texts_of, utf8
 
 ORDER, DECAY, SHARPEN = 4, 0.6, 4
 LANDMARKS, APART = 64, 0.85
@@ -35,7 +36,9 @@ SAMPLE, SAMPLE_CHARS = 2000, 20_000
 LEAST, PAIRS = 0.04, 0.5
 #: Words longer than this are read in windows of this length that overlap by half.
 LONGEST = 32
-MEMORY = 800_000
+MEMORY = 600_000
+#: Words of like length are read together.
+_LENGTHS = ((-1, 7), (7, 10), (10, 13), (13, 18), (18, LONGEST))
 _BLOCK = 1 << 20
 _DROP = bytes(c for c in range(128) if not (65 <= c <= 90 or 97 <= c <= 122 or c in b" \t\n\x0b\x0c\r"))
 _SINGLES = re.compile(rb"(?<![^\s])(?:[a-z]\s){2,}[a-z](?![^\s])")
@@ -63,10 +66,19 @@ def _codes(strings: list[bytes]) -> np.ndarray:
     return np.frombuffer(flat, np.uint8).reshape(len(strings), width)
 
 
+@cache
+def _reach(width: int) -> np.ndarray:
+    """What a match at one place gives to every later place: DECAY to the power of the stretch."""
+    place = np.arange(width)
+    gap = place[None, :] - place[:, None]
+    return np.where(gap >= 0, DECAY ** (np.maximum(gap, 0) + 2.0), 0).astype(np.float32)
+
+
 def raw_kernel(rows: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Gap-weighted subsequence kernel of every row with one string, summed over the orders 1 to ORDER."""
     n, width = rows.shape
     m = len(other)
+    reach = _reach(width)
     same = [(rows == c) for c in other]
     inner = np.ones((m + 1, n, width + 1), np.float32)
     total = np.zeros(n, np.float32)
@@ -77,19 +89,20 @@ def raw_kernel(rows: np.ndarray, other: np.ndarray) -> np.ndarray:
             hit = same[j] * inner[j, :, :-1]
             gained += hit.sum(axis=1)
             if order < ORDER - 1:
-                run = np.zeros(n, np.float32)
-                for i in range(width):
-                    run = DECAY * run + DECAY * DECAY * hit[:, i]
-                    following[j + 1, :, i + 1] = DECAY * following[j, :, i + 1] + run
+                following[j + 1, :, 1:] = DECAY * following[j, :, 1:] + hit @ reach
         total += gained * np.float32(DECAY**2)
         inner = following
     return total
 
 
-def self_kernel(strings: list[bytes]) -> np.ndarray:
-    """The kernel of each string with itself, all at once."""
-    rows = _codes(strings)
+def self_kernel(strings: list[bytes], some: int = 500) -> np.ndarray:
+    """The kernel of each string with itself, ``some`` at once (as many as stay in a core's cache)."""
+    return np.concatenate([_own(_codes(strings[k : k + some])) for k in range(0, len(strings), some)])
+
+
+def _own(rows: np.ndarray) -> np.ndarray:
     n, width = rows.shape
+    reach = _reach(width)
     inner = np.ones((width + 1, n, width + 1), np.float32)
     total = np.zeros(n, np.float32)
     for order in range(ORDER):
@@ -99,10 +112,7 @@ def self_kernel(strings: list[bytes]) -> np.ndarray:
             hit = ((rows == rows[:, j : j + 1]) & (rows[:, j : j + 1] > 0)) * inner[j, :, :-1]
             gained += hit.sum(axis=1)
             if order < ORDER - 1:
-                run = np.zeros(n, np.float32)
-                for i in range(width):
-                    run = DECAY * run + DECAY * DECAY * hit[:, i]
-                    following[j + 1, :, i + 1] = DECAY * following[j, :, i + 1] + run
+                following[j + 1, :, 1:] = DECAY * following[j, :, 1:] + hit @ reach
         total += gained * np.float32(DECAY**2)
         inner = following
     return total
@@ -135,8 +145,9 @@ class Kernel:
         lengths = np.array(list(map(len, strings)))
         near = np.bitwise_count(_pairs(strings)[:, None] & self.pairs[None, :]) >= PAIRS * np.bitwise_count(self.pairs)[None, :]
         near &= lengths[:, None] >= self.lengths[None, :] - 2
-        any_near = np.flatnonzero(near.any(axis=1))
-        for some in np.array_split(any_near[np.argsort(lengths[any_near], kind="stable")], max(1, len(any_near) // 2000)):
+        any_near = near.any(axis=1)
+        for low, high in _LENGTHS:
+            some = np.flatnonzero(any_near & (lengths > low) & (lengths <= high))
             if not len(some):
                 continue
             part = [strings[i] for i in some]
@@ -144,7 +155,8 @@ class Kernel:
             for j, other in enumerate(self.codes):
                 rows = np.flatnonzero(near[some, j])
                 if len(rows):
-                    out[some[rows], j] = raw_kernel(codes[rows], other) / np.sqrt(own[rows] * self.own[j])
+                    raw = np.concatenate([raw_kernel(codes[rows[k : k + 2000]], other) for k in range(0, len(rows), 2000)])
+                    out[some[rows], j] = raw / np.sqrt(own[rows] * self.own[j])
         out = out**SHARPEN
         out[out < LEAST] = 0
         return out
@@ -274,12 +286,12 @@ def landmarks(bags: list[list[bytes]], y: np.ndarray, most: int = LANDMARKS) ->
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on the driver; at most ``sample`` rows of each label, the first by the hash of their ids."""
-    joined = docs.select(F.col(id_col), utf8(text_col).alias("bytes")).join(labels.select(id_col, F.col(label_col).alias("label")).dropna().dropDuplicates([id_col]), id_col).filter(F.length("bytes").between(1, SAMPLE_CHARS))
-    bags, y = [], []
-    for label in (1, 0):
-        rows = joined.filter(F.col("label") == label).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample).select("bytes").collect()
-        bags += [words(bytes(r.bytes)) for r in rows]
-        y += [label] * len(rows)
+    raw = docs.select(F.col(id_col), utf8(text_col).alias("bytes")).filter(F.length("bytes").between(1, SAMPLE_CHARS))
+    known = labels.select(id_col, F.col(label_col).alias("label")).dropna().dropDuplicates([id_col])
+    marked = raw.select(id_col, F.xxhash64("bytes").alias("hash")).join(known, id_col).select("hash", "label").distinct()
+    chosen = [(r.hash, label) for label in (1, 0) for r in marked.filter(F.col("label") == label).orderBy("hash").limit(sample).collect()]  # hashes alone
+    texts = texts_of(raw.select("bytes"), sorted({h for h, _ in chosen}))
+    bags, y = [words(texts[h]) for h, _ in chosen], [label for _, label in chosen]
     order = np.random.default_rng(1).permutation(len(y))
     return Model.fit([bags[k] for k in order], [y[k] for k in order])
 
