@@ -31,7 +31,7 @@ from .common import byte_values, table, utf8, written
 from .components import Forest, components, links_in_groups
 
 SHINGLE, RADIUS, BANDS, JACCARD = 5, 5, 2, 0.8
-LEAST_UNIT, LEAST = 6, 25
+LEAST_UNIT, LEAST = 6, 30
 #: Bits of the bitmap of repeated keys (16 MB), whatever the input's size.
 SLOTS = 27
 _BLOCK = 1 << 19
@@ -90,8 +90,10 @@ def units(text: bytes, radius: int = RADIUS) -> dict[str, np.ndarray] | None:
     hashed = lambda a, b: (sums[at[b] + width[b]] - sums[at[a]]) * down[at[a]]  # words a..b, both included
     index = np.arange(n)
     pair = mix(hashed(index, np.minimum(index + 1, n - 1)), 0)
-    low = sliding_window_view(np.pad(pair, radius, constant_values=np.iinfo(np.uint64).max), 2 * radius + 1).min(axis=1)
-    cut = pair == low
+    near = np.pad(pair, radius, constant_values=np.iinfo(np.uint64).max)
+    before = sliding_window_view(near[: n + radius - 1], radius).min(axis=1)  # of each place, the smallest of the RADIUS before it
+    behind = sliding_window_view(near[radius:], radius + 1).min(axis=1)
+    cut = (pair < before) & (pair == behind)  # the first of equals
     lines = np.cumsum(raw == 10)
     line_end = np.concatenate((lines[starts[1:]] != lines[ends[:-1] - 1], [True]))
     stops = np.flatnonzero(cut | line_end) + 1
