@@ -33,7 +33,7 @@ _ROW = "__kymo_row"
 _BLOCK = 1 << 14
 #: Of ``similar``: smallest hashes that make its groups; hashes kept of each text (all of a text of that many shingles or
 #: fewer); what an estimate from so many may be off; bits that fingerprints of similar texts may differ in.
-KEYS, SKETCH, SLACK, WIDE_BITS = 5, 256, 0.05, 24
+KEYS, SKETCH, SLACK, WIDE_BITS = 5, 256, 0.05, 20
 _MIXERS = [int(x) for x in np.random.default_rng(11).integers(1, 1 << 63, 16, np.int64)]
 #: Reference fingerprints: fixed by this seed, the same in every task.
 _PIVOT_VALUES = np.random.default_rng(7).integers(0, 1 << 64, PIVOTS, np.uint64)
@@ -139,31 +139,26 @@ def sketch(text: bytes, words: int, keys: int = KEYS, size: int = SKETCH) -> tup
 
 
 def _similar(least: float, bits: int):
-    """Joins texts of a group of a Jaccard of ``least`` or more. Pivot distances over ``bits`` apart discard pairs first; those already joined aren't compared."""
+    """Joins texts of a group of a Jaccard of ``least`` or more. Pairs of pivot distances or fingerprints over ``bits`` apart are discarded first; those already joined aren't compared."""
 
     def link(columns: list) -> Forest:
         fps = columns[0].to_numpy().view(np.uint64)
         sets = [np.frombuffer(x, np.uint64) for x in columns[1].to_pylist()]
         whole = columns[2].to_pylist()
         distances = np.bitwise_count(fps[:, None] ^ _PIVOT_VALUES[None, :]).astype(np.int8)
+        sizes = np.array(list(map(len, sets)))
+        whole = np.array(whole, bool)
         forest = Forest(len(fps))
-        groups: list[list[int]] = []
-        for a in range(len(fps)):
-            near = np.abs(distances - distances[a]).max(axis=1) <= bits
-            joined = []
-            for members in groups:
-                for b in members:
-                    if near[b] and jaccard(sets[a], sets[b], whole[a] and whole[b]) >= least - (0 if whole[a] and whole[b] else SLACK):
+        for a in range(1, len(fps)):
+            near = np.flatnonzero(np.abs(distances[:a] - distances[a]).max(axis=1) <= bits)
+            near = near[np.bitwise_count(fps[near] ^ fps[a]) <= bits]
+            both_whole = whole[near] & whole[a]
+            near = near[~both_whole | (np.minimum(sizes[near], sizes[a]) >= least * np.maximum(sizes[near], sizes[a]))]
+            for b in near.tolist():
+                if forest.root(a) != forest.root(b):
+                    full = bool(whole[a] and whole[b])
+                    if jaccard(sets[a], sets[b], full) >= least - (0 if full else SLACK):
                         forest.join(a, b)
-                        joined.append(members)
-                        break
-            if not joined:
-                groups.append([a])
-                continue
-            joined[0].append(a)
-            for more in joined[1:]:
-                joined[0].extend(more)
-                groups.remove(more)
         return forest
 
     return link
