@@ -149,16 +149,20 @@ def _similar(least: float, bits: int):
         sizes = np.array(list(map(len, sets)))
         whole = np.array(whole, bool)
         forest = Forest(len(fps))
+        label = np.arange(len(fps))
         for a in range(1, len(fps)):
             near = np.flatnonzero(np.abs(distances[:a] - distances[a]).max(axis=1) <= bits)
             near = near[np.bitwise_count(fps[near] ^ fps[a]) <= bits]
             both_whole = whole[near] & whole[a]
             near = near[~both_whole | (np.minimum(sizes[near], sizes[a]) >= least * np.maximum(sizes[near], sizes[a]))]
-            for b in near.tolist():
-                if forest.root(a) != forest.root(b):
-                    full = bool(whole[a] and whole[b])
-                    if jaccard(sets[a], sets[b], full) >= least - (0 if full else SLACK):
-                        forest.join(a, b)
+            near = near[label[near] != label[a]]
+            while len(near):
+                b, near = int(near[0]), near[1:]
+                full = bool(whole[a] and whole[b])
+                if jaccard(sets[a], sets[b], full) >= least - (0 if full else SLACK):
+                    forest.join(a, b)
+                    label[label == label[b]] = label[a]
+                    near = near[label[near] != label[a]]
         return forest
 
     return link
@@ -196,7 +200,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     found = written(prints.select("th", F.explode("keys").alias("key")).join(met, "key", "left_semi").select("th", "key").distinct(), "met")
     texts = prints.select("th", "fp", "hashes", "whole").join(found.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
     members = written(found.join(written(texts, "members"), "th"), "meetings")
-    linked = components(links_in_groups(members, ["key"], "th", ["fp", "hashes", "whole"], _similar(least, bits), tile=1024))
+    linked = components(links_in_groups(members, ["key"], "th", ["fp", "hashes", "whole"], _similar(least, bits), tile=4096))
     return prints.select(id_col, "row", "th"), linked
 
 
