@@ -59,44 +59,48 @@ class Packer:
 
     def pack(self, least: int = 0) -> Iterator[tuple]:
         """Fill bins until no more than ``least`` examples wait; the last bin of all is split into powers of two."""
-        while len(self.waiting) > least:
-            need = np.array([self._demand(e) for e in self.waiting], float)
-            total = need[:, 0].sum()
-            if not least and total < self.tokens:
-                yield from self._rest()
-                return
-            free, bin_, used = self.limits.copy(), [], np.zeros(len(need), bool)
+        held = self.waiting
+        need = np.array([self._demand(e) for e in held], float).reshape(-1, 3)
+        share = need / self.limits
+        out = np.zeros(len(held), bool)  # used up
+        while len(held) - out.sum() > least:
+            if not least and need[~out, 0].sum() < self.tokens:
+                break
+            free, placed, used = self.limits.copy(), [], out.copy()
             while free[0] >= 1 and free[1] >= 1:
-                fits = ~used & (need <= free).all(axis=1)
-                if fits.any():
-                    score = (need / self.limits) @ (free / self.limits)
-                    k = int(np.argmax(np.where(fits, score, -1.0)))
+                fits = ~used & (need[:, 0] <= free[0]) & (need[:, 2] <= free[2])
+                score = np.where(fits, share @ (free / self.limits), -1.0)
+                k = int(score.argmax())
+                if score[k] >= 0:
                     n = int(need[k, 0])
                 else:
                     k, n = self._cut(need, free, used)
                     if k < 0:
                         break
-                e = self.waiting[k]
+                e = held[k]
                 free -= (n, 1, max(0, e[1] + n - max(e[1], e[3])))
-                bin_.append((k, n))
+                placed.append((k, n))
                 used[k] = True
             offset = 0
-            for k, n in bin_:
-                yield self._piece(self.waiting[k], n, offset)
+            for k, n in placed:
+                yield self._piece(held[k], n, offset)
                 offset += n
+                need[k] = self._demand(held[k])
+                share[k] = need[k] / self.limits
+                out[k] = held[k][2] == held[k][1]
             self.sequence += 1
-            self.waiting = [e for e in self.waiting if e[2] > e[1]]
+        self.waiting = [e for e in held if e[2] > e[1]]
+        if not least and self.waiting:
+            yield from self._rest()
 
     def _cut(self, need: np.ndarray, free: np.ndarray, used: np.ndarray) -> tuple[int, int]:
         """The waiting example to cut, and after how many tokens: the longest one whose part obeys the limits."""
-        for k in np.argsort(-need[:, 0], kind="stable"):
-            e = self.waiting[k]
-            if not used[k] and e[2] > e[1]:
-                n = min(int(free[0]), e[2] - e[1])
-                n = min(n, max(0, e[3] - e[1]) + int(free[2]))
-                if n > 0:
-                    return int(k), n
-        return -1, 0
+        fit = np.minimum(need[:, 0], free[0])
+        fit = np.minimum(fit, need[:, 0] - need[:, 2] + free[2])  # what bears no loss comes first
+        fit[used] = 0
+        best = np.where(fit >= 1, need[:, 0], -1.0)
+        k = int(best.argmax())
+        return (k, int(fit[k])) if best[k] > 0 else (-1, 0)
 
     def _rest(self) -> Iterator[tuple]:
         """Fewer tokens than one sequence takes: sequences of falling powers of two, under the other limits too."""
