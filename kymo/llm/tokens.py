@@ -31,7 +31,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LIMIT = 2048
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Words that a worker remembers; when it is full, it starts anew.
-MEMORY = 600_000
+MEMORY = 400_000
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 

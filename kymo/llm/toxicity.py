@@ -161,6 +161,10 @@ class Kernel:
         out[out < LEAST] = 0
         return out
 
+    def forget(self) -> None:
+        self.known.clear()
+        del self.rows[1:]
+
     def learn(self, new: set[bytes]) -> None:
         strings = list(new)
         pieces = [(k, s[a : a + LONGEST]) for k, s in enumerate(strings) for a in range(0, max(1, len(s) - LONGEST // 2), LONGEST // 2)]
@@ -181,8 +185,7 @@ class Kernel:
         every = set().union(*texts)
         new = every.difference(self.known)
         if len(self.known) + len(new) > MEMORY:  # start anew with the words of these texts
-            self.known.clear()
-            del self.rows[1:]
+            self.forget()
             new = every
         self.learn(new)
         out = np.zeros((len(texts), 2 * m), np.float32)
@@ -329,6 +332,8 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", least:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(_scores(b.column(at), held.value) < least))
+        if held.value.kernel:  # later stages run in the same worker
+            held.value.kernel.forget()
 
     return docs.mapInArrow(run, docs.schema)
 
