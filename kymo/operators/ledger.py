@@ -13,6 +13,14 @@ def _latest(d) -> str:
     return _LATEST.format(facts=d.job_facts)
 
 
+def _failed_files(d) -> str:
+    """A row for each failed job with its batch's counts, and one for each batch without any: no string grows with the failures."""
+    return f"""
+WITH n AS (SELECT model AS batch, count(*) AS files, count(CASE WHEN status = 'completed' THEN 1 END) AS ok, count(CASE WHEN status = 'failed' THEN 1 END) AS failed FROM {d.job_facts} GROUP BY model)
+SELECT n.*, j.seq, j.job_key AS first_errors FROM {d.job_facts} j JOIN n ON n.batch <=> j.model WHERE j.status = 'failed'
+UNION ALL SELECT n.*, NULL, NULL FROM n WHERE failed = 0"""
+
+
 QUERIES = [
     Query("usage_stats", "A01 A02", ["job_facts"], lambda d: f"""
 WITH {_latest(d)}
@@ -69,7 +77,7 @@ WITH f AS (SELECT source AS package, doc_id AS path, sha1({'CAST(text AS BINARY)
 g AS (SELECT package, {d.join("concat(" + d.text('path') + ", ':', digest)", ';', 'path')} AS listing FROM f GROUP BY package)
 SELECT package, substr(sha1(concat(package, ':', sha1(listing))), 1, 12) AS package_id FROM g"""),
     Query("token_estimate", "A31", ["conversations"], lambda d: f"SELECT conv_id AS request, CAST(sum(ceil(length(text) / 2.0)) + 1600 * count(CASE WHEN turn % 3 = 0 THEN 1 END) + 5 * 1000 AS BIGINT) AS units FROM {d.conversations} GROUP BY conv_id"),
-    Query("batch_summary", "A33", ["job_facts"], lambda d: f"SELECT model AS batch, count(*) AS files, count(CASE WHEN status = 'completed' THEN 1 END) AS ok, count(CASE WHEN status = 'failed' THEN 1 END) AS failed, {d.join('job_key', ',', 'seq', where=chr(39) + 'failed' + chr(39) + ' = status AND seq < 500')} AS first_errors FROM {d.job_facts} GROUP BY model"),
+    Query("batch_summary", "A33", ["job_facts"], lambda d: d.either(_failed_files(d), f"SELECT model AS batch, count(*) AS files, count(CASE WHEN status = 'completed' THEN 1 END) AS ok, count(CASE WHEN status = 'failed' THEN 1 END) AS failed, {d.join('job_key', ',', 'seq', where=chr(39) + 'failed' + chr(39) + ' = status AND seq < 500')} AS first_errors FROM {d.job_facts} GROUP BY model")),
     Query("backfilled_facts", "J01", ["job_facts"], lambda d: f"""
 WITH led AS (SELECT * FROM {d.job_facts} WHERE seq % 2 = 0), scan AS (SELECT job_key, max(seq) AS seq FROM {d.job_facts} WHERE seq % 2 = 1 GROUP BY job_key),
 latest AS (SELECT job_key, max(seq) AS seq FROM led GROUP BY job_key)

@@ -44,7 +44,7 @@ _WEIGHT = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.i
 
 QUERIES = [
     Query("merged_timeline", "U01", ["segments", "keyframes"], lambda d: f"""
-WITH t AS (SELECT recording_id, start_s AS ts, 1 AS kind_rank, segment_id AS id FROM {d.segments} WHERE recording_id < 10 UNION ALL SELECT recording_id, ts, 0, image_id FROM {d.keyframes})
+WITH t AS (SELECT recording_id, start_s AS ts, 1 AS kind_rank, segment_id AS id FROM {d.segments}{d.either('', ' WHERE recording_id < 10')} UNION ALL SELECT recording_id, ts, 0, image_id FROM {d.keyframes})
 SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY ts, kind_rank, id) AS place, CASE kind_rank WHEN 0 THEN 'figure' ELSE 'segment' END AS kind, id FROM t"""),
     Query("figure_sections", "J02", ["segments", "keyframes"], lambda d: f"""
 WITH {_SECTIONS.format(segments=d.segments)},
