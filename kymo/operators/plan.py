@@ -23,6 +23,12 @@ def _defects(d, text: str) -> str:
     return f"(length(trim({text})) < 12 OR {d.matches('lower(' + text + ')', '^(?:section|figure|page) ?[0-9]*$')} OR {words} > 14 OR {d.matches(text, 'https?://|[|]')})"
 
 
+def _tokens(d, text: str) -> str:
+    """Long words and numbers; over own tables each once, so that few rows are made of a long text."""
+    found = d.found(text, "[A-Za-z]{4,}|[0-9]+")
+    return d.either(f"array_distinct(transform({found}, x -> lower(x)))", found)
+
+
 def _metrics(d) -> str:
     return f"""
 p AS (SELECT *, lead(source_start) OVER (PARTITION BY plan_id ORDER BY block_idx) AS next_start FROM {d.plan_blocks} WHERE kind = 'paragraph'),
@@ -56,8 +62,8 @@ WITH {_SECTIONS.format(segments=d.segments)},
 s AS (SELECT recording_id, section, start_s + CASE WHEN section % 3 = 1 THEN 40.0 ELSE 0.0 END AS start_s FROM sec)
 SELECT g.recording_id, g.segment_id, coalesce(max(s.section), 0) AS section FROM {d.segments} g LEFT JOIN s ON s.recording_id = g.recording_id AND g.start_s >= s.start_s GROUP BY g.recording_id, g.segment_id"""),
     Query("unsupported_tokens", "J06", ["plan_blocks", "documents"], lambda d: f"""
-WITH t AS (SELECT DISTINCT plan_id, lower(tok) AS tok FROM {d.unnest("(SELECT plan_id, " + d.found('text', '[A-Za-z]{4,}|[0-9]+') + " AS toks FROM " + d.plan_blocks + " WHERE block_idx > 3) q", 'toks', 'tok', 'i')} x),
-s AS (SELECT DISTINCT doc_id AS plan_id, lower(tok) AS tok FROM {d.unnest("(SELECT doc_id, " + d.found("substr(text, 1, 2000)", '[A-Za-z]{4,}|[0-9]+') + " AS toks FROM " + d.documents + ") q", 'toks', 'tok', 'i')} x)
+WITH t AS (SELECT DISTINCT plan_id, lower(tok) AS tok FROM {d.unnest("(SELECT plan_id, " + _tokens(d, 'text') + " AS toks FROM " + d.plan_blocks + d.either("", " WHERE block_idx > 3") + ") q", 'toks', 'tok', 'i')} x),
+s AS (SELECT DISTINCT doc_id AS plan_id, lower(tok) AS tok FROM {d.unnest("(SELECT doc_id, " + _tokens(d, d.either("text", "substr(text, 1, 2000)")) + " AS toks FROM " + d.documents + ") q", 'toks', 'tok', 'i')} x)
 SELECT plan_id, count(*) AS unsupported FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.plan_id = t.plan_id AND s.tok = t.tok) GROUP BY plan_id"""),
     Query("unsourced_sections", "J10", ["plan_blocks"], lambda d: f"""
 WITH s AS (SELECT plan_id, section_idx, bool_or(kind = 'paragraph' AND block_idx % 7 <> 0) AS spoken, bool_or(kind = 'figure') AS shown FROM {d.plan_blocks} GROUP BY plan_id, section_idx)
