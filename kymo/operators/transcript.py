@@ -18,6 +18,19 @@ def _gaps(d) -> str:
     return _GAPS.format(segments=d.segments)
 
 
+def _loop_key(d) -> str:
+    """The whole text composed, without vowel marks and punctuation, single spaces."""
+    key = "reflect('com.ibm.icu.text.Normalizer', 'compose', coalesce(text_raw, ''), false)"
+    for pattern, by in ((r"[\u0610-\u061a\u064b-\u065f\u06d6-\u06ed]", ""), (r"(?U)[^\p{L}\p{N}_\s]", ""), (r"(?U)\s+", " ")):
+        key = d.replace(key, pattern, by)
+    return f"trim({key})"
+
+
+def _first_letters(d) -> str:
+    first = d.replace("lower(substr(text_raw, 1, 3 + CAST(segment_id % 2 AS INT)))", "[^a-z0-9]+", " ")
+    return f"trim({first})"
+
+
 QUERIES = [
     Query("effective_text", "P01", ["segments"], lambda d: f"SELECT recording_id, segment_id, coalesce(nullif(text_clean, ''), text_raw, '') AS text FROM {d.segments}"),
     Query("segment_checks", "P02", ["segments"], lambda d: f"SELECT recording_id, segment_id, end_s >= start_s AND start_s >= 0 AS valid FROM {d.segments}"),
@@ -44,7 +57,7 @@ SELECT recording_id, round(coalesce(before_s, 0.0), 3) AS gap_start, round(w_sta
     Query("pauses_after", "W03", ["segments"], lambda d: f"""
 SELECT recording_id, segment_id, round(coalesce(greatest(0.0, lead(start_s) OVER (PARTITION BY recording_id ORDER BY segment_id) - end_s), 1e9), 3) AS pause_s FROM {d.segments}"""),
     Query("collapsed_repeats", "W04 F05", ["segments"], lambda d: f"""
-WITH k AS (SELECT recording_id, segment_id, start_s, end_s, text_raw, trim({d.replace("lower(substr(text_raw, 1, 3 + CAST(segment_id % 2 AS INT)))", '[^a-z0-9]+', ' ')}) AS loop_key FROM {d.segments}),
+WITH k AS (SELECT recording_id, segment_id, start_s, end_s, text_raw, {d.either(_loop_key(d), _first_letters(d))} AS loop_key FROM {d.segments}),
 f AS (SELECT *, CASE WHEN loop_key <> '' AND length(loop_key) <= 60 AND loop_key = lag(loop_key) OVER (PARTITION BY recording_id ORDER BY segment_id) THEN 0 ELSE 1 END AS fresh FROM k),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY recording_id ORDER BY segment_id) AS island FROM f),
 n AS (SELECT *, count(*) OVER (PARTITION BY recording_id, island) AS len FROM i),

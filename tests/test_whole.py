@@ -1,7 +1,7 @@
 """Operators over a caller's own tables do the whole job, also where the SQL that checks the registered query takes a part."""
 
 from kymo import fixtures
-from kymo.operators import ledger, plan, screen, terms
+from kymo.operators import ledger, plan, screen, terms, transcript
 
 from .compare import same
 from .test_queries import SF
@@ -48,3 +48,11 @@ def test_glossaries_read_whole_texts_and_skip_parts_of_accepted_terms(spark):
     run = lambda name: [tuple(r) for r in query(terms, name).on(spark, plan_blocks=blocks, documents=docs).collect()]
     assert run("glossary_candidates") == [(1, "form scheduler assign", "screen"), (1, "lateterms", "frequency")]
     assert run("augmented_glossary") == [(1, "lateterms", 2)]
+
+
+def test_loops_are_of_whole_texts(spark):
+    texts = ["the first thing", "the second", "the third", "شكرا لكم", "شكرًا لكم.", "شكرا  لكم!", "Word " * 20, "Word " * 20, "Word " * 20, "twice", "twice", "", "", ""]
+    rows = [(1, k, float(k), k + 1.0, t) for k, t in enumerate(texts, 1)]
+    out = query(transcript, "collapsed_repeats").on(spark, segments=spark.createDataFrame(rows, "recording_id long, segment_id long, start_s double, end_s double, text_raw string"))
+    assert {r.first_id: (r.merged, r.start_s, r.end_s) for r in out.filter("merged > 1").collect()} == {4: (3, 4.0, 7.0)}
+    assert out.count() == len(texts) - 2
