@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_values, table, utf8, written
+from .common import byte_values, discard, table, utf8, written
 from .components import Forest, components, links_in_groups
 
 WORDS, BITS, SEED = 4, 4, 42
@@ -31,9 +31,10 @@ PIVOTS = 16
 #: A name that no table has.
 _ROW = "__kymo_row"
 _BLOCK = 1 << 14
-#: Of ``similar``: smallest hashes that make its groups; hashes kept of each text (all of a text of that many shingles or
-#: fewer); what an estimate from so many may be off; bits that fingerprints of similar texts may differ in.
-KEYS, SKETCH, SLACK, WIDE_BITS = 5, 256, 0.05, 20
+#: Of ``similar``: smallest hashes that make its groups; hashes by which pairs are proposed (all of a text of that many
+#: shingles or fewer); what an estimate from so many may be off (five standard deviations at 0.8); bits that fingerprints
+#: of similar texts may differ in.
+KEYS, SKETCH, SLACK, WIDE_BITS = 5, 256, 0.125, 20
 _MIXERS = [int(x) for x in np.random.default_rng(11).integers(1, 1 << 63, 16, np.int64)]
 #: Reference fingerprints: fixed by this seed, the same in every task.
 _PIVOT_VALUES = np.random.default_rng(7).integers(0, 1 << 64, PIVOTS, np.uint64)
@@ -122,8 +123,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(grouped(prints, id_col, limit), "fp").select(id_col, "fp", "component_id")
 
 
-def sketch(text: bytes, words: int, keys: int = KEYS, size: int = SKETCH) -> tuple[int, list[int], bytes, bool]:
-    """Hash of the words, the smallest shingle hash under each of ``keys`` functions, the ``size`` smallest hashes, and whether those are all."""
+def sketch(text: bytes, words: int, keys: int = KEYS, size: int = SKETCH) -> tuple[int, int, list[int], bytes, bytes]:
+    """Hash of the words, fingerprint of the distinct shingles, their smallest hash under each of ``keys`` functions, the ``size`` smallest hashes, and the others."""
     tokens = text.lower().split()
     joined = memoryview(b" ".join(tokens))
     ends = list(accumulate(len(t) + 1 for t in tokens))
@@ -131,15 +132,19 @@ def sketch(text: bytes, words: int, keys: int = KEYS, size: int = SKETCH) -> tup
     n = max(1, len(tokens) - words + 1)
     digest = xxhash.xxh64_intdigest
     if not tokens:
-        return digest(b"", SEED), [0] * keys, np.zeros(1, np.uint64).tobytes(), True
+        return digest(b"", SEED), 0, [0] * keys, np.zeros(1, np.uint64).tobytes(), b""
     hashes = np.unique(np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts[:n], ends[min(words, len(tokens)) - 1 :])), np.uint64, n))  # noqa: B905
     least = [int(((hashes ^ np.uint64(m)) * np.uint64(m | 1)).min()) for m in _MIXERS[:keys]]
     places = (np.array(least, np.uint64) + np.arange(keys, dtype=np.uint64)).view(np.int64).tolist()
-    return digest(joined, SEED), places, hashes[:size].tobytes(), len(hashes) <= size
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        counts += np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fp = int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return digest(joined, SEED), fp, places, hashes[:size].tobytes(), hashes[size:].tobytes()
 
 
 def _similar(least: float, bits: int):
-    """Joins texts of a group of a Jaccard of ``least`` or more. Pairs of pivot distances or fingerprints over ``bits`` apart are discarded first; those already joined aren't compared."""
+    """Joins texts of a group of a Jaccard of ``least`` or more, exactly if both sets are whole, else with a safe margin. Pairs of pivot distances or fingerprints over ``bits`` apart are discarded first; those already joined aren't compared."""
 
     def link(columns: list) -> Forest:
         fps = columns[0].to_numpy().view(np.uint64)
@@ -182,25 +187,35 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     A limit of few bits finds only copies that are almost whole: at a Jaccard of 0.8, fingerprints differ in about ten
     bits. So texts meet in groups by their smallest shingle hashes (all but 0.2**KEYS of the pairs at 0.8 share one), pivot
-    distances discard pairs of fingerprints too far apart, and the survivors are verified by the Jaccard of their shingles.
+    distances and fingerprints of the distinct shingles discard pairs too far apart, and the survivors are linked by the
+    Jaccard of their shingles. Where a text has more than ``SKETCH`` shingles that is only a proposal, from the smallest
+    hashes and with a margin: the components of proposed links are linked again, by the Jaccard of whole sets.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = list(byte_values(b.column(2)))
-            th, keys, sets, whole = zip(*(sketch(t, words) for t in texts), strict=True) if texts else ((), (), (), ())
-            fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            th = np.array(th, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(th), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(whole, pa.bool_())], names=[id_col, "row", "th", "fp", "keys", "hashes", "whole"])
+            th, fps, keys, sets, rest = zip(*(sketch(t, words) for t in byte_values(b.column(2))), strict=True) if b.num_rows else ((), (), (), (), ())
+            th, fps = (np.array(x, np.uint64).view(np.int64) for x in (th, fps))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(th), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(rest, pa.binary())], names=[id_col, "row", "th", "fp", "keys", "hashes", "rest"])
 
     rows = docs.select(F.col(id_col), F.xxhash64(id_col, text_col).alias("row"), utf8(text_col).alias("bytes"))
-    prints = written(rows.mapInArrow(run, f"`{id_col}` {kind}, row long, th long, fp long, keys array<long>, hashes binary, whole boolean"), "sketches")
+    prints = written(rows.mapInArrow(run, f"`{id_col}` {kind}, row long, th long, fp long, keys array<long>, hashes binary, rest binary"), "sketches")
     met = prints.select("th", F.explode("keys").alias("key")).groupBy("key").agg(F.min("th").alias("low"), F.max("th").alias("high")).filter("low <> high").select("key")
     found = written(prints.select("th", F.explode("keys").alias("key")).join(met, "key", "left_semi").select("th", "key").distinct(), "met")
-    texts = prints.select("th", "fp", "hashes", "whole").join(found.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
-    members = written(found.join(written(texts, "members"), "th"), "meetings")
-    linked = components(links_in_groups(members, ["key"], "th", ["fp", "hashes", "whole"], _similar(least, bits), tile=4096))
+    texts = prints.select("th", "fp", "hashes", "rest").join(found.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
+    members = written(texts.withColumn("whole", F.length("rest") == 0), "members")
+    met_again = written(found.join(members.drop("rest"), "th"), "meetings")
+    proposed = components(links_in_groups(met_again, ["key"], "th", ["fp", "hashes", "whole"], _similar(least, bits), tile=4096))
+    discard(met_again)
+    sized = members.select(F.col("th").alias("node"), "whole").join(proposed, "node")
+    unsure = written(sized.groupBy("label").agg(F.every("whole").alias("whole")).filter("NOT whole").select("label"), "unsure")
+    sure = proposed.join(unsure, "label", "left_anti").select("node", "label")
+    again = members.join(proposed.join(unsure, "label").select(F.col("node").alias("th"), "label"), "th")
+    again = written(again.select("label", "th", "fp", F.concat("hashes", "rest").alias("hashes"), F.lit(True).alias("whole")), "whole")
+    verified = components(links_in_groups(again, ["label"], "th", ["fp", "hashes", "whole"], _similar(least, bits)))
+    discard(again)
+    linked = written(sure.unionByName(verified.select("node", "label")), "linked")
     return prints.select(id_col, "row", "th"), linked
 
 

@@ -395,6 +395,23 @@ def test_similar_texts_are_grouped_as_brute_force_groups_them(spark):
     assert {r.doc_id for r in out.collect()} == {k for k in range(len(rows)) if root(k) == k}
 
 
+def test_long_texts_are_linked_by_whole_sets_and_repeats_do_not_count(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(30):
+        ws = prose(1000 + k, 900).split()
+        other = list(ws)
+        for at in rng.sample(range(900), 16 + k):
+            other[at] = f"other{rng.random()}"
+        rows += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(other))]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    alike = {k for k in range(0, 60, 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])}
+    assert 4 < len(alike) < 26
+    rows += [(100, prose(7, 60) + " a b c d e" * 3), (101, prose(7, 60) + " a b c d e" * 300)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 60, 2)) | {k + 1 for k in range(0, 60, 2) if k not in alike} | {100}
+
+
 # 7
 
 
