@@ -7,7 +7,7 @@ segment, loss-bearing tokens, each over its limit) has the largest dot product w
 example fits, one is cut so that the bin is full; its rest stays in the window. The last bin of a task is cut into
 sequences of powers of two, which need no padding.
 
-Cases: a null or empty text is an example of the end token alone; repeated rows are packed once each; an empty table
+Cases: limits under 1 are refused (ValueError); a null or empty text is an example of the end token alone; repeated rows are packed once each; an empty table
 gives no rows. Sequence ids hold the task's number, so a task that runs again gives the same ids.
 """
 
@@ -34,6 +34,8 @@ class Packer:
     """Packs (key, ids, loss-bearing tokens at the end) into sequences; gives (key, start, length, ids, sequence, offset)."""
 
     def __init__(self, first: int, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS):
+        if min(tokens, segments, loss) < 1:
+            raise ValueError("a sequence takes at least one token, segment and loss-bearing token")
         self.limits = np.array([tokens, segments, loss], float)
         self.tokens, self.segments, self.loss = tokens, segments, loss
         self.sequence = first

@@ -1,13 +1,19 @@
 """Token counts by overlap resynchronisation.
 
-A text longer than ``CHUNK`` bytes is encoded in chunks that overlap. Every chunk's tokens come with offsets; two
-neighbours are spliced at a position inside their overlap that (1) begins or ends a token in both encodings, and (2) is a
-proven stable place: white space, which the tokenizer's pre-tokenizer never lets a token cross. While the encodings of
-the overlap differ behind that place, or there is none, the overlap is doubled, at most until the chunk holds the rest.
+A text longer than ``CHUNK`` bytes is encoded by the library in chunks that overlap; every chunk's tokens come with offsets
+and with the pre-token that they belong to. Two neighbours are spliced at the first place in their overlap where
 
-A chunk is encoded word by word (words split at ASCII white space, itself such a stable place): known words come from a
-bounded memory, new ones are encoded by the library, many in one call. Words that could hold a special token's string
-or that the one call doesn't give back in full go to the library alone.
+1. a pre-token begins in both encodings, at a character of which no token before shows a part (one character may become a
+   letter and a mark). The pre-tokenizer scans from left to right and decides by what follows alone, so from such a place
+   on both encodings must go on alike; and
+2. they do: all tokens behind it that both chunks show are equal, ids and offsets.
+
+Tokens near a chunk's end, which the text behind it may change, are never used. While there is no such place, the overlap
+is doubled; when it has reached the last splice, the two chunks are encoded as one that begins there.
+
+Other texts are encoded word by word, words split at ASCII white space, which no pre-token crosses: known words come from a
+bounded memory, new ones are encoded by the library. Many words of letters alone, each one pre-token, go in one call.
+What counts as a letter is asked of the library's own normalizer and pre-tokenizer, once for each character.
 
 Cases: null and empty texts have 0 tokens; repeated ids and texts are counted once per row; an empty table gives no rows.
 """
@@ -17,6 +23,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import accumulate
+from string import ascii_letters
+from unicodedata import combining
 
 import numpy as np
 import public_tokenizers
@@ -30,8 +38,8 @@ from .common import batch, byte_values, table, utf8
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LIMIT = 2048
 CHUNK, OVERLAP = 1 << 16, 1 << 10
-#: Words that a worker remembers; when it is full, it starts anew.
-MEMORY = 400_000
+#: Bytes that a worker's memory of words may take, and what a word takes beside its letters; when full, it starts anew.
+MEMORY, EACH = 160_000_000, 350
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -44,57 +52,89 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # does an id end a pre-token?
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.special = tuple(t.content.encode() for t in self.library.get_added_tokens_decoder().values())
+        self.margin = max(map(len, self.special), default=0) + 2
         self.known: dict[bytes, bytes] = {}
+        self.size = 0
+        self.letters, self.others = set(ascii_letters), set()  # characters asked about, by what the library takes them for
 
     def ids(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _is_letter(self, c: str) -> bool:
+        """Does the library read a character, in its normal form, as a part of the word before it?"""
+        form = self.library.normalizer.normalize_str(c)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(f"\u4e2d{form}.")
+        return combining(c) == 0 and [at for _, at in pieces] == [(0, 1 + len(form)), (1 + len(form), 2 + len(form))]
+
+    def one_unit(self, word: bytes) -> bool:
+        """Is a word of letters alone, so that it is one pre-token whatever marks or white space follow?"""
+        if word.isascii():
+            return word.isalpha()
+        found = set(word.decode())
+        for c in found - self.letters - self.others:
+            (self.letters if self._is_letter(c) else self.others).add(c)
+        return found <= self.letters
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.size = 0
+
     def learn(self, new: set[bytes]) -> None:
         """Add lower-case words to the memory."""
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-        marked = {}
-        for w in new:  # a word and the marks behind it are two pre-tokens
-            if w[-1] in _PUNCTUATION and (body := w.rstrip(_PUNCTUATION)) and (body[-1:].isalnum() or body[-1] >= 0x80 and body.decode()[-1].isalpha()):
-                marked[w] = (body, w[len(body) :])
-        plain = new.difference(marked)
-        plain.update(x for pair in marked.values() for x in pair)
-        self._encode_words(list(plain.difference(self.known)))
+        more = 3 * sum(map(len, new)) + EACH * len(new)
+        if self.size + more > MEMORY:
+            self.forget()
+        self.size += more
+        units = set(filter(bytes.isalpha, new))
+        marked, plain = {}, set()
+        for w in new.difference(units):
+            body = w.rstrip(_PUNCTUATION)
+            if body and self.one_unit(body):
+                units.add(body)
+                if len(body) < len(w):  # a word of letters and the marks behind it are two pre-tokens
+                    marked[w] = (body, w[len(body) :])
+                    plain.add(w[len(body) :])
+            else:
+                plain.add(w)
         known = self.known
+        self._encode_words(list(units.difference(known)), list(plain.difference(known)))
         known.update((w, known[body] + known[mark]) for w, (body, mark) in marked.items())
 
-    def _encode_words(self, words: list[bytes]) -> None:
-        """A word of letters alone is one pre-token, of which the last id tells the end: many are encoded in one call."""
-        many = [w for w in words if w.decode().isalpha()]
-        for start in range(0, len(many), 5000):
-            part = many[start : start + 5000]
+    def _encode_words(self, units: list[bytes], words: list[bytes]) -> None:
+        """A word that is one pre-token has one id that tells its end: many are encoded in one call. Others are encoded one by one."""
+        for start in range(0, len(units), 5000):
+            part = units[start : start + 5000]
             ids = np.asarray(self.library.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != len(part):
+                words += part
                 continue
             raw = ids.tobytes()
             self.known.update(zip(part, (raw[a * 4 : b * 4] for a, b in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)), strict=True))
-        rest = [w for w in words if w not in self.known]
-        for start in range(0, len(rest), 2000):
-            part = rest[start : start + 2000]
+        for start in range(0, len(words), 2000):
+            part = words[start : start + 2000]
             for w, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.known[w] = np.asarray(e.ids, "<u4").tobytes()
 
     def encode(self, text: bytes, words: list[bytes] | None = None) -> bytes:
         """The ids of a whole text, of any length; ``words``: those of its lower case, if they are known."""
-        if words is None or len(text) > CHUNK or b"<|" in text:
+        if len(text) > CHUNK:
+            return b"".join(resynchronised(text.decode(), self.chunk, margin=self.margin))
+        if words is None or b"<|" in text:
             low = text.lower()
             if any(s in low for s in self.special):
                 return self.ids(text.decode())
-            if len(low) > CHUNK:
-                return b"".join(resynchronised(low, self.chunk))
             words = low.split()
         return b"".join(self.looked_up(words))
 
-    def chunk(self, text: bytes) -> tuple[list[bytes], list[bytes]]:
-        """Ids of each word of a lower-case chunk, and the words."""
-        words = text.split()
-        return self.looked_up(words), words
+    def chunk(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a chunk: ids, begin and end of each token in it, and whether a pre-token begins there."""
+        e = self.library.encode(text, add_special_tokens=False)
+        at = np.array(e.offsets, np.int64).reshape(-1, 2)
+        unit = np.array([-1 if u is None else u for u in e.word_ids], np.int64)
+        begins = np.ones(len(unit), bool)
+        begins[1:] = (unit[1:] != unit[:-1]) | (unit[1:] < 0) | (unit[:-1] < 0)
+        return np.asarray(e.ids, "<u4"), at[:, 0], at[:, 1], begins
 
     def looked_up(self, words: list[bytes]) -> list[bytes]:
         try:
@@ -106,55 +146,60 @@ class WordEncoder:
             return list(map(self.known.__getitem__, words))
 
 
-def resynchronised(text: bytes, encode: Callable[[bytes], tuple[list[bytes], list[bytes]]], chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[bytes]:
+def resynchronised(text: str, encode: Callable[[str], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = 2) -> Iterator[bytes]:
     """The ids of a huge text in pieces, from overlapping chunks.
 
-    ``encode`` gives the ids of each unit of a chunk and the units; units don't cross white space, and stand in the text
-    in this order. The last unit of a chunk may be cut off: it is never used. A chunk begins where the last splice was
-    made less the overlap; its units are compared with those of the overlap that came before.
+    ``encode`` gives ids, begins, ends, and where pre-tokens begin, of a chunk. ``margin``: how many
+    characters behind a token may still change it.
     """
-    def laid(begin: int, end: int) -> tuple[list[int], list[int], list[bytes]]:
-        """Begin and end offsets, and ids, of the units of text[begin:end]."""
-        while begin and text[begin] & 0xC0 == 0x80:
-            begin -= 1
-        while end < len(text) and text[end] & 0xC0 == 0x80:
-            end -= 1
-        ids, units = encode(text[begin:end])
-        starts, ends, at = [], [], begin
-        for u in units:
-            at = text.index(u, at)
-            starts.append(at)
-            at += len(u)
-            ends.append(at)
-        return starts, ends, ids
-
-    begin, done, back, size = 0, 0, overlap, chunk
-    previous: dict[int, tuple[int, bytes]] = {}  # what the last chunk found behind the splice: begin -> end, ids
-    while True:
-        end = min(len(text), begin + size)
-        starts, ends, ids = laid(begin, end)
-        first = 0
-        if done:
-            # the splice: the first unit from ``done`` on that both encodings have with the same end and ids
-            first = next((k for k, s in enumerate(starts) if s >= done and previous.get(s) == (ends[k], ids[k])), -1)
-            if first < 0 or any(s < starts[first] and s >= done for s in previous):
-                back *= 2  # no agreement: look further back and further on
-                begin, size = max(0, done - back), size + back
-                if begin == 0 and end == len(text):
-                    first = next((k for k, s in enumerate(starts) if s >= done), len(starts))
-                else:
-                    continue
-        if end == len(text):
-            yield b"".join(ids[first:])
-            return
-        stop = next((k for k in range(len(starts) - 1, first, -1) if ends[k] <= end - back), -1)
-        if stop < 0:  # one unit fills the chunk
-            size *= 2
-            continue
-        yield b"".join(ids[first:stop])
-        done = starts[stop]
-        previous = {starts[k]: (ends[k], ids[k]) for k in range(stop, len(starts) - 1)}
-        begin, back, size = max(0, done - overlap), overlap, chunk
+
+    def laid(begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, begins and stable begins of text[begin:end], without the tokens that what follows could change."""
+        ids, starts, ends, units = encode(text[begin:end])
+        n = len(ids)
+        if end < len(text):
+            heads = np.flatnonzero(units)
+            stops = np.append(ends[heads[1:] - 1], end)  # the last pre-token may go on, whatever its end
+            late = np.flatnonzero(stops > end - begin - margin)
+            n = int(heads[late[0]]) if len(late) else n
+        stable = units.copy()
+        stable[1:] &= ends[:-1] <= starts[1:]
+        return ids[:n], starts[:n] + begin, stable[:n]
+
+    end = min(len(text), chunk)
+    ids, starts, stable = laid(0, end)
+    done = 0  # the last splice: ids before it have been given, ``ids`` begin there
+    while end < len(text):
+        back = overlap
+        while True:
+            begin = end - back
+            following = min(len(text), end + chunk)
+            if begin <= done:  # as wide as the whole chunk: both as one, from the last splice
+                ids, starts, stable = laid(done, following)
+                break
+            new_ids, new_starts, new_stable = laid(begin, following)
+            place = _splice(text, (ids, starts, stable), (new_ids, new_starts, new_stable))
+            if place:
+                yield ids[: place[0]].tobytes()
+                ids, starts, stable = new_ids[place[1] :], new_starts[place[1] :], new_stable[place[1] :]
+                done = int(starts[0])
+                break
+            back *= 2
+        end = following
+    yield ids.tobytes()
+
+
+def _splice(text: str, left: tuple, right: tuple) -> tuple[int, int] | None:
+    """Where (token of the left chunk, token of the right one) both have a stable begin behind which they agree."""
+    ids, starts, stable = left
+    new_ids, new_starts, new_stable = right
+    heads, new_heads = np.flatnonzero(stable), np.flatnonzero(new_stable)
+    _, a, b = np.intersect1d(starts[heads], new_starts[new_heads], return_indices=True)
+    for i, j in zip(heads[a].tolist(), new_heads[b].tolist(), strict=True):
+        n = len(ids) - i
+        if combining(text[starts[i]]) == 0 and len(new_ids) - j >= n and np.array_equal(ids[i:], new_ids[j : j + n]) and np.array_equal(starts[i:], new_starts[j : j + n]):
+            return i, j
+    return None
 
 
 @cache
@@ -175,7 +220,7 @@ def encoded(texts: list[bytes], path: str) -> Iterator[bytes]:
             yield e.encode(t, w)
 
 
-def _portions(texts: list[bytes], size: int = 1 << 21) -> Iterator[list[bytes]]:
+def _portions(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
     """Texts, some ``size`` bytes at a time."""
     begin = total = 0
     for k, n in enumerate(accumulate(map(len, texts))):

@@ -5,7 +5,7 @@ import random
 import re
 import unicodedata
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -265,29 +265,63 @@ def test_tokens_equal_the_library(docs, odd):
         assert sorted(r.n_tokens for r in tokens.count(df).collect()) == want
 
 
+def test_ids_of_odd_letters_equal_the_library(spark):
+    """Letters whose normal form is more than a letter, marks that compose, and texts of any code points."""
+    rng = random.Random(5)
+    pool = [chr(c) for c in range(0x21, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts = ["DİYARBAKIRLI NACİ.", "Kızılcahamam NACİ, AVCİ!", "\u095e. \u0a36, \u0f4c..", "x\u0301, é'", "<|endoftext|>", "<|ENDOFTEXT|> a"]
+    texts += ["".join(rng.choice(pool) if rng.random() < 0.5 else rng.choice("aB'.,! sZ9-İ\u0338\u0301ſK") for _ in range(rng.randint(1, 16))) for _ in range(20_000)]
+    want = [np.asarray(LIBRARY.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(tokens.encoded([t.encode() for t in texts], tokens.VOCABULARY)) == want
+    few = texts[:200]
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(few)), "doc_id long, text string")).collect()
+    got = defaultdict(bytes)
+    for p in sorted(pieces, key=lambda p: p.start):
+        got[p.doc_id] += bytes(p["ids"])
+    assert [got[k] for k in range(200)] == [w + packing.END for w in want[:200]]
+
+
 def test_resynchronised_chunks_equal_the_whole():
     rng = random.Random(5)
-    letters = list("aB'sdtreÉçß .,!?\n\t\x0b\x85 Σσς́ﬁ٣中🙂0129%$<>_ ")
+    letters = list("aB'sdtreÉçß .,!?\n\t\x0b\x85 Σσς\u0301ﬁ٣中🙂0129%$<>_ İ\u1100\u1161\u11a8")
     e = tokens.encoder(tokens.VOCABULARY)
-    for _ in range(200):
-        t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 400)))
+    for k in range(400):
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 400))) + ("<|endoftext|>" + "x" * rng.randint(0, 300)) * (k % 4 == 0)
         want = LIBRARY.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(b"".join(tokens.resynchronised(t.lower().encode() if t.isascii() else t.encode().lower(), e.chunk, 64, 16)), "<u4").tolist() == want
-        assert np.frombuffer(e.encode((t + "<|endoftext|>").encode()), "<u4").tolist() == LIBRARY.encode(t + "<|endoftext|>", add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(tokens.resynchronised(t, e.chunk, 64, 20, e.margin)), "<u4").tolist() == want
+
+
+def test_overlaps_widen_where_chunks_do_not_align():
+    e = tokens.encoder(tokens.VOCABULARY)
+    t = "one two " + "a" * 3000 + " three " + "b." * 200
+    calls = []
+    got = b"".join(tokens.resynchronised(t, lambda part: calls.append(len(part)) or e.chunk(part), 256, 32, e.margin))
+    assert np.frombuffer(got, "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+    assert max(calls) > 3000 and len(calls) > 20  # the long word was encoded as one
+    aligned = []
+    list(tokens.resynchronised("one two three " * 200, lambda part: aligned.append(len(part)) or e.chunk(part), 256, 64, e.margin))
+    assert max(aligned) <= 256 + 64
+
+
+def test_huge_texts_equal_the_library(spark):
+    t = prose(3, 60_000) + " NACİ." + "é" * 70_000 + prose(4, 20_000)
+    row = tokens.count(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+    assert len(t.encode()) > 4 * tokens.CHUNK and (row.n_tokens, row.n_bytes) == (len(LIBRARY.encode(t, add_special_tokens=False).ids), len(t.encode()))
 
 
 def test_packing_is_an_exact_round_trip(docs, odd):
     for df in (docs, odd):
         pieces = packing.pack(df).collect()
-        by_doc, by_sequence = defaultdict(list), defaultdict(list)
-        for p in pieces:
+        by_doc, by_sequence = defaultdict(bytes), defaultdict(list)
+        many = Counter(r.doc_id for r in df.collect())
+        for p in sorted(pieces, key=lambda p: p.start):
             assert zlib.crc32(bytes(p["ids"])) == p.ids_crc32 and len(p["ids"]) == 4 * p.length > 0
             by_sequence[p.sequence_id].append((p.offset, p.length))
-            by_doc[p.doc_id].append((p.start, bytes(p["ids"])))
-        whole = defaultdict(list)
-        for r in df.collect():
-            whole[r.doc_id].append(np.array([*LIBRARY.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
-        assert {k: sorted(b"".join(x for _, x in sorted(v))) for k, v in by_doc.items()} == {k: sorted(b"".join(v)) for k, v in whole.items()}
+            assert many[p.doc_id] > 1 or p.start * 4 == len(by_doc[p.doc_id])
+            by_doc[p.doc_id] += bytes(p["ids"])
+        whole = {r.doc_id: np.array([*LIBRARY.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for r in df.collect()}
+        assert {k: v for k, v in by_doc.items() if many[k] == 1} == {k: v for k, v in whole.items() if many[k] == 1}
+        assert all(len(by_doc[k]) == many[k] * len(whole[k]) for k in many)  # repeated rows are packed once each
         padding = 0
         for parts in by_sequence.values():
             at = 0
@@ -314,6 +348,26 @@ def test_packing_obeys_all_limits():
         segments[x[5]] += 1
         used[x[5]] += x[2]
     assert max(segments.values()) <= 3 and max(used.values()) <= 64
+    for limits in ((64, 3, 0), (64, 0, 4), (0, 1, 1)):
+        with pytest.raises(ValueError):
+            packing.Packer(0, *limits)
+
+
+def test_conversations_are_packed_under_the_loss_limit(spark):
+    """Instruction data: the first half of each turn bears no loss; at most 512 tokens of a sequence do."""
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").withColumn("key", F.concat_ws("-", "conv_id", "turn"))
+    turns = turns.withColumn("answer", (F.length("text") / 8).cast("long"))
+    begins = {r.key: r.answer for r in turns.collect()}
+    loss, total = defaultdict(int), defaultdict(int)
+    for p in packing.pack(turns, "key", loss=512, segments=16, loss_from_col="answer").collect():
+        loss[p.sequence_id] += max(0, p.start + p.length - max(p.start, begins[p.key]))
+        total[p.sequence_id] += p.length
+    assert max(loss.values()) <= 512 and max(total.values()) <= 2048
+    assert len(total) <= max(sum(loss.values()) / 512, sum(total.values()) / 2048) + 1 + 11  # the last are powers of two
+
+
+def test_tokens_of_an_empty_table(empty):
+    assert tokens.count(empty).count() == 0 and packing.pack(empty).count() == 0
 
 
 # 6
