@@ -8,9 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where that is unset, as in tests."""
+    """``spark.checkpoint.dir``; where that is unset, a folder of our own if all runs on this machine, else ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='kymo-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
