@@ -517,6 +517,31 @@ def test_network_learns_and_base_stays():
         assert set(base) <= set(every)
 
 
+def test_all_bytes_of_a_candidate_are_read_and_the_threshold_keeps_the_recall():
+    for n in (16, 48, 49, 72, 97, 120, 500):
+        t = b"x" * 40 + b" " + bytes(65 + k % 26 for k in range(n)) + b" tail"
+        seen = secrets.windows(t, 41, 41 + n)
+        body = b"".join(w[secrets.CONTEXT : -secrets.CONTEXT] for w in seen)
+        assert all(t[k : k + min(n, 24)] in body for k in range(41, 41 + n - min(n, 24) + 1))
+        assert seen[-1][: -secrets.CONTEXT].rstrip(b"\0").endswith(t[41 : 41 + n][-16:])
+    rng = random.Random(8)
+    texts = [f"{prose(k, 50)} token = \"{rng.getrandbits(160):040x}\" {prose(k + 1, 50)} Host{k}.example.com/Index{k}.html {prose(k + 2, 30)}".encode() for k in range(400)]
+    net = secrets.train(texts)
+    parts, y = secrets.labelled(texts[3::5], np.random.default_rng(5), 300)
+    assert (net.probability(parts)[y == 1] >= net.threshold).mean() >= 0.95 and net.report["recall"] >= 0.95 and net.report["precision"] >= 0.8
+
+
+def test_runs_around_base_findings_are_candidates():
+    text = b"x sk_live_AbCdEfGh0123456789abcdef0123XYZxyzQQ password=abcdefghijklmn1 y"
+    found = secrets.base(text)
+    assert [k for *_, k in found] == ["hex", "assign"]
+    assert [text[a:b] for a, b in secrets.candidates(text, found)] == [b"sk_live_AbCdEfGh0123456789abcdef0123XYZxyzQQ"]
+
+
+def test_scan_of_an_empty_table(empty):
+    assert secrets.scan(empty).count() == 0 and secrets.redact(empty).count() == 0
+
+
 def test_redaction_keeps_other_rows(odd):
     out = secrets.redact(odd, net=secrets.train([]))
     assert out.columns == odd.columns and sorted(map(str, (r.text for r in out.collect()))) == sorted(map(str, (r.text for r in odd.collect())))
