@@ -33,6 +33,8 @@ from .common import batch, shared_dir, table, utf8, written
 
 LEAST = 1000
 FRAME_BYTES = 1 << 18
+#: Compressed bytes of archives that a task reads back.
+READ_BYTES = 1 << 24
 #: Fixed values of the public seekable format: magic numbers of the skippable frame and of the seek table's footer.
 _SKIPPABLE, _FOOTER = 0x184D2A5E, 0x8F92EAB1
 #: Groups of equal payloads are dealt to so many tasks each.
@@ -130,7 +132,7 @@ def roles(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html",
 
 
 def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least: int = LEAST) -> DataFrame:
-    """Write every row as a record; gives the index (``bundle``, id, ``frame``, ``offset``)."""
+    """Write every row as a record; gives the index (``bundle``, id, ``frame``, ``offset``, ``packed``: bytes of a frame, at its first record)."""
     key = F.xxhash64(id_col, "digest").alias("key")
     known = roles(pages, id_col, payload_col, least).select(key, "digest", "size", "refers_to").dropDuplicates(["key", "digest"])
     raw = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string").alias("url"), utf8(payload_col).alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("key", key)
@@ -155,15 +157,21 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", payloa
             return
         fs.move(part, path)
         ids, frames, offsets = zip(*bundle.places, strict=True)
-        yield batch(f"bundle string, {id_col} long, frame int, offset long", [[name] * n, ids, frames, offsets])
+        packed = [0 if at else bundle.frames[k][0] for k, at in zip(frames, offsets, strict=True)]
+        yield batch(f"bundle string, {id_col} long, frame int, offset long, packed long", [[name] * n, ids, frames, offsets, packed])
 
-    return rows.mapInArrow(run, f"bundle string, `{id_col}` long, frame int, offset long")
+    return rows.mapInArrow(run, f"bundle string, `{id_col}` long, frame int, offset long, packed long")
 
 
 def read_bundles(index: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Every record of the bundles of an index, read frame by frame: id, type, lengths and digests as the archive has them."""
+    """Every record of the bundles of an index, read frame by frame: id, type, lengths and digests as the archive has them.
+
+    The frames are dealt to a task for each READ_BYTES of them, whatever the size of the index.
+    """
+    packed = index.agg(F.sum("packed")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-packed // READ_BYTES))
     frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct(F.col(id_col).alias("id"), "offset")).alias("places"))  # a frame's records: bounded by FRAME_BYTES
-    dealt = frames.repartition("bundle", "frame")
+    dealt = frames.repartition(tasks, "bundle", "frame")
     schema = f"`{id_col}` long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

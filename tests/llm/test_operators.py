@@ -483,6 +483,19 @@ def test_archives_read_back(spark, tmp_path):
         assert all(a[0] + a[1] == b[0] for a, b in zip(frames, frames[1:], strict=False))
 
 
+def test_archives_of_an_empty_table_and_tasks_that_read(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(k, "u", f"page {k} " * 300) for k in range(200)], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "FRAME_BYTES", 2000)
+    monkeypatch.setattr(warc, "READ_BYTES", 500)
+    index = written(warc.write_bundles(pages, f"file://{tmp_path}/w"), "i")
+    read = warc.read_bundles(index)
+    packed = index.agg(F.sum("packed")).first()[0]
+    assert sum(f.stat().st_size for f in tmp_path.glob("w/*.zst")) > packed > 0 and read.count() == 200
+    assert read.rdd.getNumPartitions() >= packed // 500
+    none = written(warc.write_bundles(pages.limit(0), f"file://{tmp_path}/v"), "i")
+    assert warc.read_bundles(none).count() == 0
+
+
 # 8
 
 
