@@ -568,3 +568,40 @@ def test_licences_of_odd_rows(odd, empty, spark):
     text = prose(1, 30) + "\nReleased under the MIT license!\n" + prose(2, 30) + ". Licensed under CC BY-NC 4.0. " + licenses._MIT
     row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert set(row.licenses.split(",")) == {"MIT", "CC-BY-NC-4.0"} and row.dice == 1.0
+
+
+def brute_licences(text):
+    """The best span of each template over all spans of words; those that overlap a better one are left out."""
+    ws = re.findall(r"[^\W_]+", (text or "").lower())
+    pairs = [f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)]
+    placed = []
+    for name, t in licenses.TEMPLATES:
+        want = set(licenses.template_bigrams(t))
+        best = (0, 0, 0, name)
+        if len(want & set(pairs)) * 2 >= licenses.LEAST * len(want):
+            for a in range(len(pairs)):
+                span = set()
+                for b in range(a, min(len(pairs), a + int(len(want) * 1.5))):
+                    span.add(pairs[b])
+                    best = max(best, (2 * len(span & want) / (len(span) + len(want)), -a, -b, name))
+        if best[0] >= licenses.LEAST:
+            placed.append((best[0], -best[1], -best[2], name))
+    return {m[3]: m[0] for m in sorted(placed) if not any(o[0] > m[0] and o[1] <= m[2] and o[2] >= m[1] for o in placed)}
+
+
+def test_licences_equal_brute_force_over_all_spans(spark):
+    wrap = lambda t, mark="": "\n".join(mark + " ".join(t.split()[k : k + 9]) for k in range(0, len(t.split()), 9))
+    edited = licenses._MIT.split()
+    edited[20:22] = ["some", "other", "words"]
+    del edited[50]
+    rows = [
+        prose(1, 60) + "\n" + wrap(licenses._MIT, " * ") + "\n" + prose(2, 60), wrap(licenses._APACHE + " " + licenses._APACHE_REST, "# ") + "\nimport x", " ".join([licenses._MIT] * 4), wrap(" ".join(edited)) + "\n\n" + wrap(licenses._MIT_REST),
+        "Copyright\n\n" + wrap(licenses._BSD + licenses._BSD_REST, "// "), "All rights are reserved. All rights reserved by us", "the software the software the software", "license", "", None, prose(3, 200),
+        " ".join(licenses._MIT.split()[:40]), f"{licenses._GPL.format(v=2)} {prose(5, 12)} {licenses._GPL.format(v=3)}",
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(rows):
+        want = brute_licences(text)
+        assert got[k].licenses == ",".join(sorted(want)) and got[k].n_matches == len(want), k
+        assert not want or np.isclose(got[k].dice, max(want.values())), k
+    assert got[0].license == got[2].license == "MIT" and got[1].license == "Apache-2.0" and got[4].dice == 1.0
