@@ -104,7 +104,7 @@ class WordEncoder:
         """A word that is one pre-token has one id that tells its end: many are encoded in one call. Others are encoded one by one."""
         for start in range(0, len(units), 5000):
             part = units[start : start + 5000]
-            ids = np.asarray(self.library.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ids = np.asarray(self.library.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != len(part):
                 words += part
@@ -116,16 +116,34 @@ class WordEncoder:
             for w, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.known[w] = np.asarray(e.ids, "<u4").tobytes()
 
-    def encode(self, text: bytes, words: list[bytes] | None = None) -> bytes:
-        """The ids of a whole text, of any length; ``words``: those of its lower case, if they are known."""
-        if len(text) > CHUNK:
-            return b"".join(resynchronised(text.decode(), self.chunk, margin=self.margin))
-        if words is None or b"<|" in text:
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of whole texts, of any length; new words of all of them are learnt in few library calls."""
+        laid: list[tuple] = []
+        new: set[bytes] = set()
+        for text in texts:
             low = text.lower()
-            if any(s in low for s in self.special):
-                return self.ids(text.decode())
+            if len(text) > CHUNK or any(s in low for s in self.special):
+                laid.append((text,))
+                continue
             words = low.split()
-        return b"".join(self.looked_up(words))
+            ids = list(map(self.known.get, words))
+            holes, k = [], -1
+            for _ in range(ids.count(None)):
+                k = ids.index(None, k + 1)
+                holes.append(k)
+            new.update(map(words.__getitem__, holes))
+            laid.append((ids, holes, words))
+        if new:
+            self.learn(new)
+        for one in laid:
+            if len(one) == 1:
+                text = one[0].decode()
+                yield b"".join(resynchronised(text, self.chunk, margin=self.margin)) if len(one[0]) > CHUNK else self.ids(text)
+                continue
+            ids, holes, words = one
+            for k in holes:
+                ids[k] = self.known[words[k]]
+            yield b"".join(ids)
 
     def chunk(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of a chunk: ids, begin and end of each token in it, and whether a pre-token begins there."""
@@ -136,15 +154,6 @@ class WordEncoder:
         begins[1:] = (unit[1:] != unit[:-1]) | (unit[1:] < 0) | (unit[:-1] < 0)
         return np.asarray(e.ids, "<u4"), at[:, 0], at[:, 1], begins
 
-    def looked_up(self, words: list[bytes]) -> list[bytes]:
-        try:
-            return list(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words).difference(self.known))
-            if any(w not in self.known for w in words):  # the memory began anew
-                self.learn(set(words))
-            return list(map(self.known.__getitem__, words))
-
 
 def resynchronised(text: str, encode: Callable[[str], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = 2) -> Iterator[bytes]:
     """The ids of a huge text in pieces, from overlapping chunks.
@@ -209,15 +218,9 @@ def encoder(path: str) -> WordEncoder:
 
 
 def encoded(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """Ids of each text; new words of all texts together are learnt in few library calls."""
-    e = encoder(path)
+    """Ids of each text."""
     for held in _portions(texts):
-        words = [t.lower().split() if len(t) <= CHUNK else [] for t in held]
-        new = set().union(*words).difference(e.known)
-        if new:
-            e.learn(new)
-        for t, w in zip(held, words, strict=True):
-            yield e.encode(t, w)
+        yield from encoder(path).encode(held)
 
 
 def _portions(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
