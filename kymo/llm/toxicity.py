@@ -29,11 +29,12 @@ from pyspark.sql import types as T
 
 from .common import byte_values, table, texts_of, utf8
 
-ORDER, DECAY, SHARPEN = 4, 0.6, 4
+ORDER, DECAY, SHARPEN = 4, 0.9, 4
 LANDMARKS, APART = 64, 0.85
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
-#: Kernel values under this are taken as none, and so are those of words that have fewer of a landmark's letter pairs than PAIRS.
-LEAST, PAIRS = 0.04, 0.5
+#: Kernel values under this are taken as none, and so are those of words that have fewer than COVER of a landmark's letters in
+#: its order, whatever stands between them.
+LEAST, COVER = 0.001, 0.6
 #: Words longer than this are read in windows of this length that overlap by half.
 LONGEST = 32
 MEMORY = 600_000
@@ -118,11 +119,24 @@ def _own(rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def _pairs(strings: list[bytes]) -> np.ndarray:
-    """A set of 64 bits of the letter pairs of each string, marks at its ends included."""
-    codes = _codes(strings).astype(np.uint64)
-    pair = (codes[:, :-1] * np.uint64(37) + codes[:, 1:]) % np.uint64(64)
-    return np.bitwise_or.reduce(np.where(codes[:, 1:] > 0, np.uint64(1) << pair, np.uint64(0)), axis=1)
+def _letters(strings: list[bytes]) -> np.ndarray:
+    """A set of 64 bits of the bytes of each string."""
+    codes = _codes(strings)[:, 1:]
+    bit = np.uint64(1) << (codes.astype(np.uint64) & np.uint64(63))
+    width = np.array(list(map(len, strings)))
+    return np.bitwise_or.reduce(np.where(np.arange(codes.shape[1])[None, :] < width[:, None], bit, np.uint64(0)), axis=1)
+
+
+def in_order(rows: np.ndarray, other: bytes) -> np.ndarray:
+    """The length of the longest common subsequence of each row's string with ``other`` (of at most 63 bytes): one bit for each of its bytes."""
+    places = np.zeros(256, np.uint64)
+    for k, c in enumerate(other):
+        places[c] |= np.uint64(1 << k)
+    free = np.full(len(rows), (1 << len(other)) - 1, np.uint64)
+    for j in range(rows.shape[1]):
+        hit = free & places[rows[:, j]]
+        free = (free + hit) | (free - hit)
+    return len(other) - np.bitwise_count(free & np.uint64((1 << len(other)) - 1)).astype(np.int64)
 
 
 class Kernel:
@@ -132,8 +146,7 @@ class Kernel:
         self.landmarks = landmarks
         self.codes = [np.frombuffer(b"<" + s + b">", np.uint8) for s in landmarks]
         self.own = self_kernel(landmarks)
-        self.pairs = _pairs(landmarks)
-        self.lengths = np.array(list(map(len, landmarks)))
+        self.letters = _letters(landmarks)
         self.known: dict[bytes, int] = {}
         self.rows: list[np.ndarray] = [np.zeros(len(landmarks), np.float32)]
 
@@ -143,18 +156,22 @@ class Kernel:
         if not strings:
             return out
         lengths = np.array(list(map(len, strings)))
-        near = np.bitwise_count(_pairs(strings)[:, None] & self.pairs[None, :]) >= PAIRS * np.bitwise_count(self.pairs)[None, :]
-        near &= lengths[:, None] >= self.lengths[None, :] - 2
+        near = np.bitwise_count(_letters(strings)[:, None] & self.letters[None, :]) >= COVER * np.bitwise_count(self.letters)[None, :]
         any_near = near.any(axis=1)
         for low, high in _LENGTHS:
             some = np.flatnonzero(any_near & (lengths > low) & (lengths <= high))
             if not len(some):
                 continue
             part = [strings[i] for i in some]
-            codes, own = _codes(part), self_kernel(part)
+            codes = _codes(part)
+            own = np.zeros(len(part), np.float32)  # of those that some landmark needs
             for j, other in enumerate(self.codes):
                 rows = np.flatnonzero(near[some, j])
+                rows = rows[in_order(codes[rows], self.landmarks[j]) >= COVER * len(self.landmarks[j])]
                 if len(rows):
+                    missing = rows[own[rows] == 0]
+                    if len(missing):
+                        own[missing] = self_kernel([part[i] for i in missing])
                     raw = np.concatenate([raw_kernel(codes[rows[k : k + 2000]], other) for k in range(0, len(rows), 2000)])
                     out[some[rows], j] = raw / np.sqrt(own[rows] * self.own[j])
         out = out**SHARPEN
@@ -313,6 +330,8 @@ def _scores(column: pa.Array, model: Model) -> np.ndarray:
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the probability of the label 1 as column ``name``, in place of one of that name."""
+    if model.kernel:  # what was remembered of the sample isn't sent to the tasks
+        model.kernel.forget()
     held = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(name)
     at = docs.columns.index(text_col)
@@ -326,6 +345,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "s
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` without the rows of a score of ``least`` or more; nothing else changes."""
+    if model.kernel:
+        model.kernel.forget()
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -197,6 +197,34 @@ def test_toxicity_is_learnt_and_tolerates_inserted_letters():
     assert gapped > clean + 0.2
 
 
+def test_letters_inserted_throughout_score_as_the_kernel_defines():
+    """The filter before the kernel asks for a landmark's letters in order, whatever stands between them."""
+    words = [b"ixdxixoxt", b"iddiioot", b"idixot", b"sztzuzpzizd", b"stupiid", b"stxupid", b"unrelated", b"stu"]
+    kernel = toxicity.Kernel([b"idiot", b"stupid"])
+    got = kernel.values(words)
+    for j, landmark in enumerate(kernel.landmarks):
+        code = np.frombuffer(b"<" + landmark + b">", np.uint8)
+        for k, w in enumerate(words):
+            want = (toxicity.raw_kernel(toxicity._codes([w]), code)[0] / np.sqrt(toxicity.self_kernel([w])[0] * toxicity.self_kernel([landmark])[0])) ** toxicity.SHARPEN
+            if toxicity.in_order(np.frombuffer(w, np.uint8)[None, :], landmark)[0] >= toxicity.COVER * len(landmark):
+                assert np.isclose(got[k, j], want if want >= toxicity.LEAST else 0, rtol=1e-3)
+            else:
+                assert got[k, j] == 0
+    assert got[0, 0] > 0 and got[3, 1] > 0
+
+
+def test_insults_with_inserted_and_doubled_letters_are_caught():
+    rng = random.Random(3)
+    insult = ["grobnak", "vilthud", "snargle", "pigwort"]
+    hide = [lambda w, k: w[:k] + rng.choice("bcdfz") + w[k:], lambda w, k: w[:k] + w[k - 1] + w[k:], lambda w, k: w[:k] + "." + w[k:], lambda w, k: " ".join(w)]
+    bags = [" ".join(prose(k, 60).split() + [rng.choice(insult) for _ in range(3)] * (k % 3 == 0)) for k in range(300)]
+    model = toxicity.Model.fit([toxicity.words(b.encode()) for b in bags], [int(k % 3 == 0) for k in range(300)])
+    for change in hide:
+        hidden = [prose(1000 + k, 60) + "".join(f" {change(rng.choice(insult), rng.randrange(2, 6))} {prose(3000 + k, 3)}" for _ in range(3)) for k in range(60)]
+        assert (model.score([toxicity.words(t.encode()) for t in hidden]) >= 0.5).mean() >= 0.8
+    assert (model.score([toxicity.words(prose(2000 + k, 60).encode()) for k in range(60)]) < 0.5).mean() >= 0.95
+
+
 def test_toxicity_of_given_labels(spark):
     sf = "/root/testdata/sf0.01"
     scores = toxicity.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").select("score", "toxic").collect()
