@@ -1,20 +1,25 @@
-"""Substring deduplication: MinHash banding over paragraphs cut where their content says so.
-
-Passages are pasted into the middle of other lines, so a paragraph here ends at a line's end and also after each word
-pair whose hash is the smallest among ``RADIUS`` pairs on either side: a shared passage is cut the same way wherever it
-stands. Paragraphs of ``LEAST_UNIT`` words or more have a MinHash of their five-word shingles under ``BANDS`` functions,
-each a band of one row: at a Jaccard of 0.8 a pair meets in some band with 1 - 0.2**BANDS, equal paragraphs always.
-
-1. Every band key is counted, with partial counts in each task. Those met twice or more set bits of a bitmap of fixed
-   size; a key may be let through by chance, never held back.
-2. Paragraphs with such a key are kept with their shingles; equal ones are one class.
+"""Substring deduplication: MinHash banding over paragraphs, and over pieces that their content cuts.
+
+Paragraphs are lines of ``LEAST`` words or more, and blocks of shorter lines in a row that have as many together. Passages
+are also pasted into the middle of other text, so the words of a document, across its lines, are cut too: after each word pair
+whose hash is the smallest among ``RADIUS`` pairs on either side. A shared passage is cut the same way wherever it stands.
+Pieces have ``LEAST_UNIT`` words or more. Each unit has a MinHash of its five-word shingles under some functions, each a band of
+one row: a pair of a Jaccard of 0.8 meets in some band with 1 - 0.2**bands. Paragraphs have ``PARAGRAPH_BANDS`` (0.9997),
+pieces ``BANDS``: a passage has several of them, equal ones always meet.
+
+1. Every band key is counted, with partial counts in each task. Up to ``BITMAP_KEYS`` keys met twice or more set bits of a
+   bitmap that is broadcast (at most one bit in eight is set; a key may be let through by chance, never held back); more
+   of them meet the units in a shuffle.
+2. Units with such a key are kept with their shingles; equal ones are one class.
 3. Classes that share a key are compared by exact Jaccard (``links_in_groups``: groups of any size, no pair list).
-4. Connected components over classes; a component in two or more documents repeats. Neighbouring repeated paragraphs of
-   a document are one span; spans of fewer than ``LEAST`` words, with the context that their cuts prove, are left alone.
-   The first occurrence (smallest id, then position) of a component stays.
-
-Cases: null, empty and short texts have no paragraphs; copies of a document repeat all its passages; repeated rows with
-the same id, or with none, count as one document; an empty table gives no rows.
+4. Connected components over classes; a component in two or more documents repeats. Neighbouring repeated units of a
+   document are one span. A gap of up to ``BRIDGE`` words, as a changed word leaves, is bridged where the units on both
+   sides were first seen in one document at one distance; of such a span ``COVERED`` must be repeated units. Spans of fewer
+   than ``LEAST`` words, with the context that their cuts prove, are left alone. The first occurrence (smallest id, then
+   position) of a component stays.
+
+Cases: null, empty and short texts have no units; copies of a document repeat all its passages; repeated rows with the
+same id, or with none, count as one document; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,18 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_values, table, utf8, written
+from .common import byte_values, discard, table, utf8, written
 from .components import Forest, components, links_in_groups
 
-SHINGLE, RADIUS, BANDS, JACCARD = 5, 5, 2, 0.8
-LEAST_UNIT, LEAST = 6, 30
-#: Bits of the bitmap of repeated keys (16 MB), whatever the input's size.
+SHINGLE, RADIUS, BANDS, PARAGRAPH_BANDS, JACCARD = 5, 4, 2, 5, 0.8
+LEAST_UNIT, LEAST, BRIDGE, COVERED = 5, 30, 32, 0.45
+#: Bits of the bitmap of repeated keys (16 MB), and the keys that it takes at most.
 SLOTS = 27
+BITMAP_KEYS = 1 << SLOTS >> 3
 _BLOCK = 1 << 19
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93))
@@ -71,15 +77,45 @@ def blocks(text: bytes) -> Iterator[bytes]:
         start = end
 
 
-def units(text: bytes, radius: int = RADIUS) -> dict[str, np.ndarray] | None:
-    """Paragraphs of one block: ``first`` and ``last`` word (exclusive), whether line ends bound them, hashes and shingles."""
-    raw = np.frombuffer(text, np.uint8)
+def laid(texts: Iterator[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Blocks of one or more texts, some ``_BLOCK`` bytes together, with the number of each one's text."""
+    rows, held, size = [], [], 0
+    for k, text in enumerate(texts):
+        for block in blocks(text):
+            rows.append(k)
+            held.append(block)
+            size += len(block)
+            if size >= _BLOCK:
+                yield rows, held
+                rows, held, size = [], [], 0
+    if held:
+        yield rows, held
+
+
+def _smallest(padded: np.ndarray, at: np.ndarray, shifts: range) -> np.ndarray:
+    out = padded[at + shifts[0]]
+    for k in shifts[1:]:
+        np.minimum(out, padded[at + k], out=out)
+    return out
+
+
+def units(texts: list[bytes], radius: int = RADIUS) -> list[dict[str, np.ndarray]]:
+    """Pieces and paragraphs of some lower-case texts; nothing goes from one text to the next.
+
+    Each: ``text`` (its number), ``first`` and ``last`` word (exclusive), ``left`` and ``right`` (no cut that proves more
+    context), ``uid``, ``keys``, ``offsets`` and ``count`` of its ``shingles``. ``base`` is the number of words of each text.
+    """
+    raw = np.frombuffer(b"\n".join(texts), np.uint8)
     white = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], white, [True])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     n = len(starts)
-    if n < LEAST_UNIT:
-        return None
+    if not n:
+        return [{"base": np.zeros(len(texts), np.int64)}]
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+    base = np.bincount(text, minlength=len(texts))
+    begin_of = np.concatenate(([0], np.cumsum(base)[:-1]))  # first word of each text
+    ends_text = np.concatenate((text[1:] != text[:-1], [True]))
     # words joined by one space each: positions of the words in that text
     width = ends - starts
     at = np.concatenate(([0], np.cumsum(width + 1)[:-1]))
@@ -89,26 +125,39 @@ def units(text: bytes, radius: int = RADIUS) -> dict[str, np.ndarray] | None:
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
     hashed = lambda a, b: (sums[at[b] + width[b]] - sums[at[a]]) * down[at[a]]  # words a..b, both included
     index = np.arange(n)
-    pair = mix(hashed(index, np.minimum(index + 1, n - 1)), 0)
-    near = np.pad(pair, radius, constant_values=np.iinfo(np.uint64).max)
-    before = sliding_window_view(near[: n + radius - 1], radius).min(axis=1)  # of each place, the smallest of the RADIUS before it
-    behind = sliding_window_view(near[radius:], radius + 1).min(axis=1)
-    cut = (pair < before) & (pair == behind)  # the first of equals
+    pair = mix(hashed(index, index + ~ends_text), 0)
+    place = index + (text + 1) * (radius + 1)  # between texts there are more places than a window reaches
+    padded = np.full(int(place[-1]) + radius + 2, _MOST, np.uint64)
+    padded[place] = pair
+    cut = (pair < _smallest(padded, place, range(-radius, 0))) & (pair == _smallest(padded, place, range(radius + 1)))  # the first of equals
     lines = np.cumsum(raw == 10)
-    line_end = np.concatenate((lines[starts[1:]] != lines[ends[:-1] - 1], [True]))
-    stops = np.flatnonzero(cut | line_end) + 1
-    begins = np.concatenate(([0], stops[:-1]))
-    keep = stops - begins >= LEAST_UNIT
-    if not keep.any():
-        return None
-    by_line = np.concatenate(([True], line_end[stops[:-1] - 1]))
-    begins, stops, left, right = begins[keep], stops[keep], by_line[keep], line_end[stops - 1][keep]
-    count = stops - begins - SHINGLE + 1
-    offsets = np.concatenate(([0], np.cumsum(count)[:-1]))
-    first = np.repeat(begins - offsets, count) + np.arange(int(count.sum()))
-    shingles = mix(hashed(first, first + SHINGLE - 1), 1)
-    keys = [np.minimum.reduceat(mix(shingles, 2 + k), offsets) ^ np.uint64(k) for k in range(BANDS)]
-    return {"first": begins, "last": stops, "left": left, "right": right, "uid": mix(hashed(begins, stops - 1), 9).view(np.int64), "keys": np.stack(keys).view(np.int64), "offsets": offsets, "count": count, "shingles": (shingles >> np.uint64(32)).astype(np.uint32), "words": n}
+    breaks = np.concatenate((lines[starts[1:]] - lines[ends[:-1] - 1], [2]))  # line ends between a word and the next
+    breaks[ends_text] = 2
+
+    def made(begins: np.ndarray, stops: np.ndarray, least: int, bands: int, first_band: int, proves: bool) -> dict[str, np.ndarray]:
+        keep = stops - begins >= least
+        begins, stops = begins[keep], stops[keep]
+        if not len(begins):
+            return {}
+        count = stops - begins - SHINGLE + 1
+        offsets = np.concatenate(([0], np.cumsum(count)[:-1]))
+        first = np.repeat(begins - offsets, count) + np.arange(int(count.sum()))
+        shingles = mix(hashed(first, first + SHINGLE - 1), 1)
+        keys = [np.minimum.reduceat(mix(shingles, 2 + k), offsets) ^ np.uint64(k) for k in range(first_band, first_band + bands)]
+        left = np.ones(len(begins), bool) if not proves else begins == begin_of[text[begins]]
+        right = np.ones(len(begins), bool) if not proves else ends_text[stops - 1]
+        own = begin_of[text[begins]]
+        return {"text": text[begins], "first": begins - own, "last": stops - own, "left": left, "right": right, "uid": mix(hashed(begins, stops - 1), 9).view(np.int64), "keys": np.stack(keys).view(np.int64), "offsets": offsets, "count": count, "shingles": (shingles >> np.uint64(32)).astype(np.uint32)}
+
+    stops = np.flatnonzero(cut | ends_text) + 1
+    pieces = made(np.concatenate(([0], stops[:-1])), stops, LEAST_UNIT, BANDS, 0, True)
+    line_stops = np.flatnonzero(breaks > 0) + 1
+    line_begins = np.concatenate(([0], line_stops[:-1]))
+    short = line_stops - line_begins < LEAST
+    apart = np.concatenate(([True], (breaks[line_stops[:-1] - 1] > 1) | ~short[1:] | ~short[:-1]))  # does a block begin here?
+    heads = np.flatnonzero(apart)
+    paragraphs = made(line_begins[heads], line_stops[np.append(heads[1:], len(line_stops)) - 1], LEAST, PARAGRAPH_BANDS, BANDS, False)
+    return [{"base": base}, *(u for u in (pieces, paragraphs) if u)]
 
 
 def _linked(least: float):
@@ -139,16 +188,22 @@ def _linked(least: float):
     return link
 
 
-def repeated_keys(docs: DataFrame, text_col: str) -> np.ndarray:
-    """The bitmap of band keys that occur more than once."""
+def repeated_keys(docs: DataFrame, text_col: str) -> DataFrame:
+    """The band keys that occur more than once, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [u["keys"].ravel() for t in byte_values(b.column(0)) for block in blocks(t) if (u := units(block))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["key"])
+            for _, held in laid(byte_values(b.column(0))):
+                found = [u["keys"].ravel() for u in units(held)[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["key"])
+
+    counted = docs.select(utf8(text_col).alias("bytes")).mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return written(counted.filter("n > 1").select("key"), "keys")
+
 
-    counted = docs.select(utf8(text_col).alias("bytes")).mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    slot = counted.select(F.col("key").bitwiseAND((1 << SLOTS) - 1).alias("slot")).distinct()
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """A bit for the last SLOTS bits of each key."""
+    slot = keys.select(F.col("key").bitwiseAND((1 << SLOTS) - 1).alias("slot")).distinct()
     parts = slot.groupBy(F.shiftright("slot", 16).cast("int").alias("part")).agg(F.collect_list(F.col("slot").bitwiseAND(0xFFFF).cast("int")).alias("bits"))
     bitmap = np.zeros(1 << SLOTS >> 3, np.uint8)
     for row in parts.toLocalIterator():  # at most 2**11 parts of at most 2**16 bits
@@ -157,50 +212,61 @@ def repeated_keys(docs: DataFrame, text_col: str) -> np.ndarray:
     return bitmap
 
 
-def candidates(docs: DataFrame, bitmap: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """Paragraphs with a key in the bitmap: id, words ``first`` to ``last``, bounds, class ``uid``, ``keys``, ``shingles``."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+def candidates(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, bitmap_keys: int = BITMAP_KEYS) -> DataFrame:
+    """Units with one of ``keys``: id, words ``first`` to ``last``, bounds, class ``uid``, ``keys``, ``shingles``. Written."""
+    few = keys.count() <= bitmap_keys
+    held = docs.sparkSession.sparkContext.broadcast(bitmap_of(keys) if few else None)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = "doc {}, first long, last long, by_left boolean, by_right boolean, uid long, keys array<long>, shingles binary"
+    schema = f"doc {kind}, first long, last long, by_left boolean, by_right boolean, uid long, keys array<long>, shingles binary"
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for b in batches:
-            rows, columns = [], [[] for _ in range(6)]
-            for k, text in enumerate(byte_values(b.column(1))):
-                base = 0
-                for block in blocks(text):
-                    u = units(block)
-                    if u is None:
-                        base += len(block.split())
-                        continue
+            before = np.zeros(b.num_rows, np.int64)  # words of a text in blocks that came before
+            for rows, texts in laid(byte_values(b.column(1))):
+                row = np.array(rows)
+                counted, *found = units(texts)
+                same = np.concatenate(([False], row[1:] == row[:-1]))
+                done = np.cumsum(counted["base"]) - counted["base"]
+                lead = before[row] + np.where(same, done - done[np.maximum.accumulate(np.where(same, 0, np.arange(len(row))))], 0)
+                np.add.at(before, row, counted["base"])
+                for u in found:
                     slots = u["keys"] & ((1 << SLOTS) - 1)
-                    hit = np.flatnonzero(((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).any(axis=0))
-                    rows += [k] * len(hit)
-                    for c, name in zip(columns, ("first", "last", "left", "right", "uid"), strict=False):
-                        c += (u[name][hit] + (base if name in ("first", "last") else 0)).tolist() if name in ("first", "last") else u[name][hit].tolist()
-                    columns[5] += [(u["keys"][:, j].tolist(), u["shingles"][u["offsets"][j] : u["offsets"][j] + u["count"][j]].tobytes()) for j in hit.tolist()]
-                    base += u["words"]
-            keys, shingles = zip(*columns[5], strict=True) if columns[5] else ((), ())
-            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_()), pa.array(columns[3], pa.bool_()), pa.array(columns[4], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(shingles, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *arrays], names=["doc", "first", "last", "by_left", "by_right", "uid", "keys", "shingles"])
+                    hit = np.flatnonzero(((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).any(axis=0)) if bits is not None else np.arange(len(u["uid"]))
+                    at = u["text"][hit]
+                    columns = [u["first"][hit] + lead[at], u["last"][hit] + lead[at], u["left"][hit], u["right"][hit], u["uid"][hit], u["keys"].T[hit].tolist(), [u["shingles"][o : o + c].tobytes() for o, c in zip(u["offsets"][hit].tolist(), u["count"][hit].tolist(), strict=True)]]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), *map(pa.array, columns, types)], names=["doc", "first", "last", "by_left", "by_right", "uid", "keys", "shingles"])
 
-    return docs.select(F.col(id_col), utf8(text_col).alias("bytes")).mapInArrow(run, schema.format(kind))
+    found = docs.select(F.col(id_col), utf8(text_col).alias("bytes")).mapInArrow(run, schema)
+    if few:
+        return written(found, "units")
+    found = written(found.withColumn("unit", F.xxhash64("doc", "first", "last", "uid")), "units")
+    wanted = found.select("unit", F.explode("keys").alias("key")).join(keys, "key", "left_semi").select("unit").distinct()
+    return written(found.join(wanted, "unit", "left_semi").drop("unit"), "units")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD, least: int = LEAST) -> DataFrame:
     """Repeated spans: id, ``start_word``, ``end_word``, ``n_words``, ``component_id`` (smallest id it occurs in), ``remove``."""
-    found = written(candidates(docs, repeated_keys(docs, text_col), id_col, text_col), "paragraphs")
+    keys = repeated_keys(docs, text_col)
+    found = candidates(docs, keys, id_col, text_col)
+    discard(keys)
     classes = found.select("uid", "shingles", F.explode("keys").alias("key")).dropDuplicates(["key", "uid"])
     linked = components(links_in_groups(classes, ["key"], "uid", ["shingles"], _linked(jaccard)))
     rows = found.drop("keys", "shingles").join(linked.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     rows = written(rows, "labelled")
     place = F.struct("doc", "first")
     many = written(rows.groupBy("label").agg(F.min("doc").alias("component_id"), F.max("doc").alias("other"), F.min(place).alias("kept")).filter("component_id <> other").drop("other"), "repeated")
-    dup = rows.join(many, "label").withColumn("remove", place != F.col("kept")).dropDuplicates(["doc", "first"])
-    order = Window.partitionBy("doc").orderBy("first")
-    dup = dup.withColumn("new", F.coalesce((F.col("first") - F.lag("last").over(order) >= LEAST_UNIT).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
-    spans = dup.groupBy("doc", "run").agg(F.min("first").alias("start_word"), F.max("last").alias("end_word"), F.min("component_id").alias("component_id"), F.max("remove").alias("remove"), F.min_by("by_left", "first").alias("left"), F.max_by("by_right", "last").alias("right"))
+    dup = rows.join(many, "label").withColumn("remove", place != F.col("kept")).dropDuplicates(["doc", "first", "last"])
+    order = Window.partitionBy("doc").orderBy("first", "last")
+    far = F.col("first") - F.col("kept.first")  # how far from its first occurrence
+    dup = dup.withColumn("end", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("gap", F.col("first") - F.col("end"))
+    alike = (F.col("kept.doc") == F.lag("kept.doc").over(order)) & (F.abs(far - F.lag(far).over(order)) <= LEAST_UNIT)
+    bridged = F.coalesce((F.col("gap") >= LEAST_UNIT) & (F.col("gap") <= BRIDGE) & alike, F.lit(False))
+    dup = dup.withColumn("bridged", bridged).withColumn("new", F.coalesce(((F.col("gap") >= LEAST_UNIT) & ~bridged).cast("int"), F.lit(1)))
+    dup = dup.withColumn("run", F.sum("new").over(order)).withColumn("own", F.greatest(F.lit(0), F.col("last") - F.greatest("first", F.coalesce("end", "first"))))
+    spans = dup.groupBy("doc", "run").agg(F.min("first").alias("start_word"), F.max("last").alias("end_word"), F.min("component_id").alias("component_id"), F.max("remove").alias("remove"), F.min_by("by_left", "first").alias("left"), F.max_by("by_right", "last").alias("right"), F.max(F.col("bridged") & (F.col("new") == 0)).alias("bridged"), F.sum("own").alias("own"))
+    spans = spans.filter(~F.col("bridged") | (F.col("own") >= COVERED * (F.col("end_word") - F.col("start_word"))))
     proven = F.col("end_word") - F.col("start_word") + RADIUS * ((~F.col("left")).cast("int") + (~F.col("right")).cast("int"))
     return spans.filter(proven >= least).select(F.col("doc").alias(id_col), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "component_id", "remove")
 

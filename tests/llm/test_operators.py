@@ -129,6 +129,68 @@ def test_shared_passages_are_found_and_clean_documents_left_alone(spark):
     assert all(r.remove for r in found if r.doc_id != 0)
 
 
+def planted(layout, change, n=40, words=55):
+    """Pairs of documents that share a passage laid out by ``layout``, in the second one with ``change``; and clean ones."""
+    rows = []
+    for k in range(n):
+        passage = prose(5000 + k, words).split()
+        for copy in range(2):
+            ws = change(list(passage), k) if copy else passage
+            rows.append((2 * k + copy, layout(prose(100 + 2 * k + copy, 80), " ".join(ws), prose(900 + 2 * k + copy, 80), copy)))
+    return rows + [(1000 + k, prose(20_000 + k, 200)) for k in range(n)]
+
+
+def changed(ws, k):
+    ws[len(ws) // 2 + k % 7 - 3] = f"other{k}"
+    return ws
+
+
+LAYOUTS = {
+    "inside a line": lambda a, p, b, copy: f"{a} {p} {b}",
+    "a line of its own": lambda a, p, b, copy: f"{a}\n{p}\n{b}",
+    "short lines in one copy": lambda a, p, b, copy: f"{a}\n" + ("\n".join(" ".join(p.split()[k : k + 5]) for k in range(0, len(p.split()), 5)) if copy else p) + f"\n{b}",
+    "short lines": lambda a, p, b, copy: f"{a}\n\n" + "\n".join(" ".join(p.split()[k : k + 4]) for k in range(0, len(p.split()), 4)) + f"\n\n{b}",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_near_passages_are_found(spark, layout):
+    rows = planted(LAYOUTS[layout], changed)
+    found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    docs_found = {r.doc_id for r in found}
+    assert sum(2 * k + 1 in docs_found for k in range(40)) >= 38 and not any(d >= 1000 for d in docs_found)
+    texts = {k: t.split() for k, t in rows}
+    grams = lambda ws: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
+    for r in found:  # what is reported does repeat: most of its shingles stand in the document where it was first seen
+        span, other = grams(texts[r.doc_id][r.start_word : r.end_word]), grams(texts[r.component_id if r.component_id != r.doc_id else r.doc_id + 1])
+        assert len(span & other) >= 0.6 * len(span)
+
+
+def test_keys_met_in_a_shuffle_give_what_the_bitmap_gives(spark, docs):
+    keys = passages.repeated_keys(docs, "text")
+    rows = lambda most: sorted(map(str, passages.candidates(docs, keys, "doc_id", "text", most).drop("keys", "shingles").collect()))
+    by_bitmap, by_shuffle = rows(1 << 24), rows(0)
+    assert set(by_shuffle) <= set(by_bitmap) and len(by_bitmap) <= 1.05 * len(by_shuffle) + 5
+
+
+def test_units_do_not_depend_on_other_texts_or_blocks(monkeypatch):
+    texts = [prose(k, 40 + 3 * k).encode() for k in range(20)] + [b"", b" \n ", b"one two", b"a b c d e f g\n\n" + prose(77, 12).replace(" ", "\n").encode()]
+
+    def rows(held):
+        out = []
+        for u in passages.units(held)[1:]:
+            at = np.concatenate((u["offsets"], [len(u["shingles"])]))
+            out += [(t, f, e, h, tuple(u["shingles"][a:b].tolist()), tuple(k)) for t, f, e, h, a, b, k in zip(u["text"].tolist(), u["first"].tolist(), u["last"].tolist(), u["uid"].tolist(), at[:-1], at[1:], u["keys"].T.tolist(), strict=True)]
+        return sorted(out)
+
+    assert rows(texts) == sorted((k, *r[1:]) for k, t in enumerate(texts) for r in rows([t]))
+
+
+def test_passages_of_odd_and_empty_tables(spark, odd, empty):
+    found = passages.repeats(odd).collect()
+    assert {r.doc_id for r in found} == {5, 6} and passages.repeats(empty).count() == 0
+
+
 def test_links_meet_across_tiles(spark):
     rows = spark.range(300).select((F.col("id") % 2).alias("k"), "id", (F.col("id") * 3).alias("x"))
 
