@@ -77,7 +77,11 @@ WITH f AS (SELECT source AS package, doc_id AS path, sha1({'CAST(text AS BINARY)
 g AS (SELECT package, {d.join("concat(" + d.text('path') + ", ':', digest)", ';', 'path')} AS listing FROM f GROUP BY package)
 SELECT package, substr(sha1(concat(package, ':', sha1(listing))), 1, 12) AS package_id FROM g"""),
     Query("token_estimate", "A31", ["conversations"], lambda d: f"SELECT conv_id AS request, CAST(sum(ceil(length(text) / 2.0)) + 1600 * count(CASE WHEN turn % 3 = 0 THEN 1 END) + 5 * 1000 AS BIGINT) AS units FROM {d.conversations} GROUP BY conv_id"),
-    Query("batch_summary", "A33", ["job_facts"], lambda d: d.either(_failed_files(d), f"SELECT model AS batch, count(*) AS files, count(CASE WHEN status = 'completed' THEN 1 END) AS ok, count(CASE WHEN status = 'failed' THEN 1 END) AS failed, {d.join('job_key', ',', 'seq', where=chr(39) + 'failed' + chr(39) + ' = status AND seq < 500')} AS first_errors FROM {d.job_facts} GROUP BY model")),
+    Query("batch_summary", "A33", ["job_facts"], _failed_files, sql="""
+SELECT f.model AS batch, g.files, g.ok, g.failed, f.seq, f.job_key AS first_errors FROM job_facts f
+JOIN (SELECT model, count(*) AS files, count(*) FILTER (WHERE status = 'completed') AS ok, count(*) FILTER (WHERE status = 'failed') AS failed FROM job_facts GROUP BY model) g ON g.model IS NOT DISTINCT FROM f.model
+WHERE f.status = 'failed'
+UNION ALL SELECT model, count(*), count(*) FILTER (WHERE status = 'completed'), 0, NULL, NULL FROM job_facts GROUP BY model HAVING count(*) FILTER (WHERE status = 'failed') = 0"""),
     Query("backfilled_facts", "J01", ["job_facts"], lambda d: f"""
 WITH led AS (SELECT * FROM {d.job_facts} WHERE seq % 2 = 0), scan AS (SELECT job_key, max(seq) AS seq FROM {d.job_facts} WHERE seq % 2 = 1 GROUP BY job_key),
 latest AS (SELECT job_key, max(seq) AS seq FROM led GROUP BY job_key)

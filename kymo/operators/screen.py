@@ -58,8 +58,12 @@ SELECT image_id, line, word_idx, {d.replace("lower(text)", '^(?:https?://)?(?:ww
     Query("person_names", "P09", ["ocr_words"], lambda d: f"""
 WITH {_lines(d)}
 SELECT image_id, line, text FROM lines WHERE {d.matches('text', '^[A-Z][a-z]+ [A-Z][a-z]+(?: [A-Z][a-z]+)?(?: [A-Z][a-z]+)?[.]?$')} AND NOT {d.matches('lower(text)', '(^| )(file|edit|view|save|open|help|search|settings)( |$)')}"""),
-    Query("scrubbed_logs", "P23", ["documents"], lambda d: d.either(_scrubbed(d), f"""
-SELECT doc_id, {d.replace(d.replace(d.replace("substr(text, 1, 4000)", '[0-9a-f]{32,}', '***'), '(token|secret|password) *[=:] *[^ ]+', '$1=***'), '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+', '***')} AS text FROM {d.documents} WHERE {d.matches('text', '[0-9a-f]{32,}|@')}""")),
+    Query("scrubbed_logs", "P23", ["documents"], _scrubbed, sql=r"""
+WITH a AS (SELECT doc_id, regexp_replace(text, '(?i)(bearer\s+)[A-Za-z0-9._~+/-]+', '\1[REDACTED]', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(t, '(?i)(api[_-]?key\s*[:=]\s*)[^\s,;]+', '\1[REDACTED]', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)hf_[A-Za-z0-9._-]+', '[REDACTED_HF_TOKEN]', 'g'), '(?i)sk-[A-Za-z0-9._-]+', '[REDACTED_API_KEY]', 'g') AS t FROM b),
+e AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)(token\s*[:=]\s*)[^\s,;]+', '\1[REDACTED]', 'g'), '[0-9a-f]{32,}', '***', 'g') AS t FROM c)
+SELECT doc_id, regexp_replace(regexp_replace(t, '(secret|password) *[=:] *[^ ]+', '\1=***', 'g'), '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+', '***', 'g') AS text FROM e"""),
     Query("anchored_rows", "J14", ["ocr_words"], lambda d: f"""
 WITH {_ids(d)}
 SELECT a.image_id, a.line, a.word_idx AS anchor, count(*) AS words, min(b.left_px) AS left_px, max(b.left_px + b.width_px) AS right_px FROM ids a JOIN w b ON b.image_id = a.image_id AND b.line = a.line AND abs(b.centre - a.centre) <= 260 GROUP BY a.image_id, a.line, a.word_idx"""),

@@ -23,9 +23,6 @@ def _items(d) -> str:
  trim(substr(text, 1, 24)) AS front, trim(substr(text, 10, 40)) AS answer, block_idx - block_idx % 4 AS cited FROM {d.plan_blocks})"""
 
 
-#: The first 25 candidates of a plan.
-_FIRST = """k AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY origin, place, term) AS n FROM f WHERE rn = 1)
-SELECT plan_id, term, CASE origin WHEN 1 THEN 'screen' ELSE 'frequency' END AS origin FROM k WHERE n <= 25"""
 #: The first 25 that aren't whole words of a term accepted before them: a fold over the candidates of one plan.
 _ACCEPTED = """k AS (SELECT plan_id, aggregate(array_sort(collect_list(struct(origin, CAST(place AS BIGINT) AS place, term))), CAST(array() AS ARRAY<STRUCT<origin: INT, place: BIGINT, term: STRING>>),
  (kept, x) -> CASE WHEN size(kept) < 25 AND NOT exists(kept, y -> contains(concat(' ', y.term, ' '), concat(' ', x.term, ' '))) THEN concat(kept, array(x)) ELSE kept END) AS kept FROM f WHERE rn = 1 GROUP BY plan_id)
@@ -47,12 +44,19 @@ SELECT plan_id, term, n, row_number() OVER (PARTITION BY plan_id ORDER BY n DESC
     Query("glossary_candidates", "U02 U04", ["plan_blocks", "documents"], lambda d: f"""
 WITH {_runs(d)},
 u AS (SELECT plan_id, lower(run) AS term, 1 AS origin, min(block_idx) AS place FROM r GROUP BY plan_id, lower(run)
-      UNION ALL SELECT doc_id, lower(w), 2, min(i) FROM {_words(d, d.documents, 'doc_id', d.either('text', 'substr(text, 1, 1000)'))} x WHERE length(w) > 7 GROUP BY doc_id, lower(w)),
+      UNION ALL SELECT doc_id, lower(w), 2, min(i) FROM {_words(d, d.documents, 'doc_id', 'text')} x WHERE length(w) > 7 GROUP BY doc_id, lower(w)),
 f AS (SELECT *, row_number() OVER (PARTITION BY plan_id, term ORDER BY origin) AS rn FROM u),
-{d.either(_ACCEPTED, _FIRST)}"""),
+{_ACCEPTED}""", sql="""
+WITH runs AS (SELECT plan_id, block_idx, unnest(regexp_extract_all(text, '[A-Za-z]{3,}(?: [A-Za-z]{3,}){1,3}')) AS run FROM plan_blocks),
+ws AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '[^a-z ]+', ' ', 'g'), ' ')) AS w, generate_subscripts(string_split(regexp_replace(lower(text), '[^a-z ]+', ' ', 'g'), ' '), 1) AS i FROM documents),
+found AS (SELECT plan_id, lower(run) AS term, 1 AS origin, min(block_idx) AS place FROM runs GROUP BY ALL UNION ALL SELECT doc_id, w, 2, min(i) FROM ws WHERE length(w) > 7 GROUP BY ALL),
+ranked AS (SELECT plan_id, term, arg_min(place, origin) AS place, min(origin) AS origin FROM found GROUP BY plan_id, term),
+folded AS (SELECT plan_id, list_reduce(list([{'term': term, 'origin': origin}] ORDER BY origin, place, term),
+ lambda kept, x : CASE WHEN len(kept) >= 25 OR len(list_filter(kept, lambda y : contains(' ' || y.term || ' ', ' ' || x[1].term || ' '))) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept FROM ranked GROUP BY plan_id)
+SELECT plan_id, k.term AS term, CASE k.origin WHEN 1 THEN 'screen' ELSE 'frequency' END AS origin FROM (SELECT plan_id, unnest(kept) AS k FROM folded)"""),
     Query("augmented_glossary", "U03", ["plan_blocks", "documents"], lambda d: f"""
 WITH {_runs(d)}, g AS (SELECT DISTINCT plan_id, lower(run) AS term FROM r),
-s AS (SELECT doc_id AS plan_id, w AS term, count(*) AS n FROM {_words(d, d.documents, 'doc_id', d.either('text', 'substr(text, 1, 2000)'))} x WHERE length(w) > 5 GROUP BY doc_id, w HAVING count(*) >= 2),
+s AS (SELECT doc_id AS plan_id, w AS term, count(*) AS n FROM {_words(d, d.documents, 'doc_id', 'text')} x WHERE length(w) > 5 GROUP BY doc_id, w HAVING count(*) >= 2),
 n AS (SELECT s.*, row_number() OVER (PARTITION BY plan_id ORDER BY n DESC, term) AS place FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.plan_id = s.plan_id AND g.term = s.term))
 SELECT plan_id, term, n FROM n WHERE place <= 10"""),
     Query("scrubbed_person_terms", "F20", ["plan_blocks"], lambda d: f"""

@@ -26,11 +26,6 @@ def _loop_key(d) -> str:
     return f"trim({key})"
 
 
-def _first_letters(d) -> str:
-    first = d.replace("lower(substr(text_raw, 1, 3 + CAST(segment_id % 2 AS INT)))", "[^a-z0-9]+", " ")
-    return f"trim({first})"
-
-
 QUERIES = [
     Query("effective_text", "P01", ["segments"], lambda d: f"SELECT recording_id, segment_id, coalesce(nullif(text_clean, ''), text_raw, '') AS text FROM {d.segments}"),
     Query("segment_checks", "P02", ["segments"], lambda d: f"SELECT recording_id, segment_id, end_s >= start_s AND start_s >= 0 AS valid FROM {d.segments}"),
@@ -57,13 +52,19 @@ SELECT recording_id, round(coalesce(before_s, 0.0), 3) AS gap_start, round(w_sta
     Query("pauses_after", "W03", ["segments"], lambda d: f"""
 SELECT recording_id, segment_id, round(coalesce(greatest(0.0, lead(start_s) OVER (PARTITION BY recording_id ORDER BY segment_id) - end_s), 1e9), 3) AS pause_s FROM {d.segments}"""),
     Query("collapsed_repeats", "W04 F05", ["segments"], lambda d: f"""
-WITH k AS (SELECT recording_id, segment_id, start_s, end_s, text_raw, {d.either(_loop_key(d), _first_letters(d))} AS loop_key FROM {d.segments}),
+WITH k AS (SELECT recording_id, segment_id, start_s, end_s, text_raw, {_loop_key(d)} AS loop_key FROM {d.segments}),
 f AS (SELECT *, CASE WHEN loop_key <> '' AND length(loop_key) <= 60 AND loop_key = lag(loop_key) OVER (PARTITION BY recording_id ORDER BY segment_id) THEN 0 ELSE 1 END AS fresh FROM k),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY recording_id ORDER BY segment_id) AS island FROM f),
 n AS (SELECT *, count(*) OVER (PARTITION BY recording_id, island) AS len FROM i),
 g AS (SELECT recording_id, CASE WHEN len >= 3 THEN -island ELSE segment_id END AS grp, segment_id, start_s, end_s, text_raw FROM n)
 SELECT recording_id, min(segment_id) AS first_id, count(*) AS merged, round(min(start_s), 3) AS start_s, round(max(end_s), 3) AS end_s, {d.join('text_raw', ' ', 'segment_id')} AS text_raw
-FROM g GROUP BY recording_id, grp"""),
+FROM g GROUP BY recording_id, grp""", sql=r"""
+WITH k AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(coalesce(text_raw, '')), '[\x{0610}-\x{061a}\x{064b}-\x{065f}\x{06d6}-\x{06ed}]', '', 'g'), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS loop_key FROM segments),
+n AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY segment_id) AS r FROM k),
+i AS (SELECT *, r - row_number() OVER (PARTITION BY recording_id, loop_key ORDER BY segment_id) AS island, loop_key <> '' AND length(loop_key) <= 60 AS loops FROM n),
+c AS (SELECT *, loops AND count(*) OVER (PARTITION BY recording_id, loop_key, island) >= 3 AS merges FROM i)
+SELECT recording_id, min(segment_id) AS first_id, count(*) AS merged, round(min(start_s), 3) AS start_s, round(max(end_s), 3) AS end_s, string_agg(text_raw, ' ' ORDER BY segment_id) AS text_raw
+FROM c GROUP BY recording_id, loop_key, island, CASE WHEN merges THEN 0 ELSE segment_id END"""),
     Query("split_on_gaps", "W05", ["segments"], lambda d: f"""
 WITH w AS (SELECT recording_id, segment_id, wi, word, start_s + (wi - 1) * 0.4 + CASE WHEN wi > 8 THEN 3.0 ELSE 0.0 END AS w_start FROM {d.unnest(d.segments, d.split('text_raw'), 'word', 'wi')} x),
 f AS (SELECT *, CASE WHEN w_start - (lag(w_start) OVER (PARTITION BY recording_id, segment_id ORDER BY wi) + 0.32) > 2.5 THEN 1 ELSE 0 END AS cut FROM w),

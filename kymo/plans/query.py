@@ -13,16 +13,12 @@ from .. import fixtures
 class Dialect:
     """The few spellings that differ. ``d.name`` is the name of the input ``name`` in the statement."""
 
-    def __init__(self, spark: bool, whole: bool = False):
-        self.spark, self.whole = spark, whole
+    def __init__(self, spark: bool):
+        self.spark = spark
 
     def __getattr__(self, name: str) -> str:
         return f"kymo_{name}" if self.spark else name
 
-    def either(self, whole: str, checked: str) -> str:
-        """``whole`` over a caller's own tables; ``checked`` where the statement must give the rows of the SQL that checks it."""
-        return whole if self.whole else checked
-
     def join(self, value: str, sep: str, order: str, where: str = "") -> str:
         where = f" FILTER (WHERE {where})" if where else ""
         return f"listagg({value}, '{sep}') WITHIN GROUP (ORDER BY {order}){where}" if self.spark else f"string_agg({value}, '{sep}' ORDER BY {order}){where}"
@@ -92,30 +88,31 @@ class Dialect:
 
 @dataclass
 class Query:
-    """One operator as SQL. ``rows`` names the survey rows; ``inputs`` the views it reads (see ``fixtures``)."""
+    """One operator as SQL. ``rows`` names the survey rows; ``inputs`` the views it reads (see ``fixtures``).
+
+    ``sql`` is the rule written a second time, for the engine that checks it; without it, that engine gets ``text``.
+    """
 
     name: str
     rows: str
     inputs: list[str]
     text: Callable[[Dialect], str]
     checked: bool = True
+    sql: str | None = None
     options: dict = field(default_factory=dict)
 
     def on(self, spark: SparkSession, **frames: DataFrame) -> DataFrame:
-        """The operator over the caller's own tables, one for each input; the whole job, also where the SQL that checks it takes a part."""
-        return self._over(spark, frames, Dialect(True, whole=True))
-
-    def _over(self, spark: SparkSession, frames: dict[str, DataFrame], d: Dialect) -> DataFrame:
+        """The operator over the caller's own tables, one for each input."""
         for name in self.inputs:
             frames[name].createOrReplaceTempView(f"kymo_{name}")
-        return spark.sql(self.text(d))
+        return spark.sql(self.text(Dialect(True)))
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self._over(spark, {name: fixtures.view(spark, sf_dir, name) for name in self.inputs}, Dialect(True))
+        return self.on(spark, **{name: fixtures.view(spark, sf_dir, name) for name in self.inputs})
 
     def oracle(self) -> str:
         ctes = [f"{name} AS ({fixtures.DUCK[name]})" for name in fixtures.needed(self.inputs)]
-        body = self.text(Dialect(False)).strip()
+        body = (self.sql or self.text(Dialect(False))).strip()
         if not ctes:
             return body
         if body[:5].upper() == "WITH ":
