@@ -18,6 +18,8 @@ KNOWN_PHRASES = (
     r"(?i)subtitles\s+by\s+the\s+amara\.org\s+community",
     r"[^.،؛!؟]*صفحتنا\s+ليصل(?:ك|كم)\s+كل\s+جديد",
 )
+TRUE, FALSE = ("صح", "صحيح", "نعم", "true", "t", "1"), ("خطأ", "خطا", "غير صحيح", "لا", "false", "f", "0")
+_REPEAT = r"(?U)\b(.{4,40}?)(?:\s+\1(?!\w)){2,}"
 
 
 def nfc(text: Column) -> Column:
@@ -36,7 +38,7 @@ def normalize_arabic(text: Column, strip_diacritics: bool = False) -> Column:
 def collapse_repeats(text: Column, passes: int = 4) -> Column:
     """A phrase of 4 to 40 characters said three times or more is said once; again until nothing changes."""
     for _ in range(passes):
-        text = F.regexp_replace(text, r"(?U)\b(.{4,40}?)(?:\s+\1(?!\w)){2,}", "$1")
+        text = F.regexp_replace(text, _REPEAT, "$1")
     return text
 
 
@@ -85,6 +87,12 @@ def shuffled_options(question: Column, options: Column) -> Column:
     return F.concat(F.transform(F.array_sort(keyed), lambda s: s["o"]), F.filter(options, anchored))
 
 
+def true_false(answer: Column) -> Column:
+    """An answer as true or false, however it is said; null for what is neither."""
+    folded = fold(F.regexp_replace(nfc(F.coalesce(answer, F.lit(""))), "[\u0610-\u061a\u064b-\u065f\u06d6-\u06ed]", ""))
+    return F.when(folded.isin(*TRUE), F.lit(TRUE[0])).when(folded.isin(*FALSE), F.lit(FALSE[0]))
+
+
 def register(spark: SparkSession) -> None:
     """The pure expressions as SQL functions."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kymo_fold(t STRING) RETURNS STRING RETURN trim(regexp_replace(lower(t), '(?U)[^\\\\p{L}\\\\p{N}]+', ' '))")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions import text
+from ..functions import text, titles
 from ..sources import files
 from ..streaming import machines
 from . import evaluation, folds, frames, ledger, plan, screen, terms, transcript
@@ -11,7 +11,7 @@ _MODULES = (transcript, ledger, screen, plan, terms, frames, evaluation)
 
 
 def queries() -> dict:
-    return {q.name: q for m in _MODULES for q in m.QUERIES} | folds.queries() | text.queries() | files.queries() | machines.queries()
+    return {q.name: q for m in _MODULES for q in m.QUERIES} | folds.queries() | text.queries() | titles.queries() | files.queries() | machines.queries()
 
 
 def oracle_sql() -> dict[str, str]:
