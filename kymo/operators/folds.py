@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixtures
 
@@ -22,6 +23,7 @@ BREAK_PAUSE, OVERRUN = 1.0, 1.25
 CUE_SECONDS, CUE_CHARS, CUE_LEAST = 7.0, 84, 0.7
 CHAPTER_GAP, CHAPTERS = 10.0, 3
 _ENDS = (".", "!", "?", "؟", "…")
+_CUT_ENDS = (".", "!", "?", "؟", "،", "؛", ":", "…")
 
 
 def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[Rows], Iterator[tuple]], schema: str) -> DataFrame:
@@ -51,8 +53,8 @@ def split_long(rows: Rows) -> Iterator[tuple]:
                 for k in range(a + 1, b):
                     if at[k - 1][1] - begin >= MIN_SIDE and end - at[k][0] >= MIN_SIDE:
                         middle = 1 - abs((at[k][0] - begin) / (end - begin) - 0.5) * 2
-                        score = at[k][0] - at[k - 1][1] + 0.5 * words[k - 1].endswith(_ENDS) + 0.25 * middle
-                        if score > best:
+                        score = at[k][0] - at[k - 1][1] + 0.5 * words[k - 1].endswith(_CUT_ENDS) + 0.25 * middle
+                        if score > best + 1e-9:  # the first of equals, whatever their last digits
                             best, where = score, k
             if where is None:
                 pieces.append((a, b, begin, end))
@@ -294,26 +296,36 @@ def glossary_budget(limit: int = 400) -> Callable[[Rows], Iterator[tuple]]:
     return step
 
 
+def likeness(a: str, b: str, least: float, matcher) -> bool:
+    """Do two terms resemble each other by sequence matching? Cheap upper bounds come first."""
+    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+        return False
+    matcher.set_seqs(a, b)
+    return matcher.quick_ratio() >= least and matcher.ratio() >= least
+
+
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the matching characters over all characters of two texts, in lower case (no edit distance equals it)."""
+    from difflib import SequenceMatcher
+
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def fold_misreadings(ratio: float = 0.8) -> Callable[[Rows], Iterator[tuple]]:
-    """Terms folded into the most frequent one with the same first two letters that they resemble by sequence matching; counts add up."""
+    """Terms in rank order, each folded into the first kept one that it resembles; counts add up."""
     from difflib import SequenceMatcher
 
     def step(rows: Rows) -> Iterator[tuple]:
-        kept: dict[str, list[list]] = {}
-        same = SequenceMatcher(autojunk=False)
+        kept: list[list] = []
+        matcher = SequenceMatcher()
         for r in rows:
-            group = kept.setdefault(r["term"][:2], [])
-            same.set_seq2(r["term"])
-            for k in group:
-                if 2 * min(len(r["term"]), len(k[0])) < ratio * (len(r["term"]) + len(k[0])):
-                    continue
-                same.set_seq1(k[0])
-                if same.quick_ratio() >= ratio and same.ratio() >= ratio:
-                    k[1] += r["n"]
-                    break
+            found = next((k for k in kept if likeness(r["term"].lower(), k[2], ratio, matcher)), None)
+            if found:
+                found[1] += r["n"]
             else:
-                group.append([r["term"], r["n"]])
-        yield from (tuple(k) for group in kept.values() for k in group)
+                kept.append([r["term"], r["n"], r["term"].lower()])
+        yield from (tuple(k[:2]) for k in kept)
 
     return step
 
@@ -380,6 +392,8 @@ def queries() -> dict:
     sections = lambda s, d: blocks(s, d).groupBy("plan_id", "section_idx").agg(F.min_by(F.substring("text", 1, 60), "block_idx").alias("title"), F.listagg("text", F.lit(" ")).alias("text"), F.min("source_start").alias("start_s"), F.max("source_end").alias("end_s"))
     said = lambda s, d: _events(s, d).filter("kind = 'figure'").select("recording_id", F.col("id").alias("image_id"), F.col("start_s").alias("ts")).withColumn("said", (F.col("image_id") * 7919 % 900).cast("int"))
     return {
+        "misread_pairs": misread_pairs,
+        "batch_losses": lambda s, d: losses(seg(s, d).select("recording_id", F.col("segment_id").alias("id")), fold(seg(s, d), "recording_id", ["segment_id"], batches(), "segment_id long, batch int").select("recording_id", F.col("segment_id").alias("id")), None, "recording_id"),
         "split_long": lambda s, d: fold(seg(s, d), "recording_id", ["segment_id"], split_long, "segment_id long, piece int, start_s double, end_s double, text string"),
         "transcript_paragraphs": lambda s, d: fold(seg(s, d), "recording_id", ["segment_id"], paragraphs, "start_s double, segments int, text string"),
         "raw_paragraphs": lambda s, d: fold(seg(s, d), "recording_id", ["segment_id"], raw_paragraphs, "segments int, text string"),
@@ -394,12 +408,36 @@ def queries() -> dict:
         "distinct_frames": lambda s, d: fold(_signatures(s, d), "recording_id", ["image_id"], distinct_frames(), "image_id long"),
         "frame_chunks": lambda s, d: fold(said(s, d), "recording_id", ["ts", "image_id"], frame_chunks(), "image_id long, chunk int"),
         "glossary_budget": lambda s, d: fold(_terms(s, d).withColumn("minus", -F.col("n")), "plan_id", ["minus", "term"], glossary_budget(), "term string, used int"),
-        "folded_misreadings": lambda s, d: fold(_terms(s, d).withColumn("minus", -F.col("n")), "plan_id", ["minus", "term"], fold_misreadings(), "term string, n long"),
+        "folded_misreadings": lambda s, d: fold(_terms(s, d).withColumn("minus", -F.col("n")).withColumn("shorter", -F.length("term")), "plan_id", ["minus", "shorter", "term"], fold_misreadings(), "term string, n long"),
         "bootstrap_interval": lambda s, d: bootstrap_interval(_pairs(s, d), "errors", "words"),
         "stable_threshold": lambda s, d: fold(_signals(s, d), "recording_id", ["ts"], stable_threshold, "cuts int, k double, width int"),
     }
 
 
+def misread_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of one plan that are readings of each other, with their ratio: candidates share a letter run, and lengths allow the ratio."""
+    terms = _terms(spark, sf_dir).withColumn("size", F.length("term"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("size") - 2)), lambda i: F.substr("term", i, F.lit(3)))
+    keyed = terms.withColumn("run", F.explode(F.array_distinct(runs)))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    near = (F.col("a.plan_id") == F.col("b.plan_id")) & (F.col("a.run") == F.col("b.run")) & (F.col("a.term") < F.col("b.term")) & (2 * F.least("a.size", "b.size") >= 0.8 * (F.col("a.size") + F.col("b.size")))
+    pairs = a.join(b, near).select(F.col("a.plan_id").alias("plan_id"), F.col("a.term").alias("term"), F.col("b.term").alias("other")).distinct()
+    return pairs.withColumn("ratio", F.round(sequence_ratio("term", "other"), 6)).filter("ratio >= 0.8")
+
+
+def losses(known: DataFrame, used: DataFrame, omitted: DataFrame | None, key: str) -> DataFrame:
+    """Of each ``key``: ids that are neither used nor omitted, used but not known, used twice, and both used and omitted.
+
+    Each frame has ``key`` and ``id``; ids are counted before they meet, so no group is larger than its distinct ids.
+    """
+    one = lambda df, name: df.groupBy(key, "id").agg(F.count(F.lit(1)).alias(name))
+    omitted = omitted if omitted is not None else known.limit(0)
+    met = one(known, "_known").join(one(used, "_used"), [key, "id"], "full").join(one(omitted, "_omitted"), [key, "id"], "full").fillna(0, ["_known", "_used", "_omitted"])
+    counts = {"lost": (F.col("_known") > 0) & (F.col("_used") + F.col("_omitted") == 0), "invented": (F.col("_used") > 0) & (F.col("_known") == 0), "repeated": F.col("_used") > 1, "used_and_omitted": (F.col("_used") > 0) & (F.col("_omitted") > 0)}
+    found = met.groupBy(key).agg(*[F.count_if(rule).alias(name) for name, rule in counts.items()])
+    return found.withColumn("lossless", F.expr(" + ".join(counts)) == 0)
+
+
 def bootstrap_interval(rows: DataFrame, errors: str, length: str, rounds: int = 2000, seed: int = 7) -> DataFrame:
     """A 95 % interval of the pooled error rate by drawing clips again: the 51st and 1950th of ``rounds`` rates.
 

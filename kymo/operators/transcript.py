@@ -13,6 +13,9 @@ e AS (SELECT recording_id, max(end_s) AS last_s FROM {segments} GROUP BY recordi
 g AS (SELECT recording_id, coalesce(before_s, 0.0) AS gap_start, start_s AS gap_end FROM m
       UNION ALL SELECT recording_id, last_s, last_s + 10.0 FROM e)"""
 
+#: Fixed value: spoken fillers.
+FILLERS = r"(?iU)\b(?:يعني|طيب|أه+|امم+|اه+|اللي\s+هو|بقى|كده|ماشي|okay|ok)\b"
+
 
 def _gaps(d) -> str:
     return _GAPS.format(segments=d.segments)
@@ -78,8 +81,8 @@ SELECT recording_id, segment_id, round(start_s, 3) AS start_s, round(least(end_s
     Query("word_confidence", "A08", ["ocr_words"], lambda d: f"""
 WITH p AS (SELECT image_id AS recording_id, line AS segment_id, conf / 100.0 AS probability FROM {d.ocr_words}),
 s AS (SELECT recording_id, segment_id, avg(probability) AS mean_p FROM p GROUP BY recording_id, segment_id),
-a AS (SELECT recording_id, avg(probability) AS mean_p, 100.0 * sum(CASE WHEN probability < 0.6 THEN 1 ELSE 0 END) / count(*) AS weak FROM p GROUP BY recording_id),
-b AS (SELECT recording_id, sum(CASE WHEN mean_p < 0.7 THEN 1 ELSE 0 END) AS weak_segments FROM s GROUP BY recording_id)
+a AS (SELECT recording_id, avg(probability) AS mean_p, 100.0 * sum(CASE WHEN probability < 0.5 THEN 1 ELSE 0 END) / count(*) AS weak FROM p GROUP BY recording_id),
+b AS (SELECT recording_id, sum(CASE WHEN mean_p < 0.6 THEN 1 ELSE 0 END) AS weak_segments FROM s GROUP BY recording_id)
 SELECT a.recording_id, round(a.mean_p, 6) AS mean_probability, round(weak, 4) AS weak_percent, CAST(weak_segments AS BIGINT) AS weak_segments FROM a JOIN b ON a.recording_id = b.recording_id"""),
     Query("full_text", "A32", ["segments"], lambda d: f"SELECT recording_id, {d.join('text_clean', ' ', 'segment_id')} AS full_text FROM {d.segments} WHERE trim(coalesce(text_clean, '')) <> '' GROUP BY recording_id"),
     Query("speech_ratio", "A30", ["segments"], lambda d: f"""
@@ -88,7 +91,9 @@ w AS (SELECT DISTINCT recording_id, CAST(floor(start_s / 20) AS BIGINT) AS win F
 SELECT w.recording_id, w.win, round(greatest(0.0, least(1.0, 1.0 - coalesce(sum(greatest(0.0, least(b, (win + 1) * 20.0) - greatest(a, win * 20.0))), 0.0) / 20.0)), 6) AS speech_ratio
 FROM w LEFT JOIN s ON s.recording_id = w.recording_id AND s.a < (win + 1) * 20.0 AND s.b > win * 20.0 GROUP BY w.recording_id, w.win"""),
     Query("filler_rate", "A15", ["segments"], lambda d: f"""
-SELECT recording_id, round(1000.0 * sum({d.size(d.found('lower(text_raw)', '(?:^|[^a-z])(?:the|uh|um)(?:$|[^a-z])'))}) / nullif(sum(n_words), 0), 4) AS fillers_per_1000 FROM {d.segments} GROUP BY recording_id"""),
+SELECT recording_id, round(1000.0 * sum({d.size(d.found('text_raw', FILLERS))}) / nullif(sum(n_words), 0), 4) AS fillers_per_1000 FROM {d.segments} GROUP BY recording_id""", sql="""
+WITH t AS (SELECT recording_id, n_words, ' ' || regexp_replace(lower(text_raw), '[^\\p{L}\\p{N}_]+', '  ', 'g') || ' ' AS t FROM segments)
+SELECT recording_id, round(1000.0 * sum(len(regexp_extract_all(t, ' (?:يعني|طيب|أه+|امم+|اه+|اللي  هو|بقى|كده|ماشي|okay|ok) '))) / nullif(sum(n_words), 0), 4) AS fillers_per_1000 FROM t GROUP BY recording_id"""),
     Query("gap_reasons", "J04 F09", ["segments"], lambda d: f"""
 WITH {_gaps(d)},
 r AS (SELECT recording_id, gap_start, gap_end FROM g WHERE gap_end - gap_start >= 1.0),

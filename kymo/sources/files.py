@@ -11,8 +11,10 @@ from .. import fixtures
 from .shared import shared_dir
 
 # File suffixes of media.
-VIDEO = ("mp4", "mkv", "mov", "avi", "webm", "m4v", "wmv", "flv", "mpg", "mpeg", "ts", "3gp")
-AUDIO = ("mp3", "wav", "m4a", "aac", "flac", "ogg", "opus", "wma", "aiff", "amr", "ac3")
+VIDEO = ("mp4", "mkv", "avi", "mov", "webm", "wmv", "flv", "ts", "m4v", "mpg", "mpeg", "3gp")
+AUDIO = ("mp3", "m4a", "wav", "aac", "flac", "ogg", "opus", "wma", "aiff", "aif", "amr", "mka", "oga", "3ga", "caf", "ac3", "m4b", "mp2", "au")
+#: Version of a source's fingerprint, its length, and the bytes read at each end of a file.
+FINGERPRINT_VERSION, FINGERPRINT_LENGTH, FINGERPRINT_BYTES = 3, 20, 1 << 20
 STATE = "status string, stage string, progress double, video_path string, updated_at string, last_error string, artifacts map<string, string>"
 LEDGER = "seq long, key string, at string, status string, duration double, elapsed double, quality double, outputs array<string>"
 AUDIT = "source string, bytes long, outputs array<string>, text_left_device boolean, status string, cloud_providers array<string>"
@@ -73,6 +75,26 @@ def media_inventory(spark: SparkSession, folder: str, recursive: bool = True) ->
     return files.withColumn("suffix", suffix).filter(suffix.isin(*VIDEO, *AUDIO)).withColumn("is_video", suffix.isin(*VIDEO))
 
 
+def source_fingerprints(files: DataFrame) -> DataFrame:
+    """Path, name, size and ``fingerprint`` of binary files (path, length, content): name, size, first and last megabyte.
+
+    A moved or touched file keeps its fingerprint. Spark's reader of binary files gives whole
+    contents, at most 2 GB each, and leaves empty files out.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    sample = F.least(F.lit(FINGERPRINT_BYTES), F.col("length")).cast("int")
+    head = F.substring("content", F.lit(1), sample)
+    tail = F.when(F.col("length") > FINGERPRINT_BYTES, F.substring("content", (F.col("length") - FINGERPRINT_BYTES + 1).cast("int"), F.lit(FINGERPRINT_BYTES))).otherwise(F.lit(b""))
+    label = F.concat(F.lit(f"v{FINGERPRINT_VERSION}|"), name, F.lit("|"), F.col("length").cast("string")).cast("binary")
+    return files.select("path", name.alias("name"), F.col("length").alias("size"), F.left(F.sha2(F.concat(label, head, tail), 256), F.lit(FINGERPRINT_LENGTH)).alias("fingerprint"))
+
+
+def pending_files(inventory: DataFrame, done: DataFrame) -> DataFrame:
+    """Files of an inventory (path, length, modificationTime) that no row of the ledger ``done`` has with that name, size and time."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return inventory.withColumn("name", name).join(done.select("name", "length", "modificationTime").distinct(), ["name", "length", "modificationTime"], "left_anti")
+
+
 def parse_replies(replies: DataFrame, schema: str, column: str = "reply") -> DataFrame:
     """A model's reply as a struct: the whole text, a fenced block, or from the first brace on."""
     text = F.col(column)

@@ -24,10 +24,12 @@ Machine = Callable[[dict, dict], Iterator[tuple]]
 STALE, HOLDS, HOUR, REPORT = 600, 3, 3600, 21_600
 DEVICES, MOVES = 2, 3
 DOUBLE_MS, DOUBLE_PX, DRAG_PX, STEPS = 500, 6.0, 24.0, 200
+FIELDS = ("textbox", "searchbox", "combobox", "cell")
+ACTIONS = {"click": "click", "type": "type", "enter": "submit", "shortcut": "submit"}
 
 
 def wallet(state: dict, e: dict) -> Iterator[tuple]:
-    """Add, reserve and settle against a balance. Stale holds go back first; a late settle charges what was used; a second settle is nothing."""
+    """Add, reserve and settle against a balance. Stale holds go back first; a late settle charges what was used; a second settle is nothing, however late: ids of settled holds are kept."""
     units, holds, settled = state.get("units", 0), state.setdefault("holds", {}), state.setdefault("settled", [])
     for k in [k for k, (t, _) in holds.items() if e["t"] - t > STALE]:
         units += holds.pop(k)[1]
@@ -43,7 +45,7 @@ def wallet(state: dict, e: dict) -> Iterator[tuple]:
         done = name not in settled and e["hold_id"] is not None
         if done:
             units = max(0, units + holds.pop(name, [0, 0])[1] - e["actual_units"])
-            state["settled"] = [*settled, name][-150:]
+            settled.append(name)
     state["units"] = units
     yield e["seq"], e["op"], done, units, len(holds)
 
@@ -89,28 +91,38 @@ def throttle(state: dict, e: dict) -> Iterator[tuple]:
 
 
 def steps(state: dict, e: dict) -> Iterator[tuple]:
-    """Screen events to steps: near presses are a double press, a far release is a drag, a press and typing in one field is one step."""
-    last = state.get("last")
-    if state.get("n", 0) >= STEPS:
+    """Screen events to steps, given when a recording is finished.
+
+    A second press nearby soon after is a double press, a far release a drag, a press in a field and typing one step; an
+    undo takes the last step back. Events after STEPS steps add none, so the state is bounded.
+    """
+    done = state.setdefault("steps", [])
+    last = done[-1] if done else None
+    kind = e["kind"]
+    if kind == "finish":
+        for n, s in enumerate(done, 1):
+            yield s["seq"], n, s["action"], s["gesture"], s["role"], s["app"]
+        state["steps"] = []
         return
-    action = {"click": "press", "type": "type", "enter": "enter", "shortcut": "shortcut"}.get(e["kind"])
-    if e["kind"] == "up":
-        if last and last["action"] == "press" and max(abs(e["sx"] - last["sx"]), abs(e["sy"] - last["sy"])) > DRAG_PX:
-            last["action"] = "drag"
-        return
-    if last and action == "press" and last["action"] == "press" and e["at_ms"] - last["at_ms"] <= DOUBLE_MS and max(abs(e["sx"] - last["sx"]), abs(e["sy"] - last["sy"])) <= DOUBLE_PX:
-        last["action"] = "double"
-        return
-    if last and action == "type" and last["role"] == "textbox" and last["action"] in ("press", "type") and last["app"] == e["app"]:
+    far = (((e["sx"] - last["sx"]) ** 2 + (e["sy"] - last["sy"]) ** 2) ** 0.5) if last and e["sx"] is not None and last["sx"] is not None else 0.0
+    plain = last is not None and last["gesture"] is None
+    if kind == "undo":
+        del done[-1:]
+    elif kind == "up":
+        if plain and last["action"] == "click" and far > DRAG_PX:
+            last["gesture"] = "drag"
+    elif kind == "click" and plain and last["action"] in ("click", "check", "uncheck") and 0 <= e["at_ms"] - last["at_ms"] <= DOUBLE_MS and far <= DOUBLE_PX:
+        last["action"], last["gesture"] = "click", "double"
+    elif kind == "type" and plain and last["action"] == "click" and last["role"] in FIELDS:
         last["action"] = "type"
-        return
-    if action == "press" and e["role"] == "checkbox":
-        state["checked"] = not state.get("checked", False)
-        action = "check" if state["checked"] else "uncheck"
-    if last:
-        state["n"] = state.get("n", 0) + 1
-        yield last["seq"], state["n"], last["action"], last["role"], last["app"]
-    state["last"] = {"seq": e["seq"], "action": action, "at_ms": e["at_ms"], "sx": e["sx"], "sy": e["sy"], "role": e["role"], "app": e["app"]}
+    elif kind in ACTIONS and len(done) < STEPS:
+        action = ACTIONS[kind]
+        if kind == "click" and e["role"] in ("checkbox", "switch"):
+            checked = state.setdefault("checked", {})
+            place = f"{e['app']}/{e['role']}"
+            checked[place] = not checked.get(place, False)
+            action = "check" if checked[place] else "uncheck"
+        done.append({"seq": e["seq"], "action": action, "gesture": None, "at_ms": e["at_ms"], "sx": e["sx"], "sy": e["sy"], "role": e["role"], "app": e["app"]})
 
 
 #: By name: the machine, its key, the columns it gives.
@@ -119,7 +131,7 @@ MACHINES: dict[str, tuple[Machine, str, str]] = {
     "hourly": (hourly, "code", "seq long, units long, anomaly boolean"),
     "licence": (licence, "code", "seq long, verdict string, devices int, since long"),
     "throttle": (throttle, "device_id", "seq long, sent boolean"),
-    "steps": (steps, "recording_id", "seq long, step int, action string, role string, app string"),
+    "steps": (steps, "recording_id", "seq long, step int, action string, gesture string, role string, app string"),
 }
 
 
@@ -155,20 +167,24 @@ def stateful(events: DataFrame, name: str) -> DataFrame:
 
 
 def run_stream(spark: SparkSession, log: DataFrame, transform: Callable[[DataFrame], DataFrame], order: str = "seq", mode: str = "append") -> DataFrame:
-    """Deal a log out as files in two parts, run a stream over them until all are read, and give what its sink has."""
+    """Deal a log out in two parts, run a stream over the first, start it again from its checkpoint over the second, and give what its sink has.
+
+    So every stream here carries its state from one micro-batch, and from one run, to the next.
+    """
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     middle = log.approxQuantile(order, [0.5], 0.01)[0] if log.head(1) else 0
-    log.filter(F.col(order) <= middle).write.parquet(f"{folder}/in")
-    log.filter(F.col(order) > middle).write.mode("append").parquet(f"{folder}/in")
-    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
-    out = transform(source)
     sink = lambda rows, batch: rows.withColumn("_batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/out")
-    query = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(sink).trigger(availableNow=True).start()
-    query.awaitTermination()
+    for part in (log.filter(F.col(order) <= middle), log.filter(F.col(order) > middle)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        out = transform(spark.readStream.schema(log.schema).parquet(f"{folder}/in"))
+        query = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(sink).trigger(availableNow=True).start()
+        query.awaitTermination()
     found = spark.read.schema(_with_batch(out)).parquet(f"{folder}/out")
     if mode == "complete":
         found = found.filter(F.col("_batch") == found.agg(F.max("_batch")).first()[0])
-    return found.drop("_batch")
+    found = found.drop("_batch")
+    found._kymo_folder = folder
+    return found
 
 
 def _with_batch(out: DataFrame):
@@ -180,8 +196,11 @@ def logs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     seconds = F.unix_timestamp("ts").alias("t")
     if name in ("wallet", "hourly"):
         return fixtures.view(spark, sf_dir, "wallet_events").select("code", "seq", seconds, "op", F.col("hold_id").cast("double").alias("hold_id"), "want_units", F.col("actual_units").cast("long").alias("actual_units"))
-    if name == "steps":
-        return fixtures.view(spark, sf_dir, "screen_events")
+    if name == "steps":  # some events take the last step back; each recording ends with a finish
+        seen = fixtures.view(spark, sf_dir, "screen_events")
+        seen = seen.withColumn("kind", F.when(F.col("seq") % 29 == 0, "undo").otherwise(F.col("kind")))
+        ends = seen.groupBy("recording_id").agg((F.max("seq") + 1).alias("seq"), F.max("at_ms").alias("at_ms")).withColumn("kind", F.lit("finish"))
+        return seen.unionByName(ends, allowMissingColumns=True)
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     if name == "throttle":
         return events.select(F.col("user_id").alias("device_id"), F.col("event_id").alias("seq"), seconds, (F.col("event_type") == "error").alias("forced"))
