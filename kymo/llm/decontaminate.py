@@ -4,8 +4,9 @@ The test items are normalised (A-Z to a-z, words of digits, letters and all non-
 of word numbers. Every document is streamed through it in blocks; after each word the automaton holds the longest suffix
 of the document that is part of some item. A match of ``window`` words or more (or a whole item that is shorter) is hit.
 
-Cases: null and empty texts have no words and no hits; items without words are ignored; equal items each count; repeated
-documents are repeated in the result; an empty documents or benchmark table gives empty or all-clean results.
+Cases: null and empty texts have no words and no hits; items without words are ignored; an item without an id hits like any
+other but isn't named; equal items each count; repeated documents are repeated in the result; an empty documents or
+benchmark table gives empty or all-clean results.
 """
 
 from __future__ import annotations
@@ -164,18 +165,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def shards(items: DataFrame, id_col: str, text_col: str, window: int) -> list[Automaton]:
-    """Automata of at most ``SHARD_WORDS`` words each (one item may exceed it); the items come a shard at a time."""
+def shards(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[Automaton]:
+    """Automata of at most ``SHARD_WORDS`` words each (one item may exceed it), one after another: the driver holds one shard."""
     sized = items.select(F.col(id_col).cast("string").alias("item"), utf8(text_col).alias("bytes"))
     total = sized.agg(F.sum(F.length("bytes"))).first()[0] or 0
     n = max(1, -(-total // (4 * SHARD_WORDS)))
-    out = []
     for k in range(n):
         rows = sized.filter(F.pmod(F.xxhash64("item", "bytes"), F.lit(n)) == k).orderBy("item", "bytes").collect()
-        part = [(r.item, w) for r in rows if r.item is not None and (w := words_of(bytes(r.bytes)))]
-        if part:
-            out.append(Automaton(part, window))
-    return out or [Automaton([], window)]
+        yield Automaton([(r.item, w) for r in rows if (w := words_of(bytes(r.bytes)))], window)
 
 
 def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -194,7 +191,7 @@ def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                     n, s, f, m = a.scan(text)
                     n_words.append(n)
                     spans.append([list(x) for x in merged([*map(tuple, old_s), *s])] if s or old_s else [])
-                    names.append(sorted({*old_i, *f}))
+                    names.append(sorted({*old_i, *f} - {None}))
                     longest.append(max(m, old_l))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(longest, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.list_(pa.string()))], names=b.schema.names)
 
@@ -227,7 +224,7 @@ def cut_text(text: bytes, automata: list[Automaton], limit: float = COVERAGE) ->
 
 def cut(docs: DataFrame, items: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, limit: float = COVERAGE) -> DataFrame:
     """``docs`` with hit spans cut out of the text; documents hit over ``limit`` are gone. All other columns stay as they are, null texts too."""
-    held = docs.sparkSession.sparkContext.broadcast(shards(items, item_id, item_text, window))
+    held = docs.sparkSession.sparkContext.broadcast(list(shards(items, item_id, item_text, window)))
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +235,7 @@ def cut(docs: DataFrame, items: DataFrame, text_col: str = "text", length_col: s
             yield b.set_column(at, b.schema.field(at), new).filter(keep)
 
     out = docs.mapInArrow(clean, docs.schema)
-    return out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType)) if length_col else out
+    return out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else out
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,7 +276,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
             yield b.set_column(at, b.schema.field(at), pa.array([clean(v.as_py()) for v in b.column(at)], b.schema.field(at).type))
 
     out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType)) if length_col else out
+    return out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else out
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

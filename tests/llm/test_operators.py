@@ -87,6 +87,15 @@ def test_decontamination_equals_brute_force(spark, odd):
     assert got == sorted((n, h, tuple(i)) for n, h, i in (brute_hits(t, items) for _, t, *_ in ODD))
 
 
+def test_items_without_an_id_hit_and_tables_may_be_empty(spark, odd, empty):
+    items = spark.createDataFrame([(None, prose(5, 14)), (2, prose(99, 50))], "item_id long, text string")
+    hit = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.match(odd, items).filter("n_hit > 0").collect()}
+    assert hit == {5: (14, []), 6: (14, [])}
+    assert decontaminate.match(empty, items).count() == 0 and decontaminate.match(odd, items.limit(0)).filter("n_hit > 0").count() == 0
+    assert decontaminate.cut(odd.drop("n_chars"), items).count() == len(ODD) and decontaminate.cut(empty, items).count() == 0
+    assert secrets.redact(odd.drop("n_chars"), net=secrets.train([])).count() == len(ODD)
+
+
 def test_automaton_on_random_words_and_across_blocks(monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 16)
     rng = random.Random(1)
@@ -556,6 +565,36 @@ def test_long_texts_are_linked_by_whole_sets_and_repeats_do_not_count(spark):
     assert kept == set(range(0, 60, 2)) | {k + 1 for k in range(0, 60, 2) if k not in alike} | {100}
 
 
+def test_all_links_of_the_given_documents_are_found(spark):
+    """Of 1,000 documents, every pair of a Jaccard of 0.8 over five-word shingles, by brute force over shared shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets, holders = {}, defaultdict(set)
+    for r in docs.collect():
+        ws = "".join(c.lower() if c.isascii() else c for c in r.text or "").encode().split()
+        sets[r.doc_id] = {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else {()}
+        for g in sets[r.doc_id]:
+            holders[g].add(r.doc_id)
+    links = set()
+    for a, own in sets.items():
+        shared = Counter(b for g in own for b in holders[g] if b > a)
+        links |= {(a, b) for b, n in shared.items() if n >= 0.8 * (len(own) + len(sets[b]) - n)}
+    rows, linked = simhash.similar(docs)
+    label = {r.doc_id: r.label for r in rows.join(linked.withColumnRenamed("node", "th"), "th", "left").withColumn("label", F.coalesce("label", "th")).collect()}
+    assert len(links) > 50 and sum(label[a] == label[b] for a, b in links) >= 0.99 * len(links)
+    parent = {k: k for k in sets}
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    groups = defaultdict(set)
+    for k, v in label.items():
+        groups[v].add(root(k))
+    assert all(len(g) == 1 for g in groups.values())  # nothing else is linked
+
+
 # 7
 
 
