@@ -251,10 +251,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jac
     keys = repeated_keys(docs, text_col)
     found = candidates(docs, keys, id_col, text_col)
     discard(keys)
-    classes = found.select("uid", "shingles", F.explode("keys").alias("key")).dropDuplicates(["key", "uid"])
+    pairs = found.select("uid", F.explode("keys").alias("key")).distinct()
+    many_classes = pairs.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).filter("low <> high").select("key")
+    met = written(pairs.join(many_classes, "key", "left_semi").select("key", "uid"), "met")
+    shapes = found.select("uid", "shingles").join(met.select("uid").distinct(), "uid", "left_semi").dropDuplicates(["uid"])
+    classes = written(met.join(shapes, "uid").select("key", "uid", "shingles"), "classes")
     linked = components(links_in_groups(classes, ["key"], "uid", ["shingles"], _linked(jaccard)))
+    discard(met)
+    discard(classes)
     rows = found.drop("keys", "shingles").join(linked.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     rows = written(rows, "labelled")
+    discard(found)
+    discard(linked)
     place = F.struct("doc", "first")
     many = written(rows.groupBy("label").agg(F.min("doc").alias("component_id"), F.max("doc").alias("other"), F.min(place).alias("kept")).filter("component_id <> other").drop("other"), "repeated")
     dup = rows.join(many, "label").withColumn("remove", place != F.col("kept")).dropDuplicates(["doc", "first", "last"])
