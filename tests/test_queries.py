@@ -142,6 +142,13 @@ def test_ratio_of_sequences(spark):
     assert [r[0] for r in rows.select(folds.sequence_ratio("a", "b")).collect()] == [pytest.approx(12 / 14), 0.75, None]
 
 
+def test_bootstrap_interval_is_as_wide_as_theory_says(spark):
+    rows = spark.range(400).selectExpr("id", "CAST(id % 5 = 0 AS INT) * 10 AS errors", "10 AS words")
+    low, high = folds.bootstrap_interval(rows, "errors", "words").first()
+    assert low < 0.2 < high and abs((high - low) - 2 * 1.96 * (0.2 * 0.8 / 400) ** 0.5) < 0.01
+    assert folds.bootstrap_interval(rows.repartition(7), "errors", "words").first() == (low, high)
+
+
 def test_losses_of_a_plan(spark):
     df = lambda rows: spark.createDataFrame(rows, "k int, id int")
     out = folds.losses(df([(1, 1), (1, 2), (1, 3), (2, 1)]), df([(1, 1), (1, 1), (1, 9), (2, 1)]), df([(1, 3), (1, 1)]), "k")
