@@ -114,7 +114,10 @@ def grouped(prints: DataFrame, id_col: str, limit: int = BITS) -> DataFrame:
     linked = components(links_in_groups(tables(classes.select("fp"), limit), ["t", "key"], "fp", ["fp"], _linked(limit)))
     named = written(classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "named")
     ids = written(named.groupBy("label").agg(F.min("least").alias("component_id")), "ids")
-    return written(named.join(ids, "label").select("fp", "label", "component_id"), "by_print")
+    out = written(named.join(ids, "label").select("fp", "label", "component_id"), "by_print")
+    for done in (classes, linked, named, ids):
+        discard(done)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, limit: int = BITS, seed: int = SEED) -> DataFrame:
@@ -124,7 +127,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def sketch(text: bytes, words: int, keys: int = KEYS, size: int = SKETCH) -> tuple[int, int, list[int], bytes, bytes]:
-    """Hash of the words, fingerprint of the distinct shingles, their smallest hash under each of ``keys`` functions, the ``size`` smallest hashes, and the others."""
+    """Hash of the words, fingerprint of the distinct shingles, their smallest hash under each of ``keys`` functions, the ``size`` smallest hashes, and the others.
+
+    Of the hashes in the last two, 32 bits are kept: of a million shingles, about one in ten thousand then equals another.
+    """
     tokens = text.lower().split()
     joined = memoryview(b" ".join(tokens))
     ends = list(accumulate(len(t) + 1 for t in tokens))
@@ -132,7 +138,7 @@ def sketch(text: bytes, words: int, keys: int = KEYS, size: int = SKETCH) -> tup
     n = max(1, len(tokens) - words + 1)
     digest = xxhash.xxh64_intdigest
     if not tokens:
-        return digest(b"", SEED), 0, [0] * keys, np.zeros(1, np.uint64).tobytes(), b""
+        return digest(b"", SEED), 0, [0] * keys, np.zeros(1, np.uint32).tobytes(), b""
     hashes = np.unique(np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts[:n], ends[min(words, len(tokens)) - 1 :])), np.uint64, n))  # noqa: B905
     least = [int(((hashes ^ np.uint64(m)) * np.uint64(m | 1)).min()) for m in _MIXERS[:keys]]
     places = (np.array(least, np.uint64) + np.arange(keys, dtype=np.uint64)).view(np.int64).tolist()
@@ -140,7 +146,8 @@ def sketch(text: bytes, words: int, keys: int = KEYS, size: int = SKETCH) -> tup
     for at in range(0, len(hashes), _BLOCK):
         counts += np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     fp = int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
-    return digest(joined, SEED), fp, places, hashes[:size].tobytes(), hashes[size:].tobytes()
+    short = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
+    return digest(joined, SEED), fp, places, short[:size].tobytes(), short[size:].tobytes()
 
 
 def _similar(least: float, bits: int):
@@ -148,7 +155,7 @@ def _similar(least: float, bits: int):
 
     def link(columns: list) -> Forest:
         fps = columns[0].to_numpy().view(np.uint64)
-        sets = [np.frombuffer(x, np.uint64) for x in columns[1].to_pylist()]
+        sets = [np.frombuffer(x, np.uint32) for x in columns[1].to_pylist()]
         whole = columns[2].to_pylist()
         distances = np.bitwise_count(fps[:, None] ^ _PIVOT_VALUES[None, :]).astype(np.int8)
         sizes = np.array(list(map(len, sets)))
@@ -176,7 +183,7 @@ def _similar(least: float, bits: int):
 def jaccard(a: np.ndarray, b: np.ndarray, whole: bool) -> float:
     """Of two sorted sets of hashes; of sketches, over the smallest hashes that both would show."""
     if not whole:
-        top = min(a[-1] if len(a) >= SKETCH else np.iinfo(np.uint64).max, b[-1] if len(b) >= SKETCH else np.iinfo(np.uint64).max)
+        top = min(a[-1] if len(a) >= SKETCH else np.iinfo(np.uint32).max, b[-1] if len(b) >= SKETCH else np.iinfo(np.uint32).max)
         a, b = a[a <= top], b[b <= top]
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
@@ -201,8 +208,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     rows = docs.select(F.col(id_col), F.xxhash64(id_col, text_col).alias("row"), utf8(text_col).alias("bytes"))
     prints = written(rows.mapInArrow(run, f"`{id_col}` {kind}, row long, th long, fp long, keys array<long>, hashes binary, rest binary"), "sketches")
-    met = prints.select("th", F.explode("keys").alias("key")).groupBy("key").agg(F.min("th").alias("low"), F.max("th").alias("high")).filter("low <> high").select("key")
-    found = written(prints.select("th", F.explode("keys").alias("key")).join(met, "key", "left_semi").select("th", "key").distinct(), "met")
+    keyed = written(prints.select("th", "keys").dropDuplicates(["th"]).select("th", F.explode("keys").alias("key")), "keys")  # copies are one text
+    met = keyed.groupBy("key").agg(F.min("th").alias("low"), F.max("th").alias("high")).filter("low <> high").select("key")
+    found = written(keyed.join(met, "key", "left_semi").select("th", "key"), "met")
+    discard(keyed)
     texts = prints.select("th", "fp", "hashes", "rest").join(found.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
     members = written(texts.withColumn("whole", F.length("rest") == 0), "members")
     met_again = written(found.join(members.drop("rest"), "th"), "meetings")
@@ -216,6 +225,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     verified = components(links_in_groups(again, ["label"], "th", ["fp", "hashes", "whole"], _similar(least, bits)))
     discard(again)
     linked = written(sure.unionByName(verified.select("node", "label")), "linked")
+    for done in (found, members, proposed, unsure, verified):
+        discard(done)
     return prints.select(id_col, "row", "th"), linked
 
 
