@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, licenses, packing, passages, secrets, simhash, tokens, toxicity, warc
+from . import alignment, decontaminate, exact, licenses, packing, passages, secrets, simhash, tokens, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secrets": secrets.op8_secrets,
         "op9_token_counts": tokens.op9_token_counts,
         "op10_licenses": licenses.op10_licenses,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
