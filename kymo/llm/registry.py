@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontaminate, exact, licenses, packing, passages, secrets, simhash, tokens, toxicity, warc
+from . import alignment, decontaminate, exact, licenses, packing, passages, secrets, simhash, spelling, tokens, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_secrets": secrets.op8_secrets,
         "op9_token_counts": tokens.op9_token_counts,
         "op10_licenses": licenses.op10_licenses,
+        "op11_spelling": spelling.op11_spelling,
+        "op12_topk": topk.op12_topk,
         "op13_alignment": alignment.op13_alignment,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op7_warc": warc.OP7_SQL, "op10_licenses": licenses.OP10_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op7_warc": warc.OP7_SQL, "op10_licenses": licenses.OP10_SQL, "op11_spelling": spelling.OP11_SQL, "op12_topk": topk.OP12_SQL}
