@@ -46,7 +46,7 @@ B_BITS = 32
 #: At most so many pairs can hold 1/HOT of all rows of (document, pair) each.
 HOT = 65_536
 #: Bytes that a worker's memory of units may take, and what one takes beside its own and its groups' bytes.
-MEMORY, EACH = 200_000_000, 320
+MEMORY, EACH = 170_000_000, 420
 _GAP = re.compile(r"\s ")
 _BORDER = re.compile(r"(?<=\S) (?!\Z)")
 
