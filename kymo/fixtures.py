@@ -44,6 +44,9 @@ SELECT user_id AS recording_id, event_id AS seq,
        value AS sx, CAST((event_id * 31) % 600 AS DOUBLE) AS sy,
        CASE WHEN event_id % 3 = 0 THEN 'textbox' WHEN event_id % 7 = 0 THEN 'checkbox' ELSE 'button' END AS role,
        concat('app', CAST(event_id % 4 AS STRING)) AS app FROM events""",
+    "accounts": """
+WITH a AS (SELECT c_nationkey AS account, CAST(floor(sum(c_acctbal) / count(*) * 40) AS BIGINT) AS cap FROM customer GROUP BY c_nationkey)
+SELECT c_custkey AS code, c_nationkey AS account, cap, cap * 3 AS balance, cap * 2 AS alert_at FROM customer JOIN a ON account = c_nationkey""",
     "device_usage": """
 SELECT c.c_nationkey AS code, c.c_custkey AS device, count(*) AS jobs_total,
        sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS completed, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS failed,
@@ -51,6 +54,14 @@ SELECT c.c_nationkey AS code, c.c_custkey AS device, count(*) AS jobs_total,
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_nationkey, c.c_custkey""",
 }
 SPARK = _BOTH | {
+    "timed_segments": """
+WITH t AS (SELECT conv_id, turn, text, filter(split(text, ' '), w -> w <> '') AS ws FROM conversations WHERE trim(text) <> ''),
+c AS (SELECT *, (conv_id + turn * 3) % 41 AS c, turn % 3 AS k, size(filter(split(text, ' '), w -> w <> '')) AS n FROM t),
+d AS (SELECT *, round(0.4 * (n - 1) + 3.0 * floor((n - 1 + c) / 41) + 0.1 * floor((n - 1 + k) / 3) + 0.32, 3) AS dur FROM c),
+p AS (SELECT *, coalesce(sum(dur + 0.7) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS off FROM d)
+SELECT conv_id AS recording_id, turn + 1 AS segment_id, round(off, 3) AS start_s, round(off + dur, 3) AS end_s, text AS text_raw, trim(text) AS text_clean,
+       CASE WHEN turn % 13 = 12 THEN NULL ELSE transform(ws, (w, i) -> named_struct('word', w, 'start_s', CAST(round(off + 0.4 * i + 3.0 * floor((i + c) / 41) + 0.1 * floor((i + k) / 3), 3) AS DOUBLE), 'end_s', CAST(round(off + 0.4 * i + 3.0 * floor((i + c) / 41) + 0.1 * floor((i + k) / 3) + 0.32, 3) AS DOUBLE), 'probability', CAST((50 + (length(w) * 7 + i * 13) % 50) / 100.0 AS DOUBLE))) END AS words,
+       CASE WHEN turn % 7 <> 6 THEN n / 20.0 END AS compression, CASE WHEN turn % 5 <> 4 THEN -1.0 * (turn % 5) / 2.5 END AS logprob, CASE WHEN turn % 11 <> 0 THEN (turn % 10) / 10.0 END AS no_speech FROM p""",
     "ocr_words": """
 SELECT doc_id AS image_id, li AS line, wi AS word_idx, w AS text, CAST(50 + (length(w) * 7 + wi * 13) % 50 AS DOUBLE) AS conf,
        CAST(wi * 90 AS DOUBLE) AS left_px, CAST(li * 20 AS DOUBLE) AS top_px, CAST(length(w) * 8 AS DOUBLE) AS width_px, CAST(14 AS DOUBLE) AS height_px
@@ -69,6 +80,14 @@ SELECT doc_id AS plan_id, CAST(floor(li / 5) AS INT) AS section_idx, li AS block
 FROM documents LATERAL VIEW posexplode(split(text, '\n')) a AS li, ln WHERE trim(ln) <> ''""",
 }
 DUCK = _BOTH | {
+    "timed_segments": """
+WITH t AS (SELECT conv_id, turn, text, list_filter(string_split(text, ' '), lambda w : w <> '') AS ws FROM conversations WHERE trim(text) <> ''),
+c AS (SELECT *, (conv_id + turn * 3) % 41 AS c, turn % 3 AS k, len(list_filter(string_split(text, ' '), lambda w : w <> '')) AS n FROM t),
+d AS (SELECT *, round(0.4 * (n - 1) + 3.0 * floor((n - 1 + c) / 41) + 0.1 * floor((n - 1 + k) / 3) + 0.32, 3) AS dur FROM c),
+p AS (SELECT *, coalesce(sum(dur + 0.7) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS off FROM d)
+SELECT conv_id AS recording_id, turn + 1 AS segment_id, round(off, 3) AS start_s, round(off + dur, 3) AS end_s, text AS text_raw, trim(text) AS text_clean,
+       CASE WHEN turn % 13 = 12 THEN NULL ELSE list_transform(ws, lambda w, i : {'word': w, 'start_s': CAST(round(off + 0.4 * (i - 1) + 3.0 * floor(((i - 1) + c) / 41) + 0.1 * floor(((i - 1) + k) / 3), 3) AS DOUBLE), 'end_s': CAST(round(off + 0.4 * (i - 1) + 3.0 * floor(((i - 1) + c) / 41) + 0.1 * floor(((i - 1) + k) / 3) + 0.32, 3) AS DOUBLE), 'probability': CAST((50 + (length(w) * 7 + (i - 1) * 13) % 50) / 100.0 AS DOUBLE)}) END AS words,
+       CASE WHEN turn % 7 <> 6 THEN n / 20.0 END AS compression, CASE WHEN turn % 5 <> 4 THEN -1.0 * (turn % 5) / 2.5 END AS logprob, CASE WHEN turn % 11 <> 0 THEN (turn % 10) / 10.0 END AS no_speech FROM p""",
     "ocr_words": """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS li FROM documents),
 x AS (SELECT doc_id, li, unnest(string_split(ln, ' ')) AS w, generate_subscripts(string_split(ln, ' '), 1) - 1 AS wi FROM l)

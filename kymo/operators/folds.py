@@ -18,13 +18,10 @@ from .. import fixtures
 
 Rows = list[dict]
 # Fixed values of the shaping rules.
-MAX_PIECE, MIN_SIDE = 12.0, 2.5
 PARAGRAPH, PARAGRAPH_GAP, LEAST_PARAGRAPH = 700, 2.5, 180
 BREAK_PAUSE, OVERRUN = 1.0, 1.25
-CUE_SECONDS, CUE_CHARS, CUE_LEAST = 7.0, 84, 0.7
 CHAPTER_GAP, CHAPTERS = 10.0, 3
 _ENDS = (".", "!", "?", "؟", "…")
-_CUT_ENDS = (".", "!", "?", "؟", "،", "؛", ":", "…")
 
 
 def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[Rows], Iterator[tuple]], schema: str) -> DataFrame:
@@ -38,33 +35,6 @@ def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[Rows], Ite
     return rows.groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, {schema}")
 
 
-def split_long(rows: Rows) -> Iterator[tuple]:
-    """Segments over MAX_PIECE seconds cut at the best word boundary, again and again. Words are evenly spread."""
-    for r in rows:
-        words = r["text"].split()
-        each = (r["end_s"] - r["start_s"]) / max(1, len(words))
-        at = [(r["start_s"] + k * each, r["start_s"] + (k + 0.8) * each) for k in range(len(words))]
-        todo = [(0, len(words))]
-        pieces = []
-        while todo:
-            a, b = todo.pop()
-            begin, end = at[a][0] if words else r["start_s"], at[b - 1][1] if words else r["end_s"]
-            best, where = float("-inf"), None
-            if end - begin > MAX_PIECE:
-                for k in range(a + 1, b):
-                    if at[k - 1][1] - begin >= MIN_SIDE and end - at[k][0] >= MIN_SIDE:
-                        middle = 1 - abs((at[k][0] - begin) / (end - begin) - 0.5) * 2
-                        score = at[k][0] - at[k - 1][1] + 0.5 * words[k - 1].endswith(_CUT_ENDS) + 0.25 * middle
-                        if score > best + 1e-9:  # the first of equals, whatever their last digits
-                            best, where = score, k
-            if where is None:
-                pieces.append((a, b, begin, end))
-            else:
-                todo += [(a, where), (where, b)]
-        for k, (a, b, begin, end) in enumerate(sorted(pieces)):
-            yield r["segment_id"], k, round(begin, 3), round(end, 3), " ".join(words[a:b])
-
-
 def paragraphs(rows: Rows) -> Iterator[tuple]:
     """Paragraphs end before a segment when they hold PARAGRAPH characters already, or after a pause."""
     held: Rows = []
@@ -193,28 +163,6 @@ def merge_sections(rows: Rows) -> Iterator[tuple]:
         yield r["section_idx"], rows[into]["section_idx"]
 
 
-def cues(rows: Rows) -> Iterator[tuple]:
-    """Caption cues: a segment over CUE_SECONDS is cut in equal times; short ones are held; a cue ends where the next begins."""
-    laid: list[list] = []
-    for r in rows:
-        text = r["text"].split()
-        span = max(0.0, r["end_s"] - r["start_s"])
-        parts = 1 if span <= CUE_SECONDS else max(2, int(span // CUE_SECONDS) + 1)
-        per = max(1, len(text) // parts)
-        for k in range(parts):
-            piece = text[k * per : (k + 1) * per] if k < parts - 1 else text[k * per :]
-            if piece:
-                begin = r["start_s"] + k * span / parts
-                if laid and begin < laid[-1][1]:
-                    laid[-1][1] = begin
-                laid.append([begin, max(r["start_s"] + (k + 1) * span / parts, begin + CUE_LEAST), " ".join(piece)])
-    n = 0
-    for begin, end, text in laid:
-        if end > begin:
-            n += 1
-            yield n, round(begin, 3), round(end, 3), text
-
-
 def chapters(rows: Rows) -> Iterator[tuple]:
     """Chapter marks: the first at 0, none within CHAPTER_GAP of the last kept, none so near the end; else none at all."""
     kept: list[tuple] = []
@@ -395,14 +343,12 @@ def queries() -> dict:
     return {
         "misread_pairs": misread_pairs,
         "batch_losses": lambda s, d: losses(seg(s, d).select("recording_id", F.col("segment_id").alias("id")), fold(seg(s, d), "recording_id", ["segment_id"], batches(), "segment_id long, batch int").select("recording_id", F.col("segment_id").alias("id")), None, "recording_id"),
-        "split_long": lambda s, d: fold(seg(s, d), "recording_id", ["segment_id"], split_long, "segment_id long, piece int, start_s double, end_s double, text string"),
         "transcript_paragraphs": lambda s, d: fold(seg(s, d), "recording_id", ["segment_id"], paragraphs, "start_s double, segments int, text string"),
         "raw_paragraphs": lambda s, d: fold(seg(s, d), "recording_id", ["segment_id"], raw_paragraphs, "segments int, text string"),
         "segment_batches": lambda s, d: fold(seg(s, d), "recording_id", ["segment_id"], batches(), "segment_id long, batch int"),
         "timeline_plan": lambda s, d: fold(_events(s, d), "recording_id", ["start_s", "rank", "id"], timeline, "section int, block int, kind string, start_s double, segments int, text string"),
         "merged_paragraphs": lambda s, d: fold(blocks(s, d), "plan_id", ["block_idx"], merge_short, "section_idx int, block int, kind string, text string"),
         "merged_sections": lambda s, d: fold(sections(s, d), "plan_id", ["section_idx"], merge_sections, "section_idx int, into_section int"),
-        "caption_cues": lambda s, d: fold(seg(s, d), "recording_id", ["segment_id"], cues, "cue int, start_s double, end_s double, text string"),
         "video_chapters": lambda s, d: fold(sections(s, d), "plan_id", ["start_s", "section_idx"], chapters, "chapter int, start_s double, title string"),
         "scene_cuts": lambda s, d: fold(_signals(s, d), "recording_id", ["ts"], scene_cuts(), "scene int, ts double, score double"),
         "spaced_frames": lambda s, d: fold(_signals(s, d), "recording_id", ["ts"], spaced(), "ts double"),

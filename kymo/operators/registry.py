@@ -5,9 +5,9 @@ from __future__ import annotations
 from ..functions import names, plans, text, titles
 from ..sources import files
 from ..streaming import machines
-from . import evaluation, folds, frames, ledger, plan, screen, terms, transcript
+from . import evaluation, folds, frames, ledger, plan, screen, terms, transcript, words
 
-_MODULES = (transcript, ledger, screen, plan, terms, frames, evaluation)
+_MODULES = (transcript, words, ledger, screen, plan, terms, frames, evaluation)
 
 
 def queries() -> dict:

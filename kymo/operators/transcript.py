@@ -36,10 +36,6 @@ QUERIES = [
     Query("clip_shift", "P03", ["segments"], lambda d: f"""
 SELECT recording_id, segment_id, round(greatest(start_s, 10.0) - 10.0, 3) AS start_s, round(least(end_s, 60.0) - 10.0, 3) AS end_s
 FROM {d.segments} WHERE end_s > 10.0 AND start_s < 60.0"""),
-    Query("untrusted_pieces", "P10", ["segments"], lambda d: f"""
-WITH p AS (SELECT recording_id, segment_id, CAST(n_words AS DOUBLE) / 20.0 AS compression, -1.0 * (segment_id % 5) / 3.0 AS logprob, CASE WHEN segment_id % 11 <> 0 THEN CAST(segment_id % 10 AS DOUBLE) / 10.0 END AS no_speech FROM {d.segments})
-SELECT recording_id, segment_id FROM p
-WHERE NOT (coalesce(compression > 2.4, false) OR coalesce(logprob < -1.0, false) OR (coalesce(no_speech > 0.6, false) AND coalesce(logprob < -0.5, false)))"""),
     Query("transcript_gaps", "W01", ["segments"], lambda d: f"WITH {_gaps(d)} SELECT recording_id, round(gap_start, 3) AS gap_start, round(gap_end, 3) AS gap_end FROM g WHERE gap_end - gap_start >= 1.0"),
     Query("transcript_completeness", "W01 A07", ["segments"], lambda d: f"""
 WITH {_gaps(d)},
@@ -48,10 +44,6 @@ k AS (SELECT recording_id, max(gap_end - gap_start) AS longest, sum(CASE WHEN ga
 SELECT t.recording_id, round(least(100.0, 100.0 * spoken / nullif(duration, 0)), 4) AS coverage_percent, CAST(words AS BIGINT) AS words,
        round(words * 60.0 / nullif(duration, 0), 4) AS words_per_minute, round(longest, 3) AS longest_gap, CAST(long_gaps AS BIGINT) AS long_gaps
 FROM t JOIN k ON t.recording_id = k.recording_id"""),
-    Query("word_gaps", "W02", ["segments"], lambda d: f"""
-WITH w AS (SELECT recording_id, segment_id, start_s + (wi - 1) * 0.4 + CASE WHEN wi > 6 THEN 3.0 ELSE 0.0 END AS w_start FROM {d.unnest(d.segments, d.split('text_raw'), 'word', 'wi')} x),
-g AS (SELECT recording_id, w_start, max(w_start + 0.32) OVER (PARTITION BY recording_id ORDER BY w_start, segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_s FROM w)
-SELECT recording_id, round(coalesce(before_s, 0.0), 3) AS gap_start, round(w_start, 3) AS gap_end FROM g WHERE w_start - coalesce(before_s, 0.0) >= 2.0"""),
     Query("pauses_after", "W03", ["segments"], lambda d: f"""
 SELECT recording_id, segment_id, round(coalesce(greatest(0.0, lead(start_s) OVER (PARTITION BY recording_id ORDER BY segment_id) - end_s), 1e9), 3) AS pause_s FROM {d.segments}"""),
     Query("collapsed_repeats", "W04 F05", ["segments"], lambda d: f"""
@@ -68,12 +60,6 @@ i AS (SELECT *, r - row_number() OVER (PARTITION BY recording_id, loop_key ORDER
 c AS (SELECT *, loops AND count(*) OVER (PARTITION BY recording_id, loop_key, island) >= 3 AS merges FROM i)
 SELECT recording_id, min(segment_id) AS first_id, count(*) AS merged, round(min(start_s), 3) AS start_s, round(max(end_s), 3) AS end_s, string_agg(text_raw, ' ' ORDER BY segment_id) AS text_raw
 FROM c GROUP BY recording_id, loop_key, island, CASE WHEN merges THEN 0 ELSE segment_id END"""),
-    Query("split_on_gaps", "W05", ["segments"], lambda d: f"""
-WITH w AS (SELECT recording_id, segment_id, wi, word, start_s + (wi - 1) * 0.4 + CASE WHEN wi > 8 THEN 3.0 ELSE 0.0 END AS w_start FROM {d.unnest(d.segments, d.split('text_raw'), 'word', 'wi')} x),
-f AS (SELECT *, CASE WHEN w_start - (lag(w_start) OVER (PARTITION BY recording_id, segment_id ORDER BY wi) + 0.32) > 2.5 THEN 1 ELSE 0 END AS cut FROM w),
-p AS (SELECT *, sum(cut) OVER (PARTITION BY recording_id, segment_id ORDER BY wi) AS piece FROM f)
-SELECT recording_id, segment_id, CAST(piece AS BIGINT) AS piece, count(*) AS n_words, round(min(w_start), 3) AS start_s, round(max(w_start) + 0.32, 3) AS end_s, {d.join('word', ' ', 'wi')} AS text
-FROM p GROUP BY recording_id, segment_id, piece"""),
     Query("cue_trim", "W14", ["segments"], lambda d: f"""
 WITH c AS (SELECT recording_id, segment_id, start_s, greatest(end_s + 0.6, start_s + 0.7) AS end_s FROM {d.segments}),
 n AS (SELECT *, lead(start_s) OVER (PARTITION BY recording_id ORDER BY start_s, segment_id) AS next_s FROM c)

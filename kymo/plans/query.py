@@ -111,10 +111,41 @@ class Query:
         return self.on(spark, **{name: fixtures.view(spark, sf_dir, name) for name in self.inputs})
 
     def oracle(self) -> str:
-        ctes = [f"{name} AS ({fixtures.DUCK[name]})" for name in fixtures.needed(self.inputs)]
-        body = (self.sql or self.text(Dialect(False))).strip()
-        if not ctes:
-            return body
-        if body[:5].upper() == "WITH ":
-            return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
-        return "WITH " + ",\n".join(ctes) + "\n" + body
+        return with_views(self.inputs, self.sql or self.text(Dialect(False)))
+
+
+@dataclass
+class Built:
+    """One operator as a function of DataFrames, named as its inputs are; ``sql`` is its rule written for the engine that checks it."""
+
+    name: str
+    rows: str
+    inputs: list[str]
+    build: Callable[..., DataFrame]
+    sql: str | None = None
+
+    @property
+    def checked(self) -> bool:
+        return self.sql is not None
+
+    def on(self, spark: SparkSession, **frames: DataFrame) -> DataFrame:
+        """The operator over the caller's own tables, one for each input."""
+        return self.build(**frames)
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.on(spark, **{name: fixtures.view(spark, sf_dir, name) for name in self.inputs})
+
+    def oracle(self) -> str:
+        return with_views(self.inputs, self.sql or "")
+
+
+def with_views(inputs: list[str], sql: str) -> str:
+    """A statement for the engine that checks, behind the views that it reads."""
+    ctes = [f"{name} AS ({fixtures.DUCK[name]})" for name in fixtures.needed(inputs)]
+    body = sql.strip()
+    if not ctes:
+        return body
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return head + ",\n".join(ctes) + ",\n" + body[len(head) :]
+    return "WITH " + ",\n".join(ctes) + "\n" + body

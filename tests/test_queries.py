@@ -42,12 +42,6 @@ def test_paragraph_breaks_at_a_pause_and_at_length():
     assert [x[2] for x in folds.paragraphs(rows)] == ["a b", "c" * 700, "d"]
 
 
-def test_split_long_keeps_every_word():
-    rows = [seg(1, 0.0, 30.0, " ".join(f"w{k}" for k in range(60)))]
-    out = list(folds.split_long(rows))
-    assert " ".join(x[4] for x in out) == rows[0]["text"] and all(x[3] - x[2] <= 12 for x in out)
-
-
 def test_timeline_is_lossless():
     rows = [{"kind": "segment", "id": k, "start_s": 10.0 * k, "end_s": 10.0 * k + 9, "text": f"words of {k}."} for k in range(40)]
     rows += [{"kind": "figure", "id": 100 + k, "start_s": 35.0 * k, "end_s": 35.0 * k, "text": ""} for k in range(8)]
@@ -56,11 +50,6 @@ def test_timeline_is_lossless():
     assert len({x[0] for x in out}) > 1
 
 
-def test_cues_do_not_overlap():
-    out = list(folds.cues([seg(1, 0.0, 21.0, "one two three four five six"), seg(2, 20.0, 22.0, "seven")]))
-    assert all(a[2] <= b[1] for a, b in zip(out, out[1:], strict=False)) and out[-1][3] == "seven"
-
-
 def test_chapters_need_three():
     rows = [{"start_s": s, "end_s": s + 20, "title": str(s)} for s in (3.0, 8.0, 30.0, 60.0)]
     assert [x[1] for x in folds.chapters(rows)] == [0.0, 30.0, 60.0]
@@ -155,13 +144,6 @@ def test_losses_of_a_plan(spark):
     assert {r.k: tuple(r)[1:] for r in out.collect()} == {1: (1, 1, 1, 1, False), 2: (0, 0, 0, 0, True)}
 
 
-def test_long_segments_are_cut_behind_a_comma():
-    words = [f"w{k}" for k in range(40)]
-    words[17] += "،"
-    out = list(folds.split_long([seg(1, 0.0, 20.0, " ".join(words))]))
-    assert out[0][4].endswith("،") and len(out) == 2
-
-
 def test_fingerprints_of_files(spark, tmp_path):
     big = bytes(range(256)) * 10_000
     for name, body in {"a.mp4": big, "b.mp4": big, "c.mp3": b"c", "x.au": b"123"}.items():
