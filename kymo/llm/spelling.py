@@ -2,10 +2,10 @@
 
 Bigrams are put in one order, rarest first; a word's prefix are its three first ones (with all that equal the third). Two of
 them that don't overlap are its pivots, chosen by dynamic programming for the least sum of frequencies. One edit can't touch
-both pivots. So of two near words, the one whose prefix ends earlier has a pivot that the other one's prefix holds too, at
-the same place, counted from the start if the edit is behind it, else from the end; and the text on that side is
-equal. A pivot's keys are that side of its word, ended by the pivot, with the lengths that the other word may have; a prefix
-gram's are the same with its own length. Pairs with an equal key are verified by their edit distance.
+both pivots: it is behind the left one, or before the right one. So of two near words, the one whose prefix ends earlier has its left pivot
+in the other one's prefix at the same place from the start, with equal text before it; or its right one at the same place from the end, with equal
+text behind it. Those sides, pivot included, are its keys, with the lengths that the other word may have; a prefix gram's are the
+same with its own length. Pairs with an equal key, whose letters (odd counts) differ in two kinds at most, are verified by their edit distance.
 
 Words are runs of Latin letters up to U+00FF, so there are at most 2**16 bigrams, whose frequencies are broadcast. Texts
 are only read to count words, partly in each task; what comes after is of the size of the vocabulary. Keys are hashes and words
@@ -34,6 +34,7 @@ LETTERS = "A-Za-zÀ-ÿ"
 #: A letter is lost where this divides a run's checksum; letters and occurrences of a word at least; how many times more a form occurs.
 LOST, LENGTH, COUNT, TIMES = 97, 5, 3, 2
 PREFIX = 3
+_BITS = np.left_shift(np.ones(64, np.uint64), np.arange(64, dtype=np.uint64)).view(np.int64)
 
 
 def vocabulary(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -93,19 +94,28 @@ def pivots_of(places: list[int], weights: list[int]) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def side_keys(word: bytes, places: list[int], length: int) -> Iterator[int]:
-    """Two keys of each gram: the word up to its end, and the word from its begin; with the length of the prefix's word."""
-    for text, stops in ((word, [p + 2 for p in places]), (word[::-1], [len(word) - p for p in reversed(places)])):
-        h = xxhash.xxh64(seed=2 * length + (text is word))
-        at = 0
-        for stop in stops:
-            h.update(text[at:stop])
-            at = stop
-            yield h.intdigest()
+def left_keys(word: bytes, places: list[int], length: int) -> Iterator[int]:
+    """A key of the word up to the end of each gram, with the length of the prefix's word; ``places`` rise."""
+    h = xxhash.xxh64(seed=length)
+    at = 0
+    for p in places:
+        h.update(word[at : p + 2])
+        at = p + 2
+        yield h.intdigest()
+
+
+def right_keys(word: bytes, places: list[int], length: int) -> Iterator[int]:
+    """The same from the begin of each gram to the word's end."""
+    return left_keys(word[::-1], [len(word) - p - 2 for p in reversed(places)], -length % (1 << 64))
+
+
+def letters_of(word: bytes) -> int:
+    """A bit for each letter (modulo 64) of odd count, as a signed long: one edit changes two at most."""
+    return int(np.bitwise_xor.reduce(_BITS[np.frombuffer(word, np.uint8) & 63]))
 
 
 def keys(words: DataFrame, counts: np.ndarray, pivots: bool) -> DataFrame:
-    """(``key``, ``id``, ``last``) of the pivots, or of the prefix grams, of every word. Not written."""
+    """(``key``, ``id``, ``last``, ``letters``) of the pivots, or of the prefix grams, of every word. Not written."""
     order = np.lexsort((np.arange(1 << 16), counts))
     rank = np.empty(1 << 16, np.int64)
     rank[order] = np.arange(1 << 16)
@@ -114,29 +124,35 @@ def keys(words: DataFrame, counts: np.ndarray, pivots: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, weights = held.value
         for b in batches:
-            found, ids, lasts = [], [], []
+            found, ids, lasts, letters = [], [], [], []
             for word, own in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 w = word.as_py().encode("latin-1")
                 grams = _grams(w)
                 places, last = prefix_of([ranks[g] for g in grams])
                 before = len(found)
                 if pivots:
-                    places = list(pivots_of(places, [weights[grams[p]] for p in places]))
-                for length in (len(w) - 1, len(w), len(w) + 1) if pivots else (len(w),):
-                    found += side_keys(w, places, length)
-                ids += [own] * (len(found) - before)
-                lasts += [last] * (len(found) - before)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(lasts, pa.int64())], names=["key", "id", "last"])
-
-    return words.select("word", F.xxhash64("word").alias("id")).mapInArrow(run, "key long, id long, last long")
+                    left, right = pivots_of(places, [weights[grams[p]] for p in places])
+                    for length in (len(w) - 1, len(w), len(w) + 1):
+                        found += left_keys(w, [left], length)
+                        found += right_keys(w, [right], length)
+                else:
+                    found += left_keys(w, places, len(w))
+                    found += right_keys(w, places, len(w))
+                n = len(found) - before
+                ids += [own] * n
+                lasts += [last] * n
+                letters += [letters_of(w)] * n
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64)), *(pa.array(x, pa.int64()) for x in (ids, lasts, letters))], names=["key", "id", "last", "letters"])
+
+    return words.select("word", F.xxhash64("word").alias("id")).mapInArrow(run, "key long, id long, last long, letters long")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(``word``, ``other``, ``other_n``) of all words one edit apart, both ways. Not written."""
     counts = gram_counts(words)
-    mine = keys(words, counts, True).toDF("key", "a", "mine")
-    theirs = keys(words, counts, False).toDF("key", "b", "theirs")
-    met = mine.join(theirs, "key").filter("a <> b AND mine <= theirs").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    mine = keys(words, counts, True).toDF("key", "a", "mine", "x")
+    theirs = keys(words, counts, False).toDF("key", "b", "theirs", "y")
+    met = mine.join(theirs, "key").filter("a <> b AND mine <= theirs AND bit_count(x ^ y) <= 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     known = words.withColumn("id", F.xxhash64("word"))
     left, right = known.toDF("w", "w_n", "a"), known.toDF("v", "v_n", "b")
     pairs = written(met.join(left, "a").join(right, "b").filter(F.levenshtein("w", "v", 1) == 1).select("w", "w_n", "v", "v_n"), "near")

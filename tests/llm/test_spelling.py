@@ -96,8 +96,10 @@ def test_every_near_pair_shares_a_key_of_its_pivots():
         for x in (w, v):
             order = [ranks[g] * 65536 + g for g in spelling._grams(x)]
             places, last = spelling.prefix_of(order)
-            pivots = list(spelling.pivots_of(places, [ranks[spelling._grams(x)[p]] for p in places]))
-            sides.append((last, {key for n in (len(x) - 1, len(x), len(x) + 1) for key in spelling.side_keys(x, pivots, n)}, set(spelling.side_keys(x, places, len(x)))))
+            left, right = spelling.pivots_of(places, [ranks[spelling._grams(x)[p]] for p in places])
+            pivots = {key for n in (len(x) - 1, len(x), len(x) + 1) for key in (*spelling.left_keys(x, [left], n), *spelling.right_keys(x, [right], n))}
+            sides.append((last, pivots, {*spelling.left_keys(x, places, len(x)), *spelling.right_keys(x, places, len(x))}))
+        assert (spelling.letters_of(w) ^ spelling.letters_of(v)).bit_count() <= 2
         assert (sides[0][0] <= sides[1][0] and sides[0][1] & sides[1][2]) or (sides[1][0] <= sides[0][0] and sides[1][1] & sides[0][2])
 
 
