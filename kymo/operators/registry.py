@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from ..functions import names, plans, text, titles
 from ..sources import files
-from ..streaming import machines
+from ..streaming import machines, progress
 from . import evaluation, folds, frames, ledger, plan, screen, terms, transcript, words
 
 _MODULES = (transcript, words, ledger, screen, plan, terms, frames, evaluation)
 
 
 def queries() -> dict:
-    return {q.name: q for m in _MODULES for q in m.QUERIES} | folds.queries() | text.queries() | titles.queries() | names.queries() | plans.queries() | files.queries() | machines.queries()
+    return {q.name: q for m in _MODULES for q in m.QUERIES} | folds.queries() | text.queries() | titles.queries() | names.queries() | plans.queries() | files.queries() | machines.queries() | progress.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {q.name: q.oracle() for m in _MODULES for q in m.QUERIES if q.checked} | plans.oracle_sql() | files.oracle_sql() | machines.oracle_sql()
+    return {q.name: q.oracle() for m in _MODULES for q in m.QUERIES if q.checked} | plans.oracle_sql() | files.oracle_sql() | machines.oracle_sql() | progress.oracle_sql()
