@@ -47,6 +47,8 @@ B_BITS = 32
 HOT = 65_536
 #: Bytes that a worker's memory of units may take, and what one takes beside its own and its groups' bytes.
 MEMORY, EACH = 170_000_000, 420
+#: Share of the memory's units, those used most, that is kept when it is full.
+REST = 0.4
 _GAP = re.compile(r"\s ")
 _BORDER = re.compile(r"(?<=\S) (?!\Z)")
 
@@ -64,6 +66,13 @@ def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(begins - first, sizes) + np.arange(int(sizes.sum()))
 
 
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of values, each of its size; a run may be empty."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The byte behind each character of a byte-level vocabulary: printable Latin-1 stands for itself, the others follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -88,27 +97,43 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.array([*map(len, side)], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.written = [f"{i}{mark}".encode() for i in range(max(len(self.a_bytes), len(entries))) for mark in ",|;"]
         self.cut = not any("▁" in p.lstrip("▁") for p in entries)
+        self.last = 0
         self.forget()
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
+    def forget(self, rest: float = 0.0) -> None:
+        """Start the memory anew, with the share ``rest`` of its units that was used most."""
+        kept = np.sort(np.argsort(-np.frombuffer(self.uses, np.int64), kind="stable")[: int(rest * len(self.laid))]).tolist() if rest else []
+        units = list(self.known) if rest else []
+        old = (self.counts, self.laid, self.links) if rest else ((), [], [])
+        self.known: dict[str, int] = {}  # unit to its place, in the order of places
         self.size = 0
+        self.uses = array("q")
         self.counts = tuple(array("q") for _ in range(3))  # of each unit: A ids, B ids, groups
         self.laid: list[bytes | None] = []  # its groups as text, a mark behind each; None: a side doesn't give its bytes back
         self.links: list[bytes] = []  # its A-B pairs, a long each
+        if kept:
+            counts = [np.frombuffer(column, np.int64)[kept] for column in old[0]]
+            self._add([units[k] for k in kept], [old[1][k] for k in kept], [old[2][k] for k in kept], *counts)
 
     def learn(self, units: list[str]) -> None:
         """Encode and align units that aren't known, all at once: their ends are common ends."""
-        a_side = [e.ids for e in self.a.encode_batch_fast([f" {u}" for u in units], add_special_tokens=False)]
+        shown = [f" {u}" for u in units]
+        a_side = [e.ids for e in self.a.encode_batch_fast(shown, add_special_tokens=False)]
         b_side = self.b.encode(units, num_threads=1)
-        good = [b"".join([self.a_bytes[x] for x in a]) == (whole := f" {u}".encode()) == b"".join([self.b_bytes[x] for x in b]) for u, a, b in zip(units, a_side, b_side, strict=True)]
-        for u in (u for u, fine in zip(units, good, strict=True) if not fine):
-            self._add(u, None, b"", 0, 0, 0)
-        units, a_side, b_side = ([x for x, fine in zip(side, good, strict=True) if fine] for side in (units, a_side, b_side))
-        if not units:
-            return
+        raw = [x.encode() for x in shown]
         n_a, n_b = (np.array([*map(len, side)], np.int64) for side in (a_side, b_side))
         a, b = (np.array([*chain.from_iterable(side)], np.int64) for side in (a_side, b_side))
+        good = np.array([*map(len, raw)]) == sums(self.a_sizes[a], n_a)
+        good &= sums(self.a_sizes[a], n_a) == sums(self.b_sizes[b], n_b)
+        if not good.all() or b"".join(raw) != b"".join([self.a_bytes[i] for i in a.tolist()]) or b"".join(raw) != b"".join([self.b_bytes[i] for i in b.tolist()]):
+            same = [fine and b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for fine, r, x, y in zip(good.tolist(), raw, a_side, b_side, strict=True)]
+            bad = [u for u, fine in zip(units, same, strict=True) if not fine]
+            self._add(bad, [None] * len(bad), [b""] * len(bad), *(np.zeros(len(bad), np.int64),) * 3)
+            units, a_side, b_side = ([x for x, fine in zip(side, same, strict=True) if fine] for side in (units, a_side, b_side))
+            n_a, n_b = (np.array([*map(len, side)], np.int64) for side in (a_side, b_side))
+            a, b = (np.array([*chain.from_iterable(side)], np.int64) for side in (a_side, b_side))
+        if not units:
+            return
         to_a, to_b = common_ends(np.cumsum(self.a_sizes[a]).tolist(), np.cumsum(self.b_sizes[b]).tolist())
         xs, ys = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)  # tokens of each group
         # every token with the mark behind it: ids of a group's A side, then of its B side
@@ -119,22 +144,21 @@ class Aligner:
         token[shown_b[to_b - 1]] += 2
         # links: each A token with all of its group's B tokens
         wide = np.repeat(ys, xs)
-        links = np.repeat(a << B_BITS, wide) | b[spread(np.repeat(to_b - ys, xs), wide)]
-        tokens_end, links_end = np.cumsum(n_a + n_b), np.cumsum(wide)[np.cumsum(n_a) - 1]
-        groups = np.diff(np.searchsorted(to_a, np.cumsum(n_a), side="right"), prepend=0)
+        links = (np.repeat(a << B_BITS, wide) | b[spread(np.repeat(to_b - ys, xs), wide)]).tobytes()
         marked = [self.written[k] for k in token.tolist()]
-        begin = start = 0
-        for u, end, stop, p, q, n in zip(units, tokens_end.tolist(), links_end.tolist(), n_a.tolist(), n_b.tolist(), groups.tolist(), strict=True):
-            self._add(u, b"".join(marked[begin:end]), links[start:stop].tobytes(), p, q, n)
-            begin, start = end, stop
-
-    def _add(self, unit: str, laid: bytes | None, links: bytes, *counts: int) -> None:
-        self.known[unit] = len(self.laid)
-        self.laid.append(laid)
-        self.links.append(links)
+        stops, ends = np.cumsum(n_a + n_b).tolist(), (8 * np.cumsum(wide)[np.cumsum(n_a) - 1]).tolist()
+        groups = np.diff(np.searchsorted(to_a, np.cumsum(n_a), side="right"), prepend=0)
+        cut = lambda whole, at: [whole[x:y] for x, y in zip([0, *at[:-1]], at, strict=True)]
+        self._add(units, [b"".join(x) for x in cut(marked, stops)], cut(links, ends), n_a, n_b, groups)
+
+    def _add(self, units: list[str], laid: list[bytes | None], links: list[bytes], *counts: np.ndarray) -> None:
+        self.known.update(zip(units, range(len(self.laid), len(self.laid) + len(units)), strict=True))
+        self.laid += laid
+        self.links += links
         for column, n in zip(self.counts, counts, strict=True):
-            column.append(n)
-        self.size += EACH + 4 * len(unit) + len(laid or b"") + len(links)
+            column.frombytes(n.astype(np.int64).tobytes())
+        self.uses.frombytes(bytes(8 * len(units)))
+        self.size += EACH * len(units) + 4 * sum(map(len, units)) + sum(map(len, filter(None, laid))) + sum(map(len, links))
 
     def units(self, text: str) -> list[str]:
         """A text cut at each space behind a character that isn't white space. The space that begins a unit is not shown."""
@@ -147,11 +171,13 @@ class Aligner:
     def __call__(self, texts: list[str]) -> Iterator[tuple[list[int], str, np.ndarray, np.ndarray]]:
         """Of each text: numbers of A ids, B ids, groups and links; the digest; distinct pairs and how often each is linked."""
         if self.size > MEMORY:
-            self.forget()
+            self.forget(REST if self.size - self.last < MEMORY else 0.0)
         cut = [self.units(t) if t else [] for t in texts]
         new = set().union(*cut).difference(self.known)
+        before = self.size
         if new:
             self.learn(list(new))
+        self.last = self.size - before  # what the last texts took
         for text, units in zip(texts, cut, strict=True):
             at = [self.known[u] for u in units]
             laid = [self.laid[k] for k in at]
@@ -163,6 +189,7 @@ class Aligner:
             links = np.frombuffer(b"".join([self.links[k] for k in at]), np.int64)
             pairs, times = np.unique(links, return_counts=True)
             place = np.array(at)
+            np.add.at(np.frombuffer(self.uses, np.int64), place, 1)
             counts = [int(np.frombuffer(column, np.int64)[place].sum()) for column in self.counts]
             yield [*counts, len(links)], hashlib.sha256(b"".join(laid)[:-1]).hexdigest(), pairs, times
 
