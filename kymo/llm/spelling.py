@@ -5,7 +5,8 @@ them that don't overlap are its pivots, chosen by dynamic programming for the le
 both pivots: it is behind the left one, or before the right one. So of two near words, the one whose prefix ends earlier has its left pivot
 in the other one's prefix at the same place from the start, with equal text before it; or its right one at the same place from the end, with equal
 text behind it. Those sides, pivot included, are its keys, with the lengths that the other word may have; a prefix gram's are the
-same with its own length. Pairs with an equal key, whose letters (odd counts) differ in two kinds at most, are verified by their edit distance.
+same with its own length. Pairs with an equal key, whose letters (odd counts) differ in two kinds at most, are verified by their edit distance,
+those of short words where they meet.
 
 Words are runs of Latin letters up to U+00FF, so there are at most 2**16 bigrams, whose frequencies are broadcast. Texts
 are only read to count words, partly in each task; what comes after is of the size of the vocabulary. Keys are hashes and words
@@ -34,6 +35,8 @@ LETTERS = "A-Za-zÀ-ÿ"
 #: A letter is lost where this divides a run's checksum; letters and occurrences of a word at least; how many times more a form occurs.
 LOST, LENGTH, COUNT, TIMES = 97, 5, 3, 2
 PREFIX = 3
+#: Words of so many letters or fewer travel with their keys, and their pairs are verified where they meet; others go by hash and are verified after.
+SHORT = 32
 _BITS = np.left_shift(np.ones(64, np.uint64), np.arange(64, dtype=np.uint64)).view(np.int64)
 
 
@@ -115,7 +118,7 @@ def letters_of(word: bytes) -> int:
 
 
 def keys(words: DataFrame, counts: np.ndarray, pivots: bool) -> DataFrame:
-    """(``key``, ``id``, ``last``, ``letters``) of the pivots, or of the prefix grams, of every word. Not written."""
+    """(``key``, ``id``, ``last``, ``letters``, ``short``: the word, if it is no longer than ``SHORT``) of the pivots, or of the prefix grams, of every word. Not written."""
     order = np.lexsort((np.arange(1 << 16), counts))
     rank = np.empty(1 << 16, np.int64)
     rank[order] = np.arange(1 << 16)
@@ -124,7 +127,7 @@ def keys(words: DataFrame, counts: np.ndarray, pivots: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, weights = held.value
         for b in batches:
-            found, ids, lasts, letters = [], [], [], []
+            found, ids, lasts, letters, short = [], [], [], [], []
             for word, own in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 w = word.as_py().encode("latin-1")
                 grams = _grams(w)
@@ -142,17 +145,18 @@ def keys(words: DataFrame, counts: np.ndarray, pivots: bool) -> DataFrame:
                 ids += [own] * n
                 lasts += [last] * n
                 letters += [letters_of(w)] * n
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64)), *(pa.array(x, pa.int64()) for x in (ids, lasts, letters))], names=["key", "id", "last", "letters"])
+                short += [word.as_py() if len(w) <= SHORT else None] * n
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64)), *(pa.array(x, pa.int64()) for x in (ids, lasts, letters)), pa.array(short, pa.string())], names=["key", "id", "last", "letters", "short"])
 
-    return words.select("word", F.xxhash64("word").alias("id")).mapInArrow(run, "key long, id long, last long, letters long")
+    return words.select("word", F.xxhash64("word").alias("id")).mapInArrow(run, "key long, id long, last long, letters long, short string")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(``word``, ``other``, ``other_n``) of all words one edit apart, both ways. Not written."""
     counts = gram_counts(words)
-    mine = keys(words, counts, True).toDF("key", "a", "mine", "x")
-    theirs = keys(words, counts, False).toDF("key", "b", "theirs", "y")
-    met = mine.join(theirs, "key").filter("a <> b AND mine <= theirs AND bit_count(x ^ y) <= 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    mine = keys(words, counts, True).toDF("key", "a", "mine", "x", "v")
+    theirs = keys(words, counts, False).toDF("key", "b", "theirs", "y", "w")
+    met = mine.join(theirs, "key").filter("a <> b AND mine <= theirs AND bit_count(x ^ y) <= 2").filter(F.coalesce(F.levenshtein("v", "w", 1) == 1, F.lit(True))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     known = words.withColumn("id", F.xxhash64("word"))
     left, right = known.toDF("w", "w_n", "a"), known.toDF("v", "v_n", "b")
     pairs = written(met.join(left, "a").join(right, "b").filter(F.levenshtein("w", "v", 1) == 1).select("w", "w_n", "v", "v_n"), "near")
