@@ -46,7 +46,9 @@ B_BITS = 32
 #: At most so many pairs can hold 1/HOT of all rows of (document, pair) each.
 HOT = 65_536
 #: Bytes that a worker's memory of units may take, and what one takes beside its own and its groups' bytes.
-MEMORY, EACH = 170_000_000, 420
+MEMORY, EACH = 120_000_000, 420
+#: Units that go to the libraries as one text.
+AT_ONCE = 4000
 #: Share of the memory's units, those used most, that is kept when it is full.
 REST = 0.4
 _GAP = re.compile(r"\s ")
@@ -66,13 +68,6 @@ def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(begins - first, sizes) + np.arange(int(sizes.sum()))
 
 
-def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of runs of values, each of its size; a run may be empty."""
-    total = np.concatenate(([0], np.cumsum(values)))
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
-
-
 def _byte_alphabet() -> dict[str, int]:
     """The byte behind each character of a byte-level vocabulary: printable Latin-1 stands for itself, the others follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -115,23 +110,43 @@ class Aligner:
             counts = [np.frombuffer(column, np.int64)[kept] for column in old[0]]
             self._add([units[k] for k in kept], [old[1][k] for k in kept], [old[2][k] for k in kept], *counts)
 
-    def learn(self, units: list[str]) -> None:
-        """Encode and align units that aren't known, all at once: their ends are common ends."""
-        shown = [f" {u}" for u in units]
-        a_side = [e.ids for e in self.a.encode_batch_fast(shown, add_special_tokens=False)]
+    def encoded(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Units whose bytes both sides give back: they, numbers of their A and B ids, and the ids one behind the other. The others are marked in the memory."""
+        a_side = [e.ids for e in self.a.encode_batch_fast([f" {u}" for u in units], add_special_tokens=False)]
         b_side = self.b.encode(units, num_threads=1)
-        raw = [x.encode() for x in shown]
-        n_a, n_b = (np.array([*map(len, side)], np.int64) for side in (a_side, b_side))
-        a, b = (np.array([*chain.from_iterable(side)], np.int64) for side in (a_side, b_side))
-        good = np.array([*map(len, raw)]) == sums(self.a_sizes[a], n_a)
-        good &= sums(self.a_sizes[a], n_a) == sums(self.b_sizes[b], n_b)
-        if not good.all() or b"".join(raw) != b"".join([self.a_bytes[i] for i in a.tolist()]) or b"".join(raw) != b"".join([self.b_bytes[i] for i in b.tolist()]):
-            same = [fine and b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for fine, r, x, y in zip(good.tolist(), raw, a_side, b_side, strict=True)]
-            bad = [u for u, fine in zip(units, same, strict=True) if not fine]
-            self._add(bad, [None] * len(bad), [b""] * len(bad), *(np.zeros(len(bad), np.int64),) * 3)
-            units, a_side, b_side = ([x for x, fine in zip(side, same, strict=True) if fine] for side in (units, a_side, b_side))
-            n_a, n_b = (np.array([*map(len, side)], np.int64) for side in (a_side, b_side))
-            a, b = (np.array([*chain.from_iterable(side)], np.int64) for side in (a_side, b_side))
+        good = [b"".join([self.a_bytes[i] for i in x]) == f" {u}".encode() == b"".join([self.b_bytes[i] for i in y]) for u, x, y in zip(units, a_side, b_side, strict=True)]
+        bad = [u for u, fine in zip(units, good, strict=True) if not fine]
+        self._add(bad, [None] * len(bad), [b""] * len(bad), *(np.zeros(len(bad), np.int64),) * 3)
+        units, a_side, b_side = ([x for x, fine in zip(side, good, strict=True) if fine] for side in (units, a_side, b_side))
+        return (units, *(np.array([*map(len, side)], np.int64) for side in (a_side, b_side)), *(np.array([*chain.from_iterable(side)], np.int64) for side in (a_side, b_side)))
+
+    def encoded_as_one(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """The same for units without white space at their ends, as one text in a call of each library: their ends are ends of tokens. None if it can't be so."""
+        text = " ".join(units)
+        raw = f" {text}".encode()
+        a, b = np.array(self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, np.int64), np.array(self.b.encode(text), np.int64)
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != raw or b"".join([self.b_bytes[i] for i in b.tolist()]) != raw:
+            return None
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        found = []
+        for stops in (np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])):
+            n = np.searchsorted(stops, ends, side="right")
+            if (stops[n - 1] != ends).any():
+                return None
+            found.append(np.diff(n, prepend=0))
+        return units, *found, a, b
+
+    def learn(self, units: list[str]) -> None:
+        """Encode and align units that aren't known, many at once: their ends are common ends."""
+        plain = [u for u in units if self.cut and u and not (u[0].isspace() or u[-1].isspace())]
+        odd = list(set(units).difference(plain)) if len(plain) < len(units) else []
+        for part in [plain[k : k + AT_ONCE] for k in range(0, len(plain), AT_ONCE)]:
+            self.align(*(self.encoded_as_one(part) or self.encoded(part)))
+        if odd:
+            self.align(*self.encoded(odd))
+
+    def align(self, units: list[str], n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Groups and links of encoded units, into the memory."""
         if not units:
             return
         to_a, to_b = common_ends(np.cumsum(self.a_sizes[a]).tolist(), np.cumsum(self.b_sizes[b]).tolist())
