@@ -205,19 +205,6 @@ def spaced(gap: float = 3.0) -> Callable[[Rows], Iterator[tuple]]:
     return step
 
 
-def distinct_frames(limit: float = 0.93) -> Callable[[Rows], Iterator[tuple]]:
-    """Frames whose signature is less like that of every frame kept before."""
-
-    def step(rows: Rows) -> Iterator[tuple]:
-        kept: list[int] = []
-        for r in rows:
-            if all(1 - (r["bits"] ^ k).bit_count() / 60 < limit for k in kept):
-                kept.append(r["bits"])
-                yield (r["image_id"],)
-
-    return step
-
-
 def frame_chunks(limit: int = 12, chars: int = 2000) -> Callable[[Rows], Iterator[tuple]]:
     """Frames in chunks of at most ``limit`` frames and ``chars`` characters of the speech between them."""
 
@@ -352,7 +339,6 @@ def queries() -> dict:
         "video_chapters": lambda s, d: fold(sections(s, d), "plan_id", ["start_s", "section_idx"], chapters, "chapter int, start_s double, title string"),
         "scene_cuts": lambda s, d: fold(_signals(s, d), "recording_id", ["ts"], scene_cuts(), "scene int, ts double, score double"),
         "spaced_frames": lambda s, d: fold(_signals(s, d), "recording_id", ["ts"], spaced(), "ts double"),
-        "distinct_frames": lambda s, d: fold(_signatures(s, d), "recording_id", ["image_id"], distinct_frames(), "image_id long"),
         "frame_chunks": lambda s, d: fold(said(s, d), "recording_id", ["ts", "image_id"], frame_chunks(), "image_id long, chunk int"),
         "glossary_budget": lambda s, d: fold(_terms(s, d).withColumn("minus", -F.col("n")), "plan_id", ["minus", "term"], glossary_budget(), "term string, used int"),
         "folded_misreadings": lambda s, d: fold(_terms(s, d).withColumn("minus", -F.col("n")).withColumn("shorter", -F.length("term")), "plan_id", ["minus", "shorter", "term"], fold_misreadings(), "term string, n long"),

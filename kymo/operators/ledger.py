@@ -21,6 +21,18 @@ SELECT n.*, j.seq, j.job_key AS first_errors FROM {d.job_facts} j JOIN n ON n.ba
 UNION ALL SELECT n.*, NULL, NULL FROM n WHERE failed = 0"""
 
 
+def _package_id(d) -> str:
+    """A tree of digests by the begin of each path's digest: files, then 16**5 branches, then 16**2, then the package. No string holds a whole package."""
+    digest = lambda x: f"sha1({x})"
+    return f"""
+WITH f AS (SELECT source AS package, {d.text('doc_id')} AS path, sha1({'CAST(text AS BINARY)' if d.spark else 'encode(text)'}) AS digest FROM {d.documents}),
+h AS (SELECT package, path, substr(sha1(path), 1, 5) AS branch, concat(path, ':', digest) AS line FROM f),
+b AS (SELECT package, branch, {digest(d.join('line', ';', 'path, line'))} AS digest FROM h GROUP BY package, branch),
+m AS (SELECT package, substr(branch, 1, 2) AS branch, {digest(d.join("concat(branch, ':', digest)", ';', 'branch'))} AS digest FROM b GROUP BY package, substr(branch, 1, 2)),
+r AS (SELECT package, {digest(d.join("concat(branch, ':', digest)", ';', 'branch'))} AS digest FROM m GROUP BY package)
+SELECT package, substr(sha1(concat(package, ':', digest)), 1, 12) AS package_id FROM r"""
+
+
 QUERIES = [
     Query("usage_stats", "A01 A02", ["job_facts"], lambda d: f"""
 WITH {_latest(d)}
@@ -72,10 +84,7 @@ WITH r AS (SELECT user_id AS code, event_id AS issued, CAST(ts AS DATE) AS day,
 u AS (SELECT DISTINCT code, {d.text('day')} AS day FROM r),
 days AS (SELECT code, {d.join('day', ',', 'day')} AS usage_days FROM u GROUP BY code)
 SELECT r.code, max(issued) AS newest, {d.seconds('max(ts)')} AS last_seen, max(usage_days) AS usage_days FROM r JOIN days ON days.code = r.code GROUP BY r.code"""),
-    Query("package_id", "A27 F14", ["documents"], lambda d: f"""
-WITH f AS (SELECT source AS package, doc_id AS path, sha1({'CAST(text AS BINARY)' if d.spark else 'encode(text)'}) AS digest FROM {d.documents}),
-g AS (SELECT package, {d.join("concat(" + d.text('path') + ", ':', digest)", ';', 'path')} AS listing FROM f GROUP BY package)
-SELECT package, substr(sha1(concat(package, ':', sha1(listing))), 1, 12) AS package_id FROM g"""),
+    Query("package_id", "A27 F14", ["documents"], _package_id),
     Query("token_estimate", "A31", ["conversations"], lambda d: f"SELECT conv_id AS request, CAST(sum(ceil(length(text) / 2.0)) + 1600 * count(CASE WHEN turn % 3 = 0 THEN 1 END) + 5 * 1000 AS BIGINT) AS units FROM {d.conversations} GROUP BY conv_id"),
     Query("batch_summary", "A33", ["job_facts"], _failed_files, sql="""
 SELECT f.model AS batch, g.files, g.ok, g.failed, f.seq, f.job_key AS first_errors FROM job_facts f

@@ -113,9 +113,4 @@ SELECT plan_id, section_idx, count(*) AS blocks, CAST(sum(length(lower(text)) -
 WITH c AS (SELECT plan_id, section_idx, block_idx, CASE WHEN kind = 'figure' THEN 1 WHEN {d.matches('text', '^[0-9]')} THEN 2 ELSE 3 END AS rank, {d.replace('text', '^([^.]*[.]).*$', '$1')} AS bullet FROM {d.plan_blocks}),
 b AS (SELECT *, min(rank) OVER (PARTITION BY plan_id, section_idx) AS best FROM c WHERE length(bullet) >= 30)
 SELECT plan_id, section_idx, n, bullet FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, section_idx ORDER BY block_idx) AS n FROM b WHERE rank = best) x WHERE n <= 3"""),
-    Query("paragraph_times", "W12", ["plan_blocks"], lambda d: f"""
-WITH r AS (SELECT plan_id, block_idx, length(text) AS n, sum(length(text)) OVER (PARTITION BY plan_id ORDER BY block_idx) - length(text) AS before_n, sum(length(text)) OVER (PARTITION BY plan_id) AS total, min(source_start) OVER (PARTITION BY plan_id) AS a, max(source_end) OVER (PARTITION BY plan_id) AS z FROM {d.plan_blocks} WHERE kind = 'paragraph')
-SELECT plan_id, block_idx, round(a + (z - a) * before_n / total, 4) AS start_s, round(a + (z - a) * (before_n + n) / total, 4) AS end_s FROM r"""),
-    Query("script_profile", "F16", ["plan_blocks"], lambda d: f"""
-SELECT plan_id, sum(CASE WHEN {d.matches('text', '[֐-ࣿ]')} THEN 1 ELSE 0 END) AS rtl_blocks, CAST(sum({d.size(d.found('text', '[A-Za-z]+'))}) AS BIGINT) AS latin_runs FROM {d.plan_blocks} GROUP BY plan_id"""),
 ]

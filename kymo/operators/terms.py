@@ -33,9 +33,6 @@ QUERIES = [
     Query("merged_glossaries", "A18", ["plan_blocks"], lambda d: f"""
 WITH {_runs(d)}, c AS (SELECT plan_id % 5 AS recording, lower(run) AS term, count(*) AS n FROM r GROUP BY plan_id % 5, lower(run)),
 t AS (SELECT term, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY term) SELECT term, n FROM t WHERE n >= 3 ORDER BY n DESC, term"""),
-    Query("frequency_terms", "A19", ["segments"], lambda d: f"""
-WITH w AS (SELECT recording_id, segment_id, i, w, lead(w) OVER (PARTITION BY recording_id, segment_id ORDER BY i) AS v FROM {_words(d, d.segments, 'recording_id, segment_id', 'text_raw')} x WHERE w <> '')
-SELECT concat(w, ' ', v) AS term, count(*) AS n FROM w WHERE v IS NOT NULL AND w NOT IN {_STOP} AND v NOT IN {_STOP} GROUP BY concat(w, ' ', v) HAVING count(*) >= 3"""),
     Query("noise_terms", "P16", ["plan_blocks"], lambda d: f"""
 WITH {_runs(d)} SELECT DISTINCT lower(run) AS term, {d.size(d.split('run'))} > 4 OR {d.matches('lower(run)', '^(?:file|edit|view|help)( |$)')} OR {d.matches('run', '^(?:[A-Z][a-z]+ ?)+$')} AS noise FROM r"""),
     Query("ranked_terms", "T06", ["plan_blocks"], lambda d: f"""
