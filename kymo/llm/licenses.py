@@ -11,6 +11,9 @@ bigrams, so a template of which the document has fewer can't match, nor can a sp
 is placed at its best span (the first of equals); one that overlaps the span of a better template is left out, so that a
 version's notice doesn't stand for another version. All of it happens inside a document's row: nothing is shuffled, and templates are constants of the query.
 
+The distinct bigrams of a span that begins at ``low`` are the places whose bigram last stood before ``low``. So one walk from each run's begin, over
+at most as many hits as a span can hold, gives every span's coefficient: work grows with runs times the template's length.
+
 Cases: null and empty texts and single words have no licence; a licence that occurs several times counts once; ties go to
 the name that sorts first; repeated rows are scanned once each; an empty table gives no rows.
 """
@@ -90,30 +93,45 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     def bigram(w: Column, i: Column) -> Column:
         return F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1))
 
+    def let(value: Column, body) -> Column:
+        """``body`` of a value that is computed once, where a lambda would compute it for each of its uses."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def before(w: Column, places: Column) -> Column:
+        """Where the bigram of each place stood the last time before, or 0: neighbours in the order of bigrams and places."""
+        laid = lambda of: F.transform(of, lambda x, k: F.struct(x["i"].alias("i"), F.when((k > 0) & (F.get(of, k - 1)["b"] == x["b"]), F.get(of, k - 1)["i"]).otherwise(0).alias("p")))
+        return F.transform(F.array_sort(let(F.array_sort(F.transform(places, lambda i: F.struct(bigram(w, i).alias("b"), i.alias("i")))), laid)), lambda x: x["p"])
+
     def runs(of: Column) -> Column:
-        """First and last hit of each run of neighbouring bigrams."""
-        places = F.sequence(F.lit(1), F.size(of))
-        begins = F.filter(places, lambda k: (k == 1) | (F.get(of, k - 2)["i"] + 1 < F.get(of, k - 1)["i"]))
-        ends = F.filter(places, lambda k: (k == F.size(of)) | (F.get(of, k - 1)["i"] + 1 < F.get(of, k)["i"]))
+        """First and last hit of each run of neighbouring bigrams, as places in ``of``."""
+        begins = F.filter(F.sequence(F.lit(1), F.size(of)), lambda k: (k == 1) | (F.get(of, k - 2)["i"] + 1 < F.get(of, k - 1)["i"]))
+        ends = F.filter(F.sequence(F.lit(1), F.size(of)), lambda k: F.get(of, k - 1)["end"])
         return F.arrays_zip(begins.alias("a"), ends.alias("b"))
 
-    def span(w: Column, of: Column, t: Column, a: Column, b: Column) -> Column:
-        """(minus the coefficient, first and last bigram)."""
-        low, high = F.element_at(of, a)["i"], F.element_at(of, b)["i"]
-        shared = F.size(F.array_distinct(F.transform(F.slice(of, a, b - a + 1), lambda h: h["b"])))
-        whole = F.size(F.array_distinct(F.transform(F.sequence(low, high), lambda i: bigram(w, i))))
-        return F.struct((-2.0 * shared / (whole + t["n"])).alias("minus"), low.alias("low"), high.alias("high"), t["name"].alias("name"))
+    def best(prev: Column, of: Column, t: Column) -> Column:
+        """The best span of one template: (minus the coefficient, first and last bigram, name). One walk from each run's begin over the hits that a span can hold."""
+
+        def from_run(r: Column) -> Column:
+            low = F.element_at(of, r["a"])["i"]
+            reach = F.greatest(low + t["long"] - 1, F.element_at(of, r["b"])["i"])
+            none = F.struct(F.lit(0).alias("shared"), F.lit(0).alias("whole"), (low - 1).alias("last"), F.struct(F.lit(0.0).alias("minus"), low.alias("low"), low.alias("high"), t["name"].alias("name")).alias("best"))
+
+            def step(s: Column, h: Column) -> Column:
+                gap = F.when(h["i"] > s["last"] + 1, F.size(F.filter(F.slice(prev, s["last"] + 1, h["i"] - s["last"] - 1), lambda p: p < low))).otherwise(0)
+                new = (F.get(prev, h["i"] - 1) < low).cast("int")
+                shared, whole = s["shared"] + new, s["whole"] + gap + new
+                found = F.struct((-2.0 * shared / (whole + t["n"])).alias("minus"), low.alias("low"), h["i"].alias("high"), t["name"].alias("name"))
+                gone = F.struct(shared.alias("shared"), whole.alias("whole"), h["i"].alias("last"), F.when(h["end"], F.least(s["best"], found)).otherwise(s["best"]).alias("best"))
+                return F.when(h["i"] <= reach, gone).otherwise(s)
 
-    def best(w: Column, of: Column, t: Column) -> Column:
-        """The best span of one template."""
-        found = runs(of)
+            return F.aggregate(F.slice(of, r["a"], F.greatest(F.ceil(t["long"]).cast("int"), r["b"] - r["a"] + 1)), none, step, lambda s: s["best"])
 
-        def from_run(r: Column, k: Column) -> Column:
-            following = F.slice(found, k + 1, (t["long"] / 2 + 2).cast("int"))  # runs begin at least two bigrams apart
-            fits = F.filter(following, lambda q: (q["b"] - r["a"] + 1 >= t["few"]) & ((q["a"] == r["a"]) | (F.element_at(of, q["b"])["i"] - F.element_at(of, r["a"])["i"] + 1 <= t["long"])))
-            return F.array_min(F.transform(fits, lambda q: span(w, of, t, r["a"], q["b"])))
+        return let(runs(of), lambda found: F.array_min(F.transform(found, from_run)))
 
-        return F.array_min(F.transform(found, from_run))
+    def hits_of(hits: Column, t: Column) -> Column:
+        """A template's own hits; ``end``: the next one isn't its neighbour."""
+        own = F.filter(hits, lambda h: F.array_contains(t["bigrams"], h["b"]))
+        return let(own, lambda of: F.transform(of, lambda h, k: F.struct(h["i"].alias("i"), (F.coalesce(F.get(of, k + 1)["i"], F.lit(-1)) != h["i"] + 1).alias("end"))))
 
     marked = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col("_text"), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     out = _once(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "w", F.split(marked, " ")).drop("_text")
@@ -123,7 +141,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     out = _once(out, "has", F.array_distinct(F.transform("hits", lambda h: h["b"])))
     fit = F.when(F.size("has") > 0, F.filter(literal, lambda t: F.size(F.array_intersect(t["bigrams"], F.col("has"))) >= t["few"])).otherwise(F.slice(literal, 1, 0))
     out = _once(out, "fit", fit)
-    placed = F.transform("fit", lambda t: best(F.col("w"), F.filter("hits", lambda h: F.array_contains(t["bigrams"], h["b"])), t))
+    out = _once(out, "prev", F.when(F.size("fit") > 0, before(F.col("w"), places)).otherwise(F.array().cast("array<int>")))
+    placed = F.transform("fit", lambda t: let(hits_of(F.col("hits"), t), lambda of: best(F.col("prev"), of, t)))
     out = _once(_once(out, "best", placed).select("_id", "best"), "placed", F.filter("best", lambda m: -m["minus"] >= least))
     found = F.filter("placed", lambda m: ~F.exists("placed", lambda o: (o["minus"] < m["minus"]) & (o["low"] <= m["high"]) & (o["high"] >= m["low"])))
     out = _once(out, "found", F.transform(found, lambda m: F.struct(m["minus"].alias("minus"), m["name"].alias("name"))))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -734,3 +735,27 @@ def test_licences_equal_brute_force_over_all_spans(spark):
         assert got[k].licenses == ",".join(sorted(want)) and got[k].n_matches == len(want), k
         assert not want or np.isclose(got[k].dice, max(want.values())), k
     assert got[0].license == got[2].license == "MIT" and got[1].license == "Apache-2.0" and got[4].dice == 1.0
+
+
+def test_files_of_many_notices_are_scanned_in_little_time(spark):
+    """Edited notices in a row, and all templates one behind the other; each licence is found, by the SQL too."""
+    rng = random.Random(10)
+
+    def edited(text, n):
+        words = text.split()
+        for _ in range(n):
+            words.insert(rng.randrange(len(words)), rng.choice(["very", "new", "kind"]))
+        return " ".join(words)
+
+    rows = [
+        (1, "\n".join(edited(rng.choice([licenses._MIT, licenses._ISC, licenses._ZLIB]), 3) for _ in range(40))),
+        (2, "\n\n".join(t for _, t in licenses.TEMPLATES)),
+        (3, "\n".join(edited(f"{licenses._MIT} {licenses._MIT_REST}", 6) for _ in range(40))),
+        (4, " ".join(["of the software"] * 5000)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    licenses.scan(df.limit(1)).collect()
+    began = time.time()
+    found = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
+    assert time.time() - began < 30
+    assert found == {1: "ISC,MIT,Zlib", 2: ",".join(sorted({n for n, _ in licenses.TEMPLATES})), 3: "MIT", 4: ""}
