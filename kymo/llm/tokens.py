@@ -9,7 +9,8 @@ and with the pre-token that they belong to. Two neighbours are spliced at the fi
 2. they do: all tokens behind it that both chunks show are equal, ids and offsets.
 
 Tokens near a chunk's end, which the text behind it may change, are never used. While there is no such place, the overlap
-is doubled; when it has reached the last splice, the two chunks are encoded as one that begins there.
+is doubled; when it has reached the last splice, as in a long text without any break, all from there to the next white space is
+encoded in one call, and what follows begins anew. So no part is encoded more than a few times.
 
 Other texts are encoded word by word, words split at ASCII white space, which no pre-token crosses: known words come from a
 bounded memory, new ones are encoded by the library. Many words of letters alone, each one pre-token, go in one call.
@@ -20,6 +21,7 @@ Cases: null and empty texts have 0 tokens; repeated ids and texts are counted on
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import accumulate
@@ -40,6 +42,7 @@ LIMIT = 2048
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Bytes that a worker's memory of words may take, and what a word takes beside its letters; when full, it starts anew.
 MEMORY, EACH = 160_000_000, 350
+_WHITE = re.compile(r"[ \t\n\r\f\v]")
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -183,7 +186,11 @@ def resynchronised(text: str, encode: Callable[[str], tuple[np.ndarray, np.ndarr
         while True:
             begin = end - back
             following = min(len(text), end + chunk)
-            if begin <= done:  # as wide as the whole chunk: both as one, from the last splice
+            if begin <= done:  # as wide as the whole chunk: all up to the next white space, which ends a pre-token, in one call
+                gap = _WHITE.search(text, end)
+                start, done = done, gap.start() if gap else len(text)
+                yield encode(text[start:done])[0].tobytes()
+                following = min(len(text), done + chunk)
                 ids, starts, stable = laid(done, following)
                 break
             new_ids, new_starts, new_stable = laid(begin, following)
