@@ -58,15 +58,21 @@ def fingerprinted(docs: DataFrame, columns: dict[str, str], places: DataFrame |
     return docs
 
 
+def slice_bounds(ids: DataFrame, id_col: str, n: int) -> list:
+    """The least id of each of some ``n`` ranges of about as many rows, but the first: at most ``SLICES`` values of any type that has an order."""
+    ranges = ids.repartitionByRange(n, id_col).groupBy(F.spark_partition_id().alias("p")).agg(F.min(id_col).alias("least"))
+    return sorted({r.least for r in ranges.collect()})[1:]
+
+
 def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """Each row with ``next_<column>`` of the row that follows in falling order of ids; after the last comes the first.
 
-    The ids are cut into slices at quantiles. The first row of each slice is also dealt to the slice before it, so one
+    The ids, of any type that has an order, are cut into slices by sampled ranges. The first row of each slice is also dealt to the slice before it, so one
     shuffle brings every row and its follower together, and no task holds more than a slice.
     """
     ids = docs.filter(F.col(id_col).isNotNull()).select(id_col)
     n = min(SLICES, max(1, -(-ids.count() // SLICE_ROWS)))
-    bounds = sorted(set(ids.approxQuantile(id_col, [k / n for k in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    bounds = slice_bounds(ids, id_col, n) if n > 1 else []
     width = max(1, int(len(bounds) ** 0.5))
     blocks = [bounds[k : k + width] for k in range(0, len(bounds), width)]
     place = F.lit(0)
