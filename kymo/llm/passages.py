@@ -19,7 +19,8 @@ pieces ``BANDS``: a passage has several of them, equal ones always meet.
    position) of a component stays.
 
 Cases: null, empty and short texts have no units; copies of a document repeat all its passages; repeated rows with the
-same id, or with none, count as one document; an empty table gives no rows.
+same id count as one document, each row without an id as a document of its own, behind all others (``component_id`` is null
+where all of a component have none); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -217,14 +218,14 @@ def candidates(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, bit
     few = keys.count() <= bitmap_keys
     held = docs.sparkSession.sparkContext.broadcast(bitmap_of(keys) if few else None)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc {kind}, first long, last long, by_left boolean, by_right boolean, uid long, keys array<long>, shingles binary"
+    schema = f"doc {kind}, row long, first long, last long, by_left boolean, by_right boolean, uid long, keys array<long>, shingles binary"
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for b in batches:
             before = np.zeros(b.num_rows, np.int64)  # words of a text in blocks that came before
-            for rows, texts in laid(byte_values(b.column(1))):
+            for rows, texts in laid(byte_values(b.column(2))):
                 row = np.array(rows)
                 counted, *found = units(texts)
                 same = np.concatenate(([False], row[1:] == row[:-1]))
@@ -236,12 +237,13 @@ def candidates(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, bit
                     hit = np.flatnonzero(((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).any(axis=0)) if bits is not None else np.arange(len(u["uid"]))
                     at = u["text"][hit]
                     columns = [u["first"][hit] + lead[at], u["last"][hit] + lead[at], u["left"][hit], u["right"][hit], u["uid"][hit], u["keys"].T[hit].tolist(), [u["shingles"][o : o + c].tobytes() for o, c in zip(u["offsets"][hit].tolist(), u["count"][hit].tolist(), strict=True)]]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), *map(pa.array, columns, types)], names=["doc", "first", "last", "by_left", "by_right", "uid", "keys", "shingles"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), b.column(1).take(pa.array(row[at])), *map(pa.array, columns, types)], names=["doc", "row", "first", "last", "by_left", "by_right", "uid", "keys", "shingles"])
 
-    found = docs.select(F.col(id_col), utf8(text_col).alias("bytes")).mapInArrow(run, schema)
+    row = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))  # rows without an id are told apart
+    found = docs.select(F.col(id_col), row.alias("row"), utf8(text_col).alias("bytes")).mapInArrow(run, schema)
     if few:
         return written(found, "units")
-    found = written(found.withColumn("unit", F.xxhash64("doc", "first", "last", "uid")), "units")
+    found = written(found.withColumn("unit", F.xxhash64("doc", "row", "first", "last", "uid")), "units")
     wanted = found.select("unit", F.explode("keys").alias("key")).join(keys, "key", "left_semi").select("unit").distinct()
     return written(found.join(wanted, "unit", "left_semi").drop("unit"), "units")
 
@@ -263,17 +265,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jac
     rows = written(rows, "labelled")
     discard(found)
     discard(linked)
-    place = F.struct("doc", "first")
-    many = written(rows.groupBy("label").agg(F.min("doc").alias("component_id"), F.max("doc").alias("other"), F.min(place).alias("kept")).filter("component_id <> other").drop("other"), "repeated")
-    dup = rows.join(many, "label").withColumn("remove", place != F.col("kept")).dropDuplicates(["doc", "first", "last"])
-    order = Window.partitionBy("doc").orderBy("first", "last")
+    own = F.struct(F.col("doc").isNull().alias("none"), "doc", "row")  # rows without an id come last, each a document
+    place = F.struct(own.alias("own"), "first")
+    many = rows.groupBy("label").agg(F.min(own).alias("least"), F.max(own).alias("other"), F.min(place).alias("kept"), F.min("doc").alias("component_id"))
+    many = written(many.filter("least <> other").select("label", "component_id", "kept"), "repeated")
+    dup = rows.join(many, "label").withColumn("remove", place != F.col("kept")).dropDuplicates(["doc", "row", "first", "last"])
+    order = Window.partitionBy("doc", "row").orderBy("first", "last")
     far = F.col("first") - F.col("kept.first")  # how far from its first occurrence
     dup = dup.withColumn("end", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("gap", F.col("first") - F.col("end"))
-    alike = (F.col("kept.doc") == F.lag("kept.doc").over(order)) & (F.abs(far - F.lag(far).over(order)) <= LEAST_UNIT)
+    alike = (F.col("kept.own") == F.lag("kept.own").over(order)) & (F.abs(far - F.lag(far).over(order)) <= LEAST_UNIT)
     bridged = F.coalesce((F.col("gap") >= LEAST_UNIT) & (F.col("gap") <= BRIDGE) & alike, F.lit(False))
     dup = dup.withColumn("bridged", bridged).withColumn("new", F.coalesce(((F.col("gap") >= LEAST_UNIT) & ~bridged).cast("int"), F.lit(1)))
     dup = dup.withColumn("run", F.sum("new").over(order)).withColumn("own", F.greatest(F.lit(0), F.col("last") - F.greatest("first", F.coalesce("end", "first"))))
-    spans = dup.groupBy("doc", "run").agg(F.min("first").alias("start_word"), F.max("last").alias("end_word"), F.min("component_id").alias("component_id"), F.max("remove").alias("remove"), F.min_by("by_left", "first").alias("left"), F.max_by("by_right", "last").alias("right"), F.max(F.col("bridged") & (F.col("new") == 0)).alias("bridged"), F.sum("own").alias("own"))
+    spans = dup.groupBy("doc", "row", "run").agg(F.min("first").alias("start_word"), F.max("last").alias("end_word"), F.min("component_id").alias("component_id"), F.max("remove").alias("remove"), F.min_by("by_left", "first").alias("left"), F.max_by("by_right", "last").alias("right"), F.max(F.col("bridged") & (F.col("new") == 0)).alias("bridged"), F.sum("own").alias("own"))
     spans = spans.filter(~F.col("bridged") | (F.col("own") >= COVERED * (F.col("end_word") - F.col("start_word"))))
     proven = F.col("end_word") - F.col("start_word") + RADIUS * ((~F.col("left")).cast("int") + (~F.col("right")).cast("int"))
     return spans.filter(proven >= least).select(F.col("doc").alias(id_col), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "component_id", "remove")

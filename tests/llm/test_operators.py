@@ -201,6 +201,33 @@ def test_passages_of_odd_and_empty_tables(spark, odd, empty):
     assert {r.doc_id for r in found} == {5, 6} and passages.repeats(empty).count() == 0
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    """A passage of a row without an id and of document 5, one of two rows without ids, and a repeated row with an id."""
+    rows = [(None, f"{prose(1, 50)} {prose(71, 60)} {prose(2, 50)}"), (5, f"{prose(3, 50)} {prose(71, 60)} {prose(4, 50)}"), (None, f"{prose(6, 50)} {prose(72, 60)}"), (None, f"{prose(72, 60)} {prose(7, 50)}"), (8, prose(8, 90)), (8, prose(8, 90))]
+    found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.component_id, r.remove) for r in found if r.component_id) == [(False, 5, False), (True, 5, True)]
+    assert sorted(r.remove for r in found if r.component_id is None) == [False, True] and len(found) == 4
+
+
+def test_links_of_passages_equal_brute_force(spark):
+    """All pairs of units of a small table, compared whole: the same classes as by band keys."""
+    rng = random.Random(12)
+    shared = [prose(100 + k, 40).split() for k in range(6)]
+    texts = []
+    for k in range(30):
+        words = list(rng.choice(shared))
+        if k % 3:
+            words[rng.randrange(len(words))] = "changed"
+        texts.append(" ".join(words) + "\n" + prose(200 + k, 35))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = {(d, n): line.split() for d, t in enumerate(texts) for n, line in enumerate(t.split("\n"))}
+    sets = {k: {" ".join(w[i : i + passages.SHINGLE]) for i in range(len(w) - passages.SHINGLE + 1)} for k, w in lines.items()}
+    like = lambda a, b: len(sets[a] & sets[b]) >= passages.JACCARD * len(sets[a] | sets[b])
+    want = {k[0] for k in lines if any(k[0] != q[0] and like(k, q) for q in lines)}
+    got = {r.doc_id for r in passages.repeats(docs).collect()}
+    assert want <= got and len(want) >= 10
+
+
 def test_links_meet_across_tiles(spark):
     rows = spark.range(300).select((F.col("id") % 2).alias("k"), "id", (F.col("id") * 3).alias("x"))
 
@@ -344,6 +371,15 @@ def test_next_document_over_slices(spark, monkeypatch):
     assert {r.doc_id: r.next_text for r in exact.with_next(df, "doc_id", ["text"]).collect()} == want
 
 
+def test_next_document_of_ids_that_are_text(spark, monkeypatch):
+    monkeypatch.setattr(exact, "SLICE_ROWS", 10)
+    ids = [f"id-{k * 7919 % 1000:03d}" for k in range(300)]
+    df = spark.createDataFrame([(i, f"text of {i}") for i in ids] + [(None, "none")], "doc_id string, text string")
+    follows = {r.doc_id: r.next_text for r in exact.with_next(df, "doc_id", ["text"]).collect()}
+    order = sorted(ids, reverse=True)
+    assert [follows[i] for i in order[:-1]] == [f"text of {i}" for i in order[1:]] and follows[order[-1]] == "none" and follows[None] == f"text of {order[0]}"
+
+
 def test_unequal_texts_of_one_bucket_are_told_apart(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A "), (4, "c")], "doc_id long, text string")
     weak = lambda c: F.when(c == "c", "y").otherwise("x")
