@@ -107,6 +107,12 @@ SELECT doc_id AS plan_id, CAST(floor(li / 5) AS INT) AS section_idx, li AS block
        CASE WHEN li % 4 = 3 THEN 'figure' ELSE 'paragraph' END AS kind, ln AS text, CAST(li * 6 AS DOUBLE) AS source_start, CAST(li * 6 + 5 - li % 3 AS DOUBLE) AS source_end FROM l WHERE trim(ln) <> ''""",
 }
 
+#: Blocks with the title of their section and, for figures, a caption and the text of the screen.
+_TITLED = """
+SELECT plan_id, section_idx, block_idx, kind, text, source_start, source_end, first_value(substr(text, 1, 60)) OVER (PARTITION BY plan_id, section_idx ORDER BY block_idx) AS section_title,
+       CASE WHEN kind = 'figure' THEN concat(substr(text, 1, 60), ' — 00:0', CAST(block_idx % 10 AS STRING), ':15') END AS caption, CASE WHEN kind = 'figure' THEN text END AS ocr_text FROM ({}) b"""
+SPARK["titled_blocks"], DUCK["titled_blocks"] = _TITLED.format(SPARK["plan_blocks"]), _TITLED.format(DUCK["plan_blocks"])
+
 
 def needed(inputs: list[str]) -> list[str]:
     """Those of the inputs that are views over the given tables."""

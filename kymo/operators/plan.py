@@ -4,11 +4,6 @@ from __future__ import annotations
 
 from ..plans.query import Query
 
-# Bounds of paragraphs, and the weight of each metric.
-SHORT, LONG, PAUSE = 180, 1400, 1.0
-WEIGHTS = {"paragraph_flow": 0.30, "paragraph_balance": 0.20, "section_titling": 0.20, "section_balance": 0.10, "figure_captioning": 0.15, "figure_distinctness": 0.05}
-_END = "[.!?]$"
-
 _FIGURES = "f AS (SELECT plan_id, block_idx, trim(text) AS text FROM {plan_blocks} WHERE kind = 'figure')"
 _SECTIONS = "sec AS (SELECT recording_id, CAST(floor((segment_id - 1) / 4) AS BIGINT) AS section, min(start_s) AS start_s FROM {segments} GROUP BY recording_id, CAST(floor((segment_id - 1) / 4) AS BIGINT))"
 
@@ -18,35 +13,11 @@ def _twins(d) -> str:
     return f"SELECT DISTINCT a.plan_id, a.block_idx FROM f a JOIN f b ON b.plan_id = a.plan_id AND b.block_idx <> a.block_idx AND length(b.text) >= length(a.text) AND {'contains(b.text, a.text)'}"
 
 
-def _defects(d, text: str) -> str:
-    words = d.size(d.split(text))
-    return f"(length(trim({text})) < 12 OR {d.matches('lower(' + text + ')', '^(?:section|figure|page) ?[0-9]*$')} OR {words} > 14 OR {d.matches(text, 'https?://|[|]')})"
-
-
 def _tokens(d, text: str) -> str:
     """Long words and numbers, each once, so that few rows are made of a long text."""
     return f"array_distinct(transform({d.found(text, '[A-Za-z]{4,}|[0-9]+')}, x -> lower(x)))"
 
 
-def _metrics(d) -> str:
-    return f"""
-p AS (SELECT *, lead(source_start) OVER (PARTITION BY plan_id ORDER BY block_idx) AS next_start FROM {d.plan_blocks} WHERE kind = 'paragraph'),
-flow AS (SELECT plan_id, 100.0 * sum(CASE WHEN {d.matches('trim(text)', _END)} OR next_start - source_end >= {PAUSE} THEN 1 ELSE 0 END) / count(*) AS v FROM p GROUP BY plan_id),
-balance AS (SELECT plan_id, 100.0 * sum(CASE WHEN length(trim(text)) BETWEEN {SHORT} AND {LONG} THEN 1 ELSE 0 END) / count(*) AS v FROM p GROUP BY plan_id),
-title AS (SELECT plan_id, section_idx, min_by(substr(text, 1, 60), block_idx) AS title, sum(length(text)) AS size FROM {d.plan_blocks} GROUP BY plan_id, section_idx),
-same AS (SELECT *, count(*) OVER (PARTITION BY plan_id, title) AS twins FROM title),
-titling AS (SELECT plan_id, 100.0 * sum(CASE WHEN trim(title) <> '' AND twins = 1 AND NOT {_defects(d, 'title')} THEN 1 ELSE 0 END) / count(*) AS v FROM same GROUP BY plan_id),
-sizes AS (SELECT plan_id, CASE WHEN count(*) >= 2 THEN greatest(0.0, 100.0 * (1.0 - least(1.0, stddev_pop(size) / avg(size)))) END AS v FROM title WHERE size > 0 GROUP BY plan_id),
-caption AS (SELECT plan_id, 100.0 * sum(CASE WHEN NOT {_defects(d, 'substr(text, 1, 60)')} THEN 1 ELSE 0 END) / count(*) AS v FROM {d.plan_blocks} WHERE kind = 'figure' GROUP BY plan_id),
-{_FIGURES.format(plan_blocks=d.plan_blocks)},
-twin AS ({_twins(d)}),
-distinctness AS (SELECT f.plan_id, CASE WHEN count(*) >= 2 THEN 100.0 * (count(*) - count(t.block_idx)) / count(*) END AS v FROM f LEFT JOIN twin t ON t.plan_id = f.plan_id AND t.block_idx = f.block_idx GROUP BY f.plan_id),
-m AS (SELECT plan_id, 'paragraph_flow' AS metric, v FROM flow UNION ALL SELECT plan_id, 'paragraph_balance', v FROM balance UNION ALL SELECT plan_id, 'section_titling', v FROM titling
-      UNION ALL SELECT plan_id, 'section_balance', v FROM sizes UNION ALL SELECT plan_id, 'figure_captioning', v FROM caption UNION ALL SELECT plan_id, 'figure_distinctness', v FROM distinctness)"""
-
-
-_WEIGHT = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items()) + " END"
-
 QUERIES = [
     Query("merged_timeline", "U01", ["segments", "keyframes"], lambda d: f"""
 WITH t AS (SELECT recording_id, start_s AS ts, 1 AS kind_rank, segment_id AS id FROM {d.segments} UNION ALL SELECT recording_id, ts, 0, image_id FROM {d.keyframes})
@@ -83,8 +54,6 @@ WITH p AS (SELECT plan_id, plan_id % 4 AS part, block_idx, section_idx, text FRO
 heads AS (SELECT part, min(plan_id) AS plan_id FROM p GROUP BY part)
 SELECT plan_id, part, (part + 1) * 100000 + block_idx AS block_id, least(3, section_idx % 3 + 2) AS level, false AS heading FROM p UNION ALL SELECT plan_id, part, (part + 1) * 100000 - 1, 1, true FROM heads"""),
     Query("figure_twins", "J23", ["plan_blocks"], lambda d: f"WITH {_FIGURES.format(plan_blocks=d.plan_blocks)} {_twins(d)}"),
-    Query("plan_metrics", "A09", ["plan_blocks"], lambda d: f"WITH {_metrics(d)} SELECT plan_id, metric, round(v, 4) AS value FROM m"),
-    Query("plan_score", "A10", ["plan_blocks"], lambda d: f"WITH {_metrics(d)} SELECT plan_id, round(sum(v * {_WEIGHT}) / nullif(sum(CASE WHEN v IS NOT NULL THEN {_WEIGHT} END), 0), 4) AS score FROM m GROUP BY plan_id"),
     Query("plan_violations", "A11 U06", ["plan_blocks"], lambda d: f"""
 SELECT plan_id, count(*) - count(DISTINCT block_idx % 40) AS duplicate_segments, max(block_idx) + 1 - count(DISTINCT block_idx) AS missing_segments, count(DISTINCT section_idx) = 0 AS no_sections FROM {d.plan_blocks} GROUP BY plan_id"""),
     Query("plan_outputs", "A12 A06", ["plan_blocks"], lambda d: f"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from ..functions import names, plans, text, titles
 from ..sources import files
 from ..streaming import machines, progress
-from . import evaluation, folds, frames, ledger, measures, near, plan, screen, scripts, spread, stages, terms, transcript, words
+from . import evaluation, folds, frames, ledger, measures, near, plan, quality, screen, scripts, spread, stages, terms, transcript, words
 
-_MODULES = (transcript, words, near, spread, measures, stages, scripts, ledger, screen, plan, terms, frames, evaluation)
+_MODULES = (transcript, words, near, spread, measures, stages, scripts, quality, ledger, screen, plan, terms, frames, evaluation)
 
 
 def queries() -> dict:
