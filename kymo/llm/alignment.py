@@ -46,7 +46,7 @@ B_BITS = 32
 #: At most so many pairs can hold 1/HOT of all rows of (document, pair) each.
 HOT = 65_536
 #: Bytes that a worker's memory of units may take, and what one takes beside its own and its groups' bytes.
-MEMORY, EACH = 120_000_000, 420
+MEMORY, EACH = 90_000_000, 420
 #: Units that go to the libraries as one text.
 AT_ONCE = 4000
 #: Share of the memory's units, those used most, that is kept when it is full.
