@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixtures
+from ..plans.query import with_views
 
 Rows = list[dict]
 # Fixed values of the shaping rules.
 PARAGRAPH, PARAGRAPH_GAP, LEAST_PARAGRAPH = 700, 2.5, 180
 BREAK_PAUSE, OVERRUN = 1.0, 1.25
+BATCH, LEAST_BATCH, BATCHES, SPARSE_SPAN = 3500, 700, 5, 180.0
+CUT_GAP, CUTS, MAJOR = 3.0, 400, 2.5
 CHAPTER_GAP, CHAPTERS = 10.0, 3
 _ENDS = (".", "!", "?", "؟", "…")
 
@@ -66,15 +69,28 @@ def raw_paragraphs(rows: Rows) -> Iterator[tuple]:
         yield len(held), " ".join(held)
 
 
-def batches(limit: int = 2500) -> Callable[[Rows], Iterator[tuple]]:
-    """Whole segments packed in order into batches of at most ``limit`` characters; a longer one is a batch."""
+def batch_limit(total: int, span: float, most: int = BATCH) -> int:
+    """Characters of a batch: a fifth of the text, but not under LEAST_BATCH, and less for little speech over a long time; ``most`` is the ceiling."""
+    if total <= 0:
+        return most
+    least = max(150.0, total / 3) if span >= SPARSE_SPAN and total < 2 * LEAST_BATCH else float(LEAST_BATCH)
+    return int(min(most, max(min(LEAST_BATCH, least), total / BATCHES)))
+
+
+def batches(most: int = BATCH) -> Callable[[Rows], Iterator[tuple]]:
+    """Whole segments packed in order into batches of a size that follows from the text; a longer one is a batch, an empty one is in none."""
 
     def step(rows: Rows) -> Iterator[tuple]:
+        span = max(0.0, rows[-1]["end_s"] - rows[0]["start_s"]) if rows else 0.0
+        sizes = [len(r["text"].strip()) for r in rows]
+        limit = batch_limit(sum(sizes), span, most)
         number = n = 0
-        for r in rows:
-            if n and n + len(r["text"]) > limit:
+        for r, size in zip(rows, sizes, strict=True):
+            if not size:
+                continue
+            if n and n + size > limit:
                 number, n = number + 1, 0
-            n += len(r["text"])
+            n += size
             yield r["segment_id"], number
 
     return step
@@ -177,17 +193,18 @@ def chapters(rows: Rows) -> Iterator[tuple]:
         yield from ((k, at, title) for k, (at, title) in enumerate(kept))
 
 
-def scene_cuts(gap: float = 1.0, most: int = 120) -> Callable[[Rows], Iterator[tuple]]:
-    """Cuts over a recording's threshold and ``gap`` after the last one; the strongest ``most`` of them."""
+def scene_cuts(gap: float = CUT_GAP, most: int = CUTS, major: float = MAJOR, early: bool = True) -> Callable[[Rows], Iterator[tuple]]:
+    """Cuts over a recording's threshold and ``gap`` after the last one; ``major`` times the threshold needs no gap (``early``). The strongest ``most`` of them."""
 
     def step(rows: Rows) -> Iterator[tuple]:
         last, found = 0.0, []
         for r in rows:
-            if r["pixel_diff"] >= r["threshold"] and r["ts"] - last >= gap:
-                found.append((r["ts"], r["pixel_diff"]))
+            large = r["pixel_diff"] >= major * r["threshold"]
+            if r["pixel_diff"] >= r["threshold"] and (r["ts"] - last >= gap or (large and early)):
+                found.append((r["ts"], r["pixel_diff"], large))
                 last = r["ts"]
         strongest = sorted(sorted(found, key=lambda x: -x[1])[:most])
-        yield from ((k + 1, ts, score) for k, (ts, score) in enumerate(strongest))
+        yield from ((k + 1, *cut) for k, cut in enumerate(strongest))
 
     return step
 
@@ -337,7 +354,7 @@ def queries() -> dict:
         "merged_paragraphs": lambda s, d: fold(blocks(s, d), "plan_id", ["block_idx"], merge_short, "section_idx int, block int, kind string, text string"),
         "merged_sections": lambda s, d: fold(sections(s, d), "plan_id", ["section_idx"], merge_sections, "section_idx int, into_section int"),
         "video_chapters": lambda s, d: fold(sections(s, d), "plan_id", ["start_s", "section_idx"], chapters, "chapter int, start_s double, title string"),
-        "scene_cuts": lambda s, d: fold(_signals(s, d), "recording_id", ["ts"], scene_cuts(), "scene int, ts double, score double"),
+        "scene_cuts": lambda s, d: fold(_signals(s, d), "recording_id", ["ts"], scene_cuts(), "scene int, ts double, score double, major boolean"),
         "spaced_frames": lambda s, d: fold(_signals(s, d), "recording_id", ["ts"], spaced(), "ts double"),
         "frame_chunks": lambda s, d: fold(said(s, d), "recording_id", ["ts", "image_id"], frame_chunks(), "image_id long, chunk int"),
         "glossary_budget": lambda s, d: fold(_terms(s, d).withColumn("minus", -F.col("n")), "plan_id", ["minus", "term"], glossary_budget(), "term string, used int"),
@@ -347,6 +364,29 @@ def queries() -> dict:
     }
 
 
+def oracle_sql() -> dict[str, str]:
+    """Folds as recursion over the rows of a recording."""
+    return {
+        "segment_batches": with_views(["segments"], f"""
+WITH RECURSIVE t AS (SELECT recording_id, segment_id, length(trim(coalesce(text_clean, text_raw, ''))) AS n, row_number() OVER (PARTITION BY recording_id ORDER BY segment_id) AS k, start_s, end_s FROM segments WHERE trim(coalesce(text_clean, text_raw, '')) <> ''),
+l AS (SELECT recording_id, sum(n) AS total, greatest(0.0, (SELECT arg_max(end_s, segment_id) FROM segments s WHERE s.recording_id = t.recording_id) - (SELECT arg_min(start_s, segment_id) FROM segments s WHERE s.recording_id = t.recording_id)) AS span FROM t GROUP BY recording_id),
+m AS (SELECT recording_id, CAST(floor(least({BATCH}, greatest(CASE WHEN span >= {SPARSE_SPAN} AND total < {2 * LEAST_BATCH} THEN least({LEAST_BATCH}, greatest(150.0, total / 3.0)) ELSE {LEAST_BATCH} END, total / {BATCHES}.0))) AS BIGINT) AS most FROM l),
+r(recording_id, k, segment_id, batch, size) AS (
+  SELECT recording_id, k, segment_id, 0, n FROM t WHERE k = 1
+  UNION ALL SELECT t.recording_id, t.k, t.segment_id, r.batch + CASE WHEN r.size + t.n > most THEN 1 ELSE 0 END, CASE WHEN r.size + t.n > most THEN t.n ELSE r.size + t.n END FROM r JOIN t ON t.recording_id = r.recording_id AND t.k = r.k + 1 JOIN m ON m.recording_id = t.recording_id)
+SELECT recording_id, segment_id, batch FROM r"""),
+        "scene_cuts": with_views(["frame_signals"], f"""
+WITH RECURSIVE mid AS (SELECT recording_id, median(pixel_diff) AS mid FROM frame_signals GROUP BY recording_id),
+mad AS (SELECT f.recording_id, greatest(0.05, any_value(mid) + 1.4826 * median(abs(pixel_diff - mid))) AS threshold FROM frame_signals f JOIN mid ON mid.recording_id = f.recording_id GROUP BY f.recording_id),
+t AS (SELECT f.recording_id, ts, pixel_diff, threshold, row_number() OVER (PARTITION BY f.recording_id ORDER BY ts) AS k FROM frame_signals f JOIN mad ON mad.recording_id = f.recording_id WHERE pixel_diff >= threshold),
+r(recording_id, k, last, cut) AS (
+  SELECT recording_id, 0, CAST(0 AS DOUBLE), false FROM mad
+  UNION ALL SELECT t.recording_id, t.k, CASE WHEN ts - r.last >= {CUT_GAP} OR pixel_diff >= {MAJOR} * threshold THEN ts ELSE r.last END, ts - r.last >= {CUT_GAP} OR pixel_diff >= {MAJOR} * threshold FROM r JOIN t ON t.recording_id = r.recording_id AND t.k = r.k + 1),
+c AS (SELECT t.recording_id, ts, pixel_diff AS score, pixel_diff >= {MAJOR} * threshold AS major, row_number() OVER (PARTITION BY t.recording_id ORDER BY pixel_diff DESC, ts) AS place FROM t JOIN r ON r.recording_id = t.recording_id AND r.k = t.k WHERE r.cut)
+SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY ts) AS INTEGER) AS scene, ts, score, major FROM c WHERE place <= {CUTS}"""),
+    }
+
+
 def misread_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of one plan that are readings of each other, with their ratio: candidates share a letter run, and lengths allow the ratio."""
     terms = _terms(spark, sf_dir).withColumn("size", F.length("term"))

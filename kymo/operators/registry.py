@@ -15,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {q.name: q.oracle() for m in _MODULES for q in m.QUERIES if q.checked} | plans.oracle_sql() | files.oracle_sql() | machines.oracle_sql() | progress.oracle_sql()
+    return {q.name: q.oracle() for m in _MODULES for q in m.QUERIES if q.checked} | folds.oracle_sql() | plans.oracle_sql() | files.oracle_sql() | machines.oracle_sql() | progress.oracle_sql()

@@ -50,6 +50,22 @@ def test_timeline_is_lossless():
     assert len({x[0] for x in out}) > 1
 
 
+@pytest.mark.parametrize(("total", "span", "want"), [(0, 0.0, 3500), (597, 312.0, 199), (300, 30.0, 700), (300, 300.0, 150), (10_000, 300.0, 2000), (100_000, 9000.0, 3500), (1399, 180.0, 466), (1400, 180.0, 700)])
+def test_batches_follow_from_the_text(total, span, want):
+    assert folds.batch_limit(total, span) == want
+
+
+def test_empty_segments_are_in_no_batch():
+    rows = [seg(1, 0, 1, "a" * 600), seg(2, 1, 2, "  "), seg(3, 2, 3, "b" * 200), seg(4, 3, 4, "c" * 900)]
+    assert list(folds.batches()(rows)) == [(1, 0), (3, 1), (4, 2)]
+
+
+def test_a_major_cut_needs_no_gap():
+    rows = [{"ts": t, "pixel_diff": d, "threshold": 0.1} for t, d in ((1.0, 0.2), (3.5, 0.2), (4.0, 0.2), (4.5, 0.3), (5.0, 0.05), (7.6, 0.12))]
+    assert list(folds.scene_cuts()(rows)) == [(1, 3.5, 0.2, False), (2, 4.5, 0.3, True), (3, 7.6, 0.12, False)]
+    assert [c[1] for c in folds.scene_cuts(early=False)(rows)] == [3.5, 7.6] and [c[1] for c in folds.scene_cuts(most=1)(rows)] == [4.5]
+
+
 def test_chapters_need_three():
     rows = [{"start_s": s, "end_s": s + 20, "title": str(s)} for s in (3.0, 8.0, 30.0, 60.0)]
     assert [x[1] for x in folds.chapters(rows)] == [0.0, 30.0, 60.0]
