@@ -18,7 +18,7 @@ SELECT conv_id AS recording_id, turn + 1 AS segment_id, round(off + pause, 1) AS
        text AS text_raw, trim(text) AS text_clean, CAST(n_words AS BIGINT) AS n_words FROM p""",
     "keyframes": """
 SELECT label AS recording_id, vec_id AS image_id, CAST((row_number() OVER (PARTITION BY label ORDER BY vec_id)) * 7 AS DOUBLE) AS ts,
-       d.text AS ocr_text, vec_id % 5 <> 0 AS privacy_scanned, vec_id % 17 = 0 AS redaction_failed, embedding
+       d.text AS ocr_text, vec_id % 5 <> 0 AS privacy_scanned, vec_id % 17 = 0 AS redaction_failed, vec_id % 23 = 0 AS sensitive, label % 3 <> 0 AS anonymised, embedding
 FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id % 200""",
     "job_facts": """
 SELECT event_id AS seq, concat('job', CAST(event_id % 300 AS STRING)) AS job_key, ts AS at_ts,
@@ -28,7 +28,10 @@ SELECT event_id AS seq, concat('job', CAST(event_id % 300 AS STRING)) AS job_key
        CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(50 + event_id % 50 AS DOUBLE) END AS quality_score,
        CASE WHEN user_id % 2 = 0 THEN 'engine_a' ELSE 'engine_b' END AS engine,
        CASE WHEN user_id % 3 = 0 THEN 'small' ELSE 'large' END AS model,
-       event_id % 2 = 0 AS rewrite, event_id % 5 = 0 AS study FROM events""",
+       event_id % 2 = 0 AS rewrite, event_id % 5 = 0 AS study, event_id % 3 <> 0 AS source_present,
+       CASE event_id % 4 WHEN 0 THEN 'metadata' WHEN 1 THEN 'transcribe' WHEN 2 THEN 'scenes' ELSE 'document' END AS stage, event_id % 8 AS stage_idx,
+       CASE event_id % 3 WHEN 0 THEN '.docx' WHEN 1 THEN '.srt' ELSE '.pdf' END AS output_suffix,
+       CASE WHEN event_id % 4 <> 0 THEN concat('pack-', CASE WHEN event_id % 7 <> 0 AND user_id % 3 = 0 THEN 'old' ELSE 'now' END) END AS pack_fingerprint, 'pack-now' AS source_fingerprint FROM events""",
     "wallet_events": """
 SELECT user_id AS code, event_id AS seq, ts,
        CASE event_type WHEN 'signup' THEN 'add' WHEN 'click' THEN 'reserve' WHEN 'purchase' THEN 'settle' WHEN 'error' THEN 'settle' ELSE 'get' END AS op,
@@ -47,6 +50,10 @@ SELECT user_id AS recording_id, event_id AS seq,
     "accounts": """
 WITH a AS (SELECT c_nationkey AS account, CAST(floor(sum(c_acctbal) / count(*) * 40) AS BIGINT) AS cap FROM customer GROUP BY c_nationkey)
 SELECT c_custkey AS code, c_nationkey AS account, cap, cap * 3 AS balance, cap * 2 AS alert_at FROM customer JOIN a ON account = c_nationkey""",
+    "licences": """
+SELECT user_id AS code, max(CASE WHEN event_type = 'error' AND event_id % 9 = 0 THEN 1 ELSE 0 END) = 1 AS revoked, min(CASE WHEN event_type = 'signup' THEN ts END) AS activated_at, min(ts) AS first_at, max(ts) AS last_at,
+       count(DISTINCT CAST(ts AS DATE)) AS days_used, max(event_id) % 13 <> 0 AS is_activated, max(event_id) % 11 <> 0 AS device_matches, max(event_id) % 7 = 0 AS clock_moved_back, max(event_id) % 5 = 0 AS blocked,
+       20 AS term_days, 20 AS days_allowed, 60 AS lease_days, 7 AS recheck_days FROM events GROUP BY user_id""",
     "device_usage": """
 SELECT c.c_nationkey AS code, c.c_custkey AS device, count(*) AS jobs_total,
        sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS completed, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS failed,
@@ -68,7 +75,7 @@ SELECT doc_id AS image_id, li AS line, wi AS word_idx, w AS text, CAST(50 + (len
 FROM documents LATERAL VIEW posexplode(split(text, '\n')) a AS li, ln LATERAL VIEW posexplode(split(ln, ' ')) b AS wi, w WHERE w <> ''""",
     "eval_pairs": """
 SELECT item_id AS clip, item_id % 4 AS source, text AS reference,
-       array_join(filter(split(text, ' '), (w, i) -> (i + item_id) % 7 <> 6), ' ') AS hypothesis FROM benchmark""",
+       array_join(filter(split(text, ' '), (w, i) -> (i + item_id) % 7 <> 6), ' ') AS hypothesis, CASE WHEN item_id % 11 = 0 THEN 'excluded' WHEN item_id % 7 = 0 THEN 'unreviewed' ELSE 'scored' END AS review, item_id % 3 AS variant FROM benchmark""",
     "frame_signals": """
 WITH p AS (SELECT label, vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS prev,
                   row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings)
@@ -76,7 +83,8 @@ SELECT label AS recording_id, round(CAST(rn AS DOUBLE) / 3, 6) AS ts, round(aggr
 FROM p WHERE prev IS NOT NULL""",
     "plan_blocks": """
 SELECT doc_id AS plan_id, CAST(floor(li / 5) AS INT) AS section_idx, li AS block_idx,
-       CASE WHEN li % 4 = 3 THEN 'figure' ELSE 'paragraph' END AS kind, ln AS text, CAST(li * 6 AS DOUBLE) AS source_start, CAST(li * 6 + 5 - li % 3 AS DOUBLE) AS source_end
+       CASE WHEN li % 4 = 3 THEN 'figure' ELSE 'paragraph' END AS kind, ln AS text, CAST(li * 6 AS DOUBLE) AS source_start, CAST(li * 6 + 5 - li % 3 AS DOUBLE) AS source_end,
+       li % 7 <> 0 AS heard, li % 5 <> 0 AS cites_speech, li % 3 = 0 AS cites_screen, li % 40 AS cited_segment
 FROM documents LATERAL VIEW posexplode(split(text, '\n')) a AS li, ln WHERE trim(ln) <> ''""",
 }
 DUCK = _BOTH | {
@@ -95,7 +103,7 @@ SELECT doc_id AS image_id, li AS line, wi AS word_idx, w AS text, CAST(50 + (len
        CAST(wi * 90 AS DOUBLE) AS left_px, CAST(li * 20 AS DOUBLE) AS top_px, CAST(length(w) * 8 AS DOUBLE) AS width_px, CAST(14 AS DOUBLE) AS height_px FROM x WHERE w <> ''""",
     "eval_pairs": """
 SELECT item_id AS clip, item_id % 4 AS source, text AS reference,
-       array_to_string(list_filter(string_split(text, ' '), lambda w, i : (i - 1 + item_id) % 7 <> 6), ' ') AS hypothesis FROM benchmark""",
+       array_to_string(list_filter(string_split(text, ' '), lambda w, i : (i - 1 + item_id) % 7 <> 6), ' ') AS hypothesis, CASE WHEN item_id % 11 = 0 THEN 'excluded' WHEN item_id % 7 = 0 THEN 'unreviewed' ELSE 'scored' END AS review, item_id % 3 AS variant FROM benchmark""",
     "frame_signals": """
 WITH p AS (SELECT label, vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS prev,
                   row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings)
@@ -104,7 +112,8 @@ FROM p WHERE prev IS NOT NULL""",
     "plan_blocks": """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS li FROM documents)
 SELECT doc_id AS plan_id, CAST(floor(li / 5) AS INT) AS section_idx, li AS block_idx,
-       CASE WHEN li % 4 = 3 THEN 'figure' ELSE 'paragraph' END AS kind, ln AS text, CAST(li * 6 AS DOUBLE) AS source_start, CAST(li * 6 + 5 - li % 3 AS DOUBLE) AS source_end FROM l WHERE trim(ln) <> ''""",
+       CASE WHEN li % 4 = 3 THEN 'figure' ELSE 'paragraph' END AS kind, ln AS text, CAST(li * 6 AS DOUBLE) AS source_start, CAST(li * 6 + 5 - li % 3 AS DOUBLE) AS source_end,
+       li % 7 <> 0 AS heard, li % 5 <> 0 AS cites_speech, li % 3 = 0 AS cites_screen, li % 40 AS cited_segment FROM l WHERE trim(ln) <> ''""",
 }
 
 #: Blocks with the title of their section and, for figures, a caption and the text of the screen.

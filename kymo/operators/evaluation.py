@@ -50,10 +50,10 @@ a AS (SELECT CASE WHEN source % 2 = 0 THEN 'engine_a' ELSE 'engine_b' END AS eng
 t AS (SELECT engine, sum(elapsed_seconds) / sum(duration_seconds) AS realtime FROM {d.job_facts} WHERE duration_seconds > 0 GROUP BY engine)
 SELECT a.engine, round(accuracy, 4) AS accuracy, round(realtime, 6) AS realtime_factor, accuracy = max(accuracy) OVER () AS most_accurate, realtime = min(realtime) OVER () AS fastest FROM a JOIN t ON t.engine = a.engine"""),
     Query("evaluation_report", "E07 J21", ["eval_pairs"], lambda d: f"""
-WITH {_errors(d)}, k AS (SELECT *, CASE WHEN clip % 11 = 0 THEN 'excluded' WHEN clip % 7 = 0 THEN 'unreviewed' ELSE 'scored' END AS review FROM e)
+WITH {_errors(d)}, k AS (SELECT e.*, p.review FROM e JOIN {d.eval_pairs} p ON p.clip = e.clip)
 SELECT source, review, count(*) AS clips, count(CASE WHEN untouched THEN 1 END) AS untouched, count(CASE WHEN empty THEN 1 END) AS empty, round(CAST(sum(word_errors) AS DOUBLE) / nullif(sum(words), 0), 6) AS wer, sum(words) < 800 AS few_words FROM k GROUP BY source, review"""),
     Query("variant_deltas", "E08", ["eval_pairs"], lambda d: f"""
-WITH {_errors(d)}, v AS (SELECT clip % 3 AS variant, 100.0 * (1 - CAST(sum(word_errors) AS DOUBLE) / sum(words)) AS accuracy FROM e GROUP BY clip % 3)
+WITH {_errors(d)}, v AS (SELECT p.variant, 100.0 * (1 - CAST(sum(word_errors) AS DOUBLE) / sum(words)) AS accuracy FROM e JOIN {d.eval_pairs} p ON p.clip = e.clip GROUP BY p.variant)
 SELECT v.variant, round(v.accuracy, 4) AS accuracy, round(v.accuracy - b.accuracy, 4) AS delta FROM v CROSS JOIN (SELECT accuracy FROM v WHERE variant = 0) b"""),
     Query("worst_clips", "T09", ["eval_pairs"], lambda d: f"WITH {_errors(d)} SELECT clip, round(CAST(word_errors AS DOUBLE) / words, 6) AS wer FROM e ORDER BY CAST(word_errors AS DOUBLE) / words DESC, clip LIMIT 5"),
     Query("clip_plan", "E05", ["events"], lambda d: f"WITH {_plan(d)} SELECT source, clips, round(seconds, 2) AS seconds FROM clips"),

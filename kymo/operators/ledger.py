@@ -77,7 +77,7 @@ p AS (SELECT job_id, {d.join('provider', ',', 'first_seq')} AS providers FROM f
 SELECT a.job_id, bool_or(sent) AS left_device, max(coalesce(p.providers, '')) AS providers, CAST(sum(CASE WHEN sent THEN images ELSE 0 END) AS BIGINT) AS images_sent, count(CASE WHEN NOT sent THEN 1 END) AS attempted_only
 FROM a LEFT JOIN p ON p.job_id = a.job_id GROUP BY a.job_id"""),
     Query("stage_times", "A24", ["job_facts"], lambda d: f"""
-WITH s AS (SELECT job_key, CASE seq % 4 WHEN 0 THEN 'metadata' WHEN 1 THEN 'transcribe' WHEN 2 THEN 'scenes' ELSE 'document' END AS stage, elapsed_seconds FROM {d.job_facts})
+WITH s AS (SELECT job_key, stage, elapsed_seconds FROM {d.job_facts})
 SELECT stage, count(*) AS jobs, round(sum(elapsed_seconds), 2) AS seconds, round(100.0 * sum(elapsed_seconds) / sum(sum(elapsed_seconds)) OVER (), 4) AS percent FROM s GROUP BY stage"""),
     Query("license_merge", "A26", ["events"], lambda d: f"""
 WITH r AS (SELECT user_id AS code, event_id AS issued, CAST(ts AS DATE) AS day, ts FROM {d.events}),
@@ -99,7 +99,7 @@ SELECT job_key, seq, 'ledger' AS origin FROM latest UNION ALL SELECT job_key, se
 SELECT c.c_custkey AS device, c.c_nationkey AS code, coalesce(u.jobs_total, c.c_custkey % 5) AS jobs_total, u.device IS NOT NULL AS reported FROM {d.customer} c LEFT JOIN {d.device_usage} u ON u.device = c.c_custkey AND u.code = c.c_nationkey"""),
     Query("missing_outputs", "J22", ["job_facts"], lambda d: f"""
 WITH {_latest(d)},
-present AS (SELECT job_key, CASE seq % 3 WHEN 0 THEN '.docx' WHEN 1 THEN '.srt' ELSE '.pdf' END AS suffix FROM {d.job_facts}),
+present AS (SELECT job_key, output_suffix AS suffix FROM {d.job_facts}),
 expected AS (SELECT job_key, suffix FROM latest CROSS JOIN {d.values('e', 'suffix', "('.docx'), ('.srt'), ('.pdf'), ('.study.json')")} WHERE status = 'completed')
 SELECT job_key, suffix, CASE suffix WHEN '.study.json' THEN 'study' WHEN '.srt' THEN 'subtitles' ELSE 'document' END AS remedy FROM expected e WHERE NOT EXISTS (SELECT 1 FROM present p WHERE p.job_key = e.job_key AND p.suffix = e.suffix)"""),
     Query("clean_usage", "P17", ["device_usage"], lambda d: f"""
@@ -107,13 +107,13 @@ SELECT code, device, least(10000000, greatest(0, coalesce(jobs_total, 0))) AS jo
        CASE WHEN average_quality IS NULL THEN NULL ELSE floor(least(100.0, greatest(0.0, average_quality)) * 10 + 0.5) / 10 END AS quality, {d.matches(d.text('reported_at'), '^[0-9]{4}-[0-9]{2}-[0-9]{2}')} AS day_ok FROM {d.device_usage}"""),
     Query("identifier_checks", "P18", ["customer"], lambda d: f"""
 SELECT c_custkey, {d.matches('c_name', '^Customer#[0-9]{9}$')} AS code_ok, {d.matches(d.text('c_custkey'), '^[0-9]{1,12}$')} AS device_ok, {d.matches("concat('1.', " + d.text('c_nationkey') + ", '.0')", '^[0-9]+[.][0-9]+[.][0-9]+$')} AS version_ok FROM {d.customer}"""),
-    Query("license_status", "P19", ["events"], lambda d: f"""
-WITH r AS (SELECT user_id AS code, max(CASE WHEN event_type = 'error' AND event_id % 9 = 0 THEN 1 ELSE 0 END) AS revoked, min(CASE WHEN event_type = 'signup' THEN ts END) AS activated FROM {d.events} GROUP BY user_id), n AS (SELECT max(ts) AS now FROM {d.events})
-SELECT code, CASE WHEN revoked = 1 THEN 'revoked' WHEN activated IS NULL THEN 'not_activated' WHEN {d.seconds('now')} - {d.seconds('activated')} > 20 * 86400 THEN 'expired' ELSE 'active' END AS status FROM r CROSS JOIN n"""),
-    Query("lease_verdict", "P20", ["events"], lambda d: f"""
-WITH r AS (SELECT user_id AS code, max(event_id) AS last_id, min({d.seconds('ts')}) AS first_s, max({d.seconds('ts')}) AS last_s, count(DISTINCT CAST(ts AS DATE)) AS days_used FROM {d.events} GROUP BY user_id), n AS (SELECT max({d.seconds('ts')}) AS now FROM {d.events})
-SELECT code, CASE WHEN last_id % 13 = 0 THEN 'needs_activation' WHEN last_id % 11 = 0 THEN 'device_mismatch' WHEN last_id % 7 = 0 THEN 'clock_tampered' WHEN days_used > 20 THEN 'expired_days'
-            WHEN now - first_s > 60 * 86400 THEN 'expired_date' WHEN now - last_s > 7 * 86400 THEN 'needs_recheck' WHEN last_id % 5 = 0 THEN 'blocked' ELSE 'active' END AS verdict FROM r CROSS JOIN n"""),
+    Query("license_status", "P19", ["licences"], lambda d: f"""
+WITH n AS (SELECT max(last_at) AS now FROM {d.licences})
+SELECT code, CASE WHEN revoked THEN 'revoked' WHEN activated_at IS NULL THEN 'not_activated' WHEN {d.seconds('now')} - {d.seconds('activated_at')} > term_days * 86400 THEN 'expired' ELSE 'active' END AS status FROM {d.licences} CROSS JOIN n"""),
+    Query("lease_verdict", "P20", ["licences"], lambda d: f"""
+WITH n AS (SELECT max({d.seconds('last_at')}) AS now FROM {d.licences})
+SELECT code, CASE WHEN NOT is_activated THEN 'needs_activation' WHEN NOT device_matches THEN 'device_mismatch' WHEN clock_moved_back THEN 'clock_tampered' WHEN days_used > days_allowed THEN 'expired_days'
+            WHEN now - {d.seconds('first_at')} > lease_days * 86400 THEN 'expired_date' WHEN now - {d.seconds('last_at')} > recheck_days * 86400 THEN 'needs_recheck' WHEN blocked THEN 'blocked' ELSE 'active' END AS verdict FROM {d.licences} CROSS JOIN n"""),
     Query("applied_policy", "P21", ["job_facts"], lambda d: f"""
 WITH p AS (SELECT * FROM {d.values('p', 'engine, images, provider', "('engine_a', 'yes', 'local'), ('engine_b', 'maybe', '')")})
 SELECT seq, CASE WHEN lower(images) IN ('yes', 'true', '1', 'on') THEN true ELSE false END AS images_allowed, coalesce(nullif(provider, ''), model) AS provider FROM {d.job_facts} j JOIN p ON p.engine = j.engine"""),
@@ -124,11 +124,11 @@ SELECT seq, coalesce(p.min_gap, 2.0) AS min_gap, coalesce(p.max_scenes, 80) AS m
 WITH s AS (SELECT job_key, {d.seconds('max(at_ts)')} - {d.seconds('min(at_ts)')} AS s, count(*) AS n FROM {d.job_facts} GROUP BY job_key)
 SELECT job_key, CASE WHEN s > 0 AND s <= 8 * 3600 AND n < 60 THEN s END AS elapsed_s FROM s"""),
     Query("pack_reuse", "P30", ["job_facts"], lambda d: f"""
-SELECT seq, CASE WHEN quality_score IS NULL THEN 'no_fingerprint' WHEN seq % 7 <> 0 AND model = 'small' THEN 'fingerprint_changed' WHEN status = 'failed' THEN 'failures' WHEN duration_seconds = 0 THEN 'empty' ELSE 'reusable' END AS verdict FROM {d.job_facts}"""),
+SELECT seq, CASE WHEN pack_fingerprint IS NULL THEN 'no_fingerprint' WHEN pack_fingerprint <> source_fingerprint THEN 'fingerprint_changed' WHEN status = 'failed' THEN 'failures' WHEN duration_seconds = 0 THEN 'empty' ELSE 'reusable' END AS verdict FROM {d.job_facts}"""),
     Query("job_actions", "P31", ["job_facts"], lambda d: f"""
-WITH {_latest(d)} SELECT job_key, status <> 'completed' AND seq % 3 <> 0 AS resumable, quality_score IS NOT NULL AS rebuildable FROM latest"""),
+WITH {_latest(d)} SELECT job_key, status <> 'completed' AND source_present AS resumable, quality_score IS NOT NULL AS rebuildable FROM latest"""),
     Query("valid_stages", "W28", ["job_facts"], lambda d: f"""
-WITH s AS (SELECT job_key, seq % 8 AS idx, max(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS broken FROM {d.job_facts} GROUP BY job_key, seq % 8),
+WITH s AS (SELECT job_key, stage_idx AS idx, max(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS broken FROM {d.job_facts} GROUP BY job_key, stage_idx),
 b AS (SELECT *, min(CASE WHEN broken = 1 THEN idx END) OVER (PARTITION BY job_key) AS first_broken FROM s)
 SELECT job_key, idx FROM b WHERE first_broken IS NULL OR idx < first_broken"""),
     Query("quality_trend", "W29", ["job_facts"], lambda d: f"""

@@ -39,10 +39,10 @@ WITH said AS (SELECT plan_id, list_distinct(flatten(list(regexp_extract_all(lowe
 seen AS (SELECT doc_id AS plan_id, list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]{4,}|[0-9]+')))) AS toks FROM documents GROUP BY doc_id)
 SELECT plan_id, CAST(len(list_filter(said.toks, lambda x : NOT list_contains(coalesce(seen.toks, []), x))) AS BIGINT) AS unsupported FROM said LEFT JOIN seen USING (plan_id) WHERE len(said.toks) > 0"""),
     Query("unsourced_sections", "J10", ["plan_blocks"], lambda d: f"""
-WITH s AS (SELECT plan_id, section_idx, bool_or(kind = 'paragraph' AND block_idx % 7 <> 0) AS spoken, bool_or(kind = 'figure') AS shown FROM {d.plan_blocks} GROUP BY plan_id, section_idx)
+WITH s AS (SELECT plan_id, section_idx, bool_or(kind = 'paragraph' AND heard) AS spoken, bool_or(kind = 'figure') AS shown FROM {d.plan_blocks} GROUP BY plan_id, section_idx)
 SELECT plan_id, section_idx, CASE WHEN shown THEN 'screen_only' ELSE 'model_only' END AS evidence FROM s WHERE NOT spoken"""),
     Query("block_provenance", "J11", ["plan_blocks"], lambda d: f"""
-SELECT plan_id, block_idx, CASE WHEN kind = 'paragraph' AND block_idx % 5 <> 0 AND block_idx % 3 = 0 THEN 'both' WHEN kind = 'paragraph' AND block_idx % 5 <> 0 THEN 'transcript' WHEN kind = 'figure' THEN 'screen' ELSE 'inferred' END AS source FROM {d.plan_blocks}"""),
+SELECT plan_id, block_idx, CASE WHEN kind = 'paragraph' AND cites_speech AND cites_screen THEN 'both' WHEN kind = 'paragraph' AND cites_speech THEN 'transcript' WHEN kind = 'figure' THEN 'screen' ELSE 'inferred' END AS source FROM {d.plan_blocks}"""),
     Query("reconciled_figures", "J12", ["keyframes", "plan_blocks"], lambda d: f"""
 WITH used AS (SELECT plan_id % 10 AS recording_id, plan_id * 3 % 500 AS image_id, min(plan_id * 1000 + block_idx) AS place FROM {d.plan_blocks} WHERE kind = 'figure' GROUP BY plan_id % 10, plan_id * 3 % 500),
 sent AS (SELECT recording_id, image_id, ts FROM {d.keyframes}),
@@ -55,11 +55,11 @@ heads AS (SELECT part, min(plan_id) AS plan_id FROM p GROUP BY part)
 SELECT plan_id, part, (part + 1) * 100000 + block_idx AS block_id, least(3, section_idx % 3 + 2) AS level, false AS heading FROM p UNION ALL SELECT plan_id, part, (part + 1) * 100000 - 1, 1, true FROM heads"""),
     Query("figure_twins", "J23", ["plan_blocks"], lambda d: f"WITH {_FIGURES.format(plan_blocks=d.plan_blocks)} {_twins(d)}"),
     Query("plan_violations", "A11 U06", ["plan_blocks"], lambda d: f"""
-SELECT plan_id, count(*) - count(DISTINCT block_idx % 40) AS duplicate_segments, max(block_idx) + 1 - count(DISTINCT block_idx) AS missing_segments, count(DISTINCT section_idx) = 0 AS no_sections FROM {d.plan_blocks} GROUP BY plan_id"""),
+SELECT plan_id, count(*) - count(DISTINCT cited_segment) AS duplicate_segments, max(block_idx) + 1 - count(DISTINCT block_idx) AS missing_segments, count(DISTINCT section_idx) = 0 AS no_sections FROM {d.plan_blocks} GROUP BY plan_id"""),
     Query("plan_outputs", "A12 A06", ["plan_blocks"], lambda d: f"""
 SELECT plan_id, count(DISTINCT section_idx) AS sections, count(DISTINCT CASE WHEN kind = 'figure' THEN block_idx END) AS figures, count(DISTINCT CASE WHEN kind = 'paragraph' THEN block_idx END) AS segments FROM {d.plan_blocks} GROUP BY plan_id"""),
     Query("provenance_summary", "A13", ["plan_blocks"], lambda d: f"""
-WITH b AS (SELECT plan_id, section_idx, CASE WHEN kind = 'figure' THEN 'screen' WHEN block_idx % 5 = 0 THEN 'inferred' ELSE 'transcript' END AS source FROM {d.plan_blocks})
+WITH b AS (SELECT plan_id, section_idx, CASE WHEN kind = 'figure' THEN 'screen' WHEN NOT cites_speech THEN 'inferred' ELSE 'transcript' END AS source FROM {d.plan_blocks})
 SELECT plan_id, count(CASE WHEN source = 'transcript' THEN 1 END) AS transcript, count(CASE WHEN source = 'screen' THEN 1 END) AS screen, count(CASE WHEN source = 'inferred' THEN 1 END) AS inferred, round(100.0 * count(CASE WHEN source <> 'inferred' THEN 1 END) / count(*), 4) AS sourced_percent FROM b GROUP BY plan_id"""),
     Query("content_span", "A14", ["segments", "keyframes"], lambda d: f"""
 WITH k AS (SELECT recording_id, max(ts) AS last_frame, max(CASE WHEN privacy_scanned THEN ts END) AS last_figure FROM {d.keyframes} GROUP BY recording_id),

@@ -113,8 +113,8 @@ i AS (SELECT *, word_idx - row_number() OVER (PARTITION BY image_id, line ORDER
 s AS (SELECT image_id, line, min(word_idx) AS first_word, max(word_idx) AS last_word, count(*) AS n, {d.join('text', ' ', 'word_idx')} AS name FROM i GROUP BY image_id, line, run)
 SELECT image_id, line, first_word, last_word, name FROM s WHERE n BETWEEN 2 AND 4"""),
     Query("egress_gate", "P05", ["keyframes"], lambda d: f"""
-SELECT recording_id, (bool_or(redaction_failed) OR bool_or(NOT privacy_scanned)) AND recording_id % 3 <> 0 AS blocked FROM {d.keyframes} GROUP BY recording_id"""),
+SELECT recording_id, (bool_or(redaction_failed) OR bool_or(NOT privacy_scanned)) AND bool_or(anonymised) AS blocked FROM {d.keyframes} GROUP BY recording_id"""),
     Query("withheld_figures", "P04", ["keyframes"], lambda d: f"""
-SELECT recording_id, CASE WHEN NOT privacy_scanned THEN 'unscanned' WHEN redaction_failed THEN 'redaction_failed' WHEN image_id % 23 = 0 THEN 'sensitive' ELSE 'kept' END AS reason, count(*) AS figures FROM {d.keyframes}
-GROUP BY recording_id, CASE WHEN NOT privacy_scanned THEN 'unscanned' WHEN redaction_failed THEN 'redaction_failed' WHEN image_id % 23 = 0 THEN 'sensitive' ELSE 'kept' END"""),
+SELECT recording_id, CASE WHEN NOT privacy_scanned THEN 'unscanned' WHEN redaction_failed THEN 'redaction_failed' WHEN sensitive THEN 'sensitive' ELSE 'kept' END AS reason, count(*) AS figures FROM {d.keyframes}
+GROUP BY recording_id, CASE WHEN NOT privacy_scanned THEN 'unscanned' WHEN redaction_failed THEN 'redaction_failed' WHEN sensitive THEN 'sensitive' ELSE 'kept' END"""),
 ]
