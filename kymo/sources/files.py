@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures
@@ -113,6 +113,56 @@ def explode_study_replies(replies: DataFrame, parsed: str = "parsed") -> DataFra
     return q.withColumns({"kind": kind, "difficulty": level, "segment_ids": ids, "question": F.col("q.question")}).drop("q")
 
 
+#: Parts of a study reply: its list, the entry's front, its back, and other names of either.
+STUDY_PARTS = {"objective": ("objectives", ["text"], []), "glossary": ("glossary", ["term"], ["definition"]), "question": ("questions", ["q", "question"], ["answer"]), "flashcard": ("flashcards", ["front"], ["back"])}
+
+
+def study_items(replies: DataFrame, column: str = "reply") -> DataFrame:
+    """All items of study replies (S10): ``item_type``, ``item_idx`` in its list, ``front``, ``back``, and of questions ``kind``, ``difficulty``, ``options``, ``explanation``; cited ``segment_ids``.
+
+    A reply is read as a value of any shape, so one entry of a wrong type spoils no other: what isn't an object, or has no front, is left out; numbers
+    and truths become text; unknown kinds are mcq, unknown levels medium; of cited ids those count that are whole numbers. Replies that hold no JSON have no items.
+    """
+    text = F.col(column)
+    fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
+    first = F.when(F.locate("{", text) > 0, F.regexp_extract(text, r"(?s)(\{.*\})", 1))
+    value = F.coalesce(F.try_parse_json(text), F.try_parse_json(fenced), F.try_parse_json(first))
+    got = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
+    said = lambda v, names: F.coalesce(*[F.nullif(got(v, f"$.{n}"), F.lit("")) for n in names], F.lit(None).cast("string"))
+
+    def entries(item_type: str) -> Column:
+        found = F.coalesce(got(F.col("_value"), f"$.{STUDY_PARTS[item_type][0]}", "array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(found, lambda e, k: F.struct(F.lit(item_type).alias("item_type"), k.alias("item_idx"), e.alias("e")))
+
+    lists = [entries(t) for t in STUDY_PARTS]
+    each = replies.withColumn("_value", value).withColumn("_i", F.explode(F.concat(*lists))).drop("_value")
+    e, kind = F.col("_i.e"), F.col("_i.item_type")
+    pick = lambda which: F.coalesce(*[F.when(kind == t, said(e, parts[which])) for t, parts in STUDY_PARTS.items() if parts[which]])
+    question = kind == "question"
+    asked = lambda name: F.lower(F.trim(F.coalesce(said(e, [name]), F.lit(""))))
+    of = lambda name, kinds, other: F.when(question, F.when(asked(name).isin(kinds), asked(name)).otherwise(other))
+    ids = F.transform(F.coalesce(got(e, "$.s", "array<variant>"), F.array().cast("array<variant>")), lambda x: got(x, "$").try_cast("int"))
+    options = F.transform(F.coalesce(got(e, "$.options", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.coalesce(got(x, "$"), F.lit("")))
+    out = each.select(
+        *[c for c in replies.columns if c != column], kind.alias("item_type"), F.col("_i.item_idx").alias("item_idx"), pick(1).alias("front"), F.coalesce(pick(2), F.lit("")).alias("back"),
+        of("kind", ["mcq", "true_false", "short"], "mcq").alias("kind"), of("level", ["easy", "medium", "hard"], "medium").alias("difficulty"), F.when(question, options).alias("options"),
+        F.when(question, F.coalesce(said(e, ["why", "explanation"]), F.lit(""))).alias("explanation"), F.filter(ids, lambda x: x.isNotNull()).alias("segment_ids"),
+    )
+    return out.filter("front IS NOT NULL")
+
+
+def _study_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of replies about the benchmark's texts: every list, entries of wrong types among them."""
+    q = lambda text: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(text, r"[\\\\\"]", " "), r"\s", " "), F.lit('"'))
+    text = F.col("text")
+    reply = F.concat(
+        F.lit('Here it is: {"objectives": [{"text": '), q(F.substring(text, 1, 30)), F.lit(', "s": [1, "2", "x", null]}, "junk", {"text": ""}], "glossary": [{"term": '), q(F.substring(text, 5, 12)), F.lit(', "definition": null}], "questions": [{"question": '), q(F.substring(text, 2, 40)),
+        F.lit(', "kind": " SHORT ", "level": "hardest", "options": [1, "b", null], "answer": true, "why": "", "explanation": "since"}, 7], "flashcards": [{"front": '), q(F.substring(text, 9, 20)), F.lit(', "back": 12}, {"back": "no front"}]} and that is all'),
+    )
+    replies = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("text IS NOT NULL").select("item_id", reply.alias("reply"))
+    return study_items(replies).select("item_id", "item_type", "item_idx", "front", "back", "kind", "difficulty", F.array_join("options", "|").alias("options"), "explanation", F.array_join("segment_ids", ",").alias("segment_ids"))
+
+
 def write_subtitles(cues: DataFrame, path: str, kind: str = "srt") -> None:
     """Captions as text, one folder a recording: number, stamps, at most two lines of 42 characters."""
     sep = "," if kind == "srt" else "."
@@ -182,7 +232,7 @@ def _study_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"ledger_round_trip": _ledger_round_trip, "probe_facts": _probes, "study_replies": _study_replies}
+    return {"ledger_round_trip": _ledger_round_trip, "probe_facts": _probes, "study_replies": _study_replies, "study_items": _study_items}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -190,6 +240,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "ledger_round_trip": f"WITH job_facts AS ({facts}) SELECT seq, job_key AS key, status, duration_seconds AS duration, quality_score AS quality FROM job_facts",
         "probe_facts": "SELECT p_partkey, p_size + 0.5 AS duration_seconds, CASE WHEN p_partkey % 2 = 1 THEN 720 ELSE 1280 END AS width, CASE WHEN p_partkey % 2 = 1 THEN 1280 ELSE 720 END AS height, round(p_partkey * 1000 / 1001.0, 6) AS fps, true AS has_audio FROM part",
+        "study_items": """
+WITH b AS (SELECT item_id, regexp_replace(regexp_replace(text, '[\\\\"]', ' ', 'g'), '\\s', ' ', 'g') AS t FROM benchmark WHERE text IS NOT NULL)
+SELECT item_id, 'objective' AS item_type, 0 AS item_idx, substr(t, 1, 30) AS front, '' AS back, NULL AS kind, NULL AS difficulty, NULL AS options, NULL AS explanation, '1,2' AS segment_ids FROM b
+UNION ALL SELECT item_id, 'glossary', 0, substr(t, 5, 12), '', NULL, NULL, NULL, NULL, '' FROM b
+UNION ALL SELECT item_id, 'question', 0, substr(t, 2, 40), 'true', 'short', 'medium', '1|b|', 'since', '' FROM b
+UNION ALL SELECT item_id, 'flashcard', 0, substr(t, 9, 20), '12', NULL, NULL, NULL, NULL, '' FROM b""",
         "study_replies": "SELECT item_id, 'q' || CAST(item_id AS VARCHAR) AS question, CASE WHEN item_id % 3 = 0 THEN 'mcq' ELSE 'short' END AS kind, 'hard' AS difficulty, CAST(2 AS BIGINT) AS sources FROM benchmark WHERE item_id % 4 <> 3",
     }
 

@@ -172,6 +172,18 @@ def test_fingerprints_of_files(spark, tmp_path):
     assert {r.name for r in files.pending_files(inventory, done).collect()} == {"b.mp4", "c.mp3", "x.au"}
 
 
+def test_study_items_of_all_kinds(spark):
+    replies = [
+        (1, json.dumps({"objectives": [{"text": "know", "s": [3, "4", 5.0, "x"]}, {"text": 7}, {}, None], "flashcards": [{"front": "f", "back": "b"}], "glossary": "none"})),
+        (2, 'so: ```json\n{"questions": [{"q": "why?", "kind": "essay", "options": ["a"], "s": "no list"}]}\n``` done'), (3, "no json"), (4, None), (5, '{"questions": [{"q": "cut'),
+    ]
+    got = files.study_items(spark.createDataFrame(replies, "id int, reply string")).orderBy("id", "item_type", "item_idx").collect()
+    assert [(r.id, r.item_type, r.item_idx, r.front, r.back, r.kind, r.difficulty, r.options) for r in got] == [
+        (1, "flashcard", 0, "f", "b", None, None, None), (1, "objective", 0, "know", "", None, None, None), (1, "objective", 1, "7", "", None, None, None), (2, "question", 0, "why?", "", "mcq", "medium", ["a"]),
+    ]
+    assert got[1].segment_ids[:2] == [3, 4] and got[3].segment_ids == []
+
+
 def test_job_files(spark, tmp_path):
     for k, body in enumerate(['{"status":"completed","progress":1.0}', "{broken"]):
         (tmp_path / f"job{k}").mkdir()
