@@ -7,15 +7,19 @@ holds the recording, so the work is spread by recording and bounded by the longe
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import fixtures
 from ..plans.query import with_views
+from .resemblance import resembling
 
 Rows = list[dict]
 # Fixed values of the shaping rules.
@@ -29,13 +33,43 @@ _ENDS = (".", "!", "?", "؟", "…")
 
 def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[Rows], Iterator[tuple]], schema: str) -> DataFrame:
     """``step`` over each key's rows in order; its tuples are the columns of ``schema`` behind the key."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    return fold_together(rows, key, order, lambda groups: (step(rows) for rows in groups), schema)
 
-    def run(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        found = [(keys[0], *x) for x in step(part.sort_values(order, kind="stable").to_dict("records"))]
-        return pd.DataFrame(found, columns=[key, *names])
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, {schema}")
+def fold_together(rows: DataFrame, key: str, order: list[str], step: Callable[[list[Rows]], Iterable[Iterable[tuple]]], schema: str) -> DataFrame:
+    """``step`` over the rows, in order, of some keys at a time; for each of them its tuples are the columns of ``schema`` behind the key.
+
+    Rows are dealt by key and sorted, and a task walks over them batch by batch, holding a batch and one key's rows at a time:
+    a key costs what its rows cost, however many keys there are.
+    """
+    dealt = rows.repartition(key).sortWithinPartitions(F.col(key), *[F.col(c).asc_nulls_last() for c in order])
+    given = f"{key} {dict(rows.dtypes)[key]}, {schema}"
+    arrow = to_arrow_schema(T.StructType.fromDDL(given))
+
+    def done(groups: list[Rows]) -> Iterator[pa.RecordBatch]:
+        out = [(rows[0][key], *x) for rows, found in zip(groups, step(groups), strict=True) for x in found]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: list[Rows] = []
+        for batch in batches:
+            for r in _records(batch):
+                if not groups or r[key] != groups[-1][-1][key]:
+                    groups.append([])
+                groups[-1].append(r)
+            yield from done(groups[:-1])
+            groups = groups[-1:]
+        yield from done(groups)
+
+    return dealt.mapInArrow(run, given)
+
+
+def _records(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows as dictionaries; a number that is null is no number, and so less than none."""
+    names = batch.schema.names
+    columns = [(c.fill_null(math.nan) if pa.types.is_floating(c.type) and c.null_count else c).to_pylist() for c in batch.columns]
+    return (dict(zip(names, r, strict=True)) for r in zip(*columns, strict=True))
 
 
 def paragraphs(rows: Rows) -> Iterator[tuple]:
@@ -249,14 +283,6 @@ def glossary_budget(limit: int = 400) -> Callable[[Rows], Iterator[tuple]]:
     return step
 
 
-def likeness(a: str, b: str, least: float, matcher) -> bool:
-    """Do two terms resemble each other by sequence matching? Cheap upper bounds come first."""
-    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
-        return False
-    matcher.set_seqs(a, b)
-    return matcher.quick_ratio() >= least and matcher.ratio() >= least
-
-
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters over all characters of two texts, in lower case (no edit distance equals it)."""
@@ -267,18 +293,34 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def fold_misreadings(ratio: float = 0.8) -> Callable[[Rows], Iterator[tuple]]:
     """Terms in rank order, each folded into the first kept one that it resembles; counts add up."""
-    from difflib import SequenceMatcher
+    return lambda rows: iter(folded_together(ratio)([rows])[0])
 
-    def step(rows: Rows) -> Iterator[tuple]:
-        kept: list[list] = []
-        matcher = SequenceMatcher()
-        for r in rows:
-            found = next((k for k in kept if likeness(r["term"].lower(), k[2], ratio, matcher)), None)
-            if found:
-                found[1] += r["n"]
-            else:
-                kept.append([r["term"], r["n"], r["term"].lower()])
-        yield from (tuple(k[:2]) for k in kept)
+
+def folded_together(ratio: float = 0.8) -> Callable[[list[Rows]], list[list[tuple]]]:
+    """``fold_misreadings`` over many keys at a time."""
+
+    def step(groups: list[Rows]) -> list[list[tuple]]:
+        kept: list[dict[int, int]] = [{} for _ in groups]
+        alive = [np.ones(len(rows), bool) for rows in groups]
+        for g, low, high, later, earlier, _ in resembling([[r["term"].lower() for r in rows] for rows in groups], ratio, alive=alive):
+            ends, earlier = np.searchsorted(later, np.arange(low, high + 1)).tolist(), earlier.tolist()
+            for k in range(low, high):
+                into = next((i for i in earlier[ends[k - low] : ends[k - low + 1]] if i in kept[g]), k)
+                kept[g][into] = kept[g].get(into, 0) + groups[g][k]["n"]
+                alive[g][k] = into == k
+        return [[(rows[k]["term"], n) for k, n in found.items()] for rows, found in zip(groups, kept, strict=True)]
+
+    return step
+
+
+def resembling_pairs(ratio: float = 0.8) -> Callable[[list[Rows]], list[list[tuple]]]:
+    """Every two terms of a key, in the order of its rows, that have ``ratio`` or more by sequence matching."""
+
+    def step(groups: list[Rows]) -> list[list[tuple]]:
+        out: list[list[tuple]] = [[] for _ in groups]
+        for g, _, _, later, earlier, found in resembling([[r["term"] for r in rows] for rows in groups], ratio, swap=True):
+            out[g] += [(groups[g][i]["term"], groups[g][k]["term"], x) for k, i, x in zip(later.tolist(), earlier.tolist(), found.round(6).tolist(), strict=True)]
+        return out
 
     return step
 
@@ -351,14 +393,14 @@ def queries() -> dict:
         "raw_paragraphs": lambda s, d: fold(seg(s, d), "recording_id", ["segment_id"], raw_paragraphs, "segments int, text string"),
         "segment_batches": lambda s, d: fold(seg(s, d), "recording_id", ["segment_id"], batches(), "segment_id long, batch int"),
         "timeline_plan": lambda s, d: fold(_events(s, d), "recording_id", ["start_s", "rank", "id"], timeline, "section int, block int, kind string, start_s double, segments int, text string"),
-        "merged_paragraphs": lambda s, d: fold(blocks(s, d), "plan_id", ["block_idx"], merge_short, "section_idx int, block int, kind string, text string"),
-        "merged_sections": lambda s, d: fold(sections(s, d), "plan_id", ["section_idx"], merge_sections, "section_idx int, into_section int"),
-        "video_chapters": lambda s, d: fold(sections(s, d), "plan_id", ["start_s", "section_idx"], chapters, "chapter int, start_s double, title string"),
+        "merged_paragraphs": lambda s, d: fold(blocks(s, d).select("plan_id", "section_idx", "block_idx", "kind", "text"), "plan_id", ["block_idx"], merge_short, "section_idx int, block int, kind string, text string"),
+        "merged_sections": lambda s, d: fold(sections(s, d).select("plan_id", "section_idx", "title", "text"), "plan_id", ["section_idx"], merge_sections, "section_idx int, into_section int"),
+        "video_chapters": lambda s, d: fold(sections(s, d).drop("text"), "plan_id", ["start_s", "section_idx"], chapters, "chapter int, start_s double, title string"),
         "scene_cuts": lambda s, d: fold(_signals(s, d), "recording_id", ["ts"], scene_cuts(), "scene int, ts double, score double, major boolean"),
         "spaced_frames": lambda s, d: fold(_signals(s, d), "recording_id", ["ts"], spaced(), "ts double"),
         "frame_chunks": lambda s, d: fold(said(s, d), "recording_id", ["ts", "image_id"], frame_chunks(), "image_id long, chunk int"),
-        "glossary_budget": lambda s, d: fold(_terms(s, d).withColumn("minus", -F.col("n")), "plan_id", ["minus", "term"], glossary_budget(), "term string, used int"),
-        "folded_misreadings": lambda s, d: fold(_terms(s, d).withColumn("minus", -F.col("n")).withColumn("shorter", -F.length("term")), "plan_id", ["minus", "shorter", "term"], fold_misreadings(), "term string, n long"),
+        "glossary_budget": lambda s, d: fold(_terms(s, d).select("plan_id", "term", (-F.col("n")).alias("minus")), "plan_id", ["minus", "term"], glossary_budget(), "term string, used int"),
+        "folded_misreadings": lambda s, d: fold_together(_terms(s, d).withColumn("minus", -F.col("n")).withColumn("shorter", -F.length("term")), "plan_id", ["minus", "shorter", "term"], folded_together(), "term string, n long"),
         "bootstrap_interval": lambda s, d: bootstrap_interval(_pairs(s, d), "errors", "words"),
         "stable_threshold": lambda s, d: fold(_signals(s, d), "recording_id", ["ts"], stable_threshold, "cuts int, k double, width int"),
     }
@@ -388,14 +430,8 @@ SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY
 
 
 def misread_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of one plan that are readings of each other, with their ratio: candidates share a letter run, and lengths allow the ratio."""
-    terms = _terms(spark, sf_dir).withColumn("size", F.length("term"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("size") - 2)), lambda i: F.substr("term", i, F.lit(3)))
-    keyed = terms.withColumn("run", F.explode(F.array_distinct(runs)))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = (F.col("a.plan_id") == F.col("b.plan_id")) & (F.col("a.run") == F.col("b.run")) & (F.col("a.term") < F.col("b.term")) & (2 * F.least("a.size", "b.size") >= 0.8 * (F.col("a.size") + F.col("b.size")))
-    pairs = a.join(b, near).select(F.col("a.plan_id").alias("plan_id"), F.col("a.term").alias("term"), F.col("b.term").alias("other")).distinct()
-    return pairs.withColumn("ratio", F.round(sequence_ratio("term", "other"), 6)).filter("ratio >= 0.8")
+    """Terms of one plan that are readings of each other, with their ratio."""
+    return fold_together(_terms(spark, sf_dir).drop("n"), "plan_id", ["term"], resembling_pairs(), "term string, other string, ratio double")
 
 
 def losses(known: DataFrame, used: DataFrame, omitted: DataFrame | None, key: str) -> DataFrame:
