@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import fixtures
@@ -75,8 +77,13 @@ def wallet(state: dict, e: dict) -> Iterator[tuple]:
 
 
 def wallet_timers(e: dict) -> list[int]:
-    """When an event's hold may be stale, or its id be forgotten."""
-    return [e["t"] + STALE + 1] if e["op"] == "reserve" else [e["t"] + KEPT + 1] if e["op"] == "settle" else []
+    """When the id of an event's hold may be forgotten."""
+    return [e["t"] + KEPT + 1] if e["op"] == "settle" else []
+
+
+def wallet_pending(state: dict) -> list[int]:
+    """When the holds that are open now are stale: one that is refused, settled or given back needs no timer."""
+    return [t + STALE + 1 for _, (t, _, _) in state["holds"].items()]
 
 
 def wallet_due(state: dict, t: int) -> Iterator[tuple]:
@@ -197,6 +204,7 @@ class Machine:
     values: dict[str, str] = field(default_factory=dict)
     maps: dict[str, str] = field(default_factory=dict)
     timers: Callable[[dict], list[int]] = lambda e: []
+    pending: Callable[[dict], list[int]] = lambda state: []
     due: Callable[[dict, int], Iterator[tuple]] = lambda state, t: iter(())
     at: str | None = None  # the column of event time among what it gives, for a machine behind it
 
@@ -208,7 +216,7 @@ class Machine:
 MACHINES: dict[str, Machine] = {
     "wallet": Machine(
         wallet, "code", "seq long, op string, done boolean, units long, open_holds int", {"units": "long"},
-        {"holds": "t long, take long, seq long", "settled": "t long", "leaving": "names string"}, wallet_timers, wallet_due,
+        {"holds": "t long, take long, seq long", "settled": "t long", "leaving": "names string"}, wallet_timers, wallet_pending, wallet_due,
     ),
     "hourly": Machine(hourly, "code", "seq long, units long, anomaly boolean", {"start": "long", "units": "long"}),
     "licence": Machine(licence, "code", "seq long, verdict string, devices int, since long", {"devices": "json", "since": "long", "moves": "long", "revoked": "boolean"}),
@@ -221,38 +229,65 @@ ALERTS = Machine(alerts, "account", "seq long, day string, kind string, month_mi
 
 
 class StoredMap:
-    """A map of the state as a dictionary whose values are plain, or tuples; only entries that are asked for are read."""
+    """A map of the state as a dictionary whose values are plain, or tuples. Of one call for a key, entries that are asked for
+    are read once, and those that have changed are written once, by ``keep``: each access of the store is a message to another process.
+    """
 
     def __init__(self, cell, width: int):
         self.cell, self.width = cell, width
+        self.fresh()
 
-    def _plain(self, value: tuple):
-        return value[0] if self.width == 1 else tuple(value)
+    def fresh(self) -> StoredMap:
+        """Nothing is known of the entries of the key that comes next."""
+        self.held, self.stored, self.changed, self.whole = {}, set(), set(), False
+        return self
+
+    def _know(self, k: str, value: tuple) -> None:
+        self.stored.add(k)
+        self.held.setdefault(k, value[0] if self.width == 1 else tuple(value))
 
     def __setitem__(self, k: str, value) -> None:
-        self.cell.updateValue((k,), (value,) if self.width == 1 else tuple(value))
+        self.held[k] = value
+        self.changed.add(k)
 
     def get(self, k: str, default=None):
-        found = self.cell.getValue((k,))
-        return default if found is None else self._plain(found)
+        if k not in self.held and not self.whole:
+            found = self.cell.getValue((k,))
+            self.held[k] = None
+            if found is not None:
+                del self.held[k]
+                self._know(k, found)
+        found = self.held.get(k)
+        return default if found is None else found
 
     def pop(self, k: str, default=None):
         found = self.get(k, default)
-        self.cell.removeKey((k,))
+        self[k] = None
         return found
 
     def items(self) -> list[tuple]:
-        return [(k[0], self._plain(v)) for k, v in self.cell.iterator()]
+        if not self.whole:
+            for k, v in self.cell.iterator():
+                self._know(k[0], v)
+            self.whole = True
+        return [(k, v) for k, v in self.held.items() if v is not None]
 
     def __len__(self) -> int:
-        return sum(1 for _ in self.cell.keys())
+        return len(self.items())
+
+    def keep(self) -> None:
+        for k in self.changed:
+            if (v := self.held[k]) is not None:
+                self.cell.updateValue((k,), (v,) if self.width == 1 else tuple(v))
+            elif k in self.stored:
+                self.cell.removeKey((k,))
 
 
 class Stored:
     """State variables of one key, as the dictionary that machines work on. Values are read once and written by ``keep``."""
 
     def __init__(self, machine: Machine, values: dict, maps: dict):
-        self.kinds, self.values, self.maps, self.held = machine.values, values, maps, {}
+        self.kinds, self.values, self.maps, self.held = machine.values, values, {n: m.fresh() for n, m in maps.items()}, {}
 
     def get(self, name: str, default=None):
         if name not in self.held:
@@ -260,7 +295,8 @@ class Stored:
             self.held[name] = None if found is None else json.loads(found[0]) if self.kinds[name] == "json" else found[0]
         return default if self.held[name] is None else self.held[name]
 
-    __getitem__ = get
+    def __getitem__(self, name: str):
+        return self.maps[name] if name in self.maps else self.get(name)
 
     def __setitem__(self, name: str, value) -> None:
         self.held[name] = value
@@ -275,6 +311,8 @@ class Stored:
         for name, value in self.held.items():
             if value is not None:
                 self.values[name].update((json.dumps(value) if self.kinds[name] == "json" else value,))
+        for stored in self.maps.values():
+            stored.keep()
 
 
 class Keeper(StatefulProcessor):
@@ -294,9 +332,11 @@ class Keeper(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state, out = Stored(self.machine, self.values, self.maps), []
         timers = set()
-        for e in _clean(pd.concat(list(rows))):
+        parts = list(rows)
+        for e in _clean(parts[0] if len(parts) == 1 else pd.concat(parts)):
             out += played(self.machine, state, e)
             timers.update(self.machine.timers(e))
+        timers.update(self.machine.pending(state))
         state.keep()
         for t in timers:
             self.handle.registerTimer(t * 1000)
@@ -322,20 +362,42 @@ def played(machine: Machine, state: dict, e: dict) -> Iterator[tuple]:
 
 
 def _clean(rows: pd.DataFrame) -> list[dict]:
-    rows = rows.sort_values("seq", kind="stable")
-    return [{k: (None if v is None or v != v else int(v) if k == "hold_id" else v) for k, v in r.items()} for r in rows.to_dict("records")]
+    return sorted(_plain(rows.columns, [rows[c].astype(object).tolist() for c in rows.columns]), key=lambda e: e["seq"])
 
 
-def replay(events: DataFrame, machine: Machine, until: int | None = None) -> DataFrame:
-    """A machine over a whole log; ``until``: the second up to which timers have gone off."""
+def _plain(names: Iterable[str], columns: list[list]) -> Iterator[dict]:
+    """Events as dictionaries: no number is null, and a hold's id is whole."""
+    columns = [[None if v is None or v != v else int(v) if c == "hold_id" else v for v in column] for c, column in zip(names, columns, strict=True)]
+    return (dict(zip(names, e, strict=True)) for e in zip(*columns, strict=True))
 
-    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state: dict = {}
-        found = [out for e in _clean(rows) for out in played(machine, state, e)]
-        found += machine.due(state, until) if until is not None else []
-        return pd.DataFrame([(keys[0], *out) for out in found], columns=machine.columns)
 
-    return events.groupBy(machine.key).applyInPandas(run, f"{machine.key} {dict(events.dtypes)[machine.key]}, {machine.gives}")
+def replay(events: DataFrame, machine: Machine, until: int | None = None) -> DataFrame:
+    """A machine over a whole log; ``until``: the second up to which timers have gone off.
+
+    Events are dealt by key and sorted, and a task walks over them with the state of one key at a time, so memory is that of a state.
+    """
+    given = f"{machine.key} {dict(events.dtypes)[machine.key]}, {machine.gives}"
+    arrow = to_arrow_schema(T.StructType.fromDDL(given))
+
+    def frame(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        ended = lambda: [(key, *x) for x in machine.due(state, until)] if state is not None and until is not None else []
+        for batch in batches:
+            out: list[tuple] = []
+            for e in _plain(batch.schema.names, [c.to_pylist() for c in batch.columns]):
+                if state is None or e[machine.key] != key:
+                    out += ended()
+                    key, state = e[machine.key], {}
+                out += [(key, *x) for x in played(machine, state, e)]
+            if out:
+                yield frame(out)
+        if out := ended():
+            yield frame(out)
+
+    return events.repartition(machine.key).sortWithinPartitions(machine.key, F.col("seq").asc_nulls_last()).mapInArrow(run, given)
 
 
 def last_watermark(log: DataFrame, delay: int = DELAY) -> int | None:
