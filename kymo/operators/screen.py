@@ -19,6 +19,14 @@ def _lines(d) -> str:
     return _LINES.format(text=d.join("text", " ", "word_idx"), ocr_words=d.ocr_words)
 
 
+def _name_lines(d) -> str:
+    """Lines of which every word may be part of a name; texts of other words are not kept, so they are neither shuffled nor sorted."""
+    if not d.spark:
+        return _lines(d)
+    part = d.matches("text", "^[A-Z][a-z]+(?: [A-Z][a-z]+)*[.]?$")
+    return f"lines AS (SELECT image_id, line, {d.join(f'CASE WHEN {part} THEN text END', ' ', 'word_idx')} AS text FROM {d.ocr_words} GROUP BY image_id, line HAVING count(CASE WHEN NOT {part} THEN 1 END) = 0)"
+
+
 def _ids(d) -> str:
     """Words with their centre, their digits, and whether they are identifiers."""
     return f"""w AS (SELECT *, left_px + width_px / 2.0 AS centre, {d.size(d.found('text', '[0-9]'))} AS digits, length({d.replace('text', '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '')}) AS body FROM {d.ocr_words}),
@@ -56,7 +64,7 @@ SELECT doc_id AS image_id, {d.matches('lower(text)', _STRONG)} AS strong, {d.mat
     Query("url_tokens", "P08", ["ocr_words"], lambda d: f"""
 SELECT image_id, line, word_idx, {d.replace("lower(text)", '^(?:https?://)?(?:www[.])?', '')} AS tail, {d.matches('text', '^(?:[A-Za-z]:|/|~)[^ ]+/')} AS is_path FROM {d.ocr_words} WHERE {d.matches('lower(text)', _URL)}"""),
     Query("person_names", "P09", ["ocr_words"], lambda d: f"""
-WITH {_lines(d)}
+WITH {_name_lines(d)}
 SELECT image_id, line, text FROM lines WHERE {d.matches('text', '^[A-Z][a-z]+ [A-Z][a-z]+(?: [A-Z][a-z]+)?(?: [A-Z][a-z]+)?[.]?$')} AND NOT {d.matches('lower(text)', '(^| )(file|edit|view|save|open|help|search|settings)( |$)')}"""),
     Query("scrubbed_logs", "P23", ["documents"], _scrubbed, sql=r"""
 WITH a AS (SELECT doc_id, regexp_replace(text, '(?i)(bearer\s+)[A-Za-z0-9._~+/-]+', '\1[REDACTED]', 'g') AS t FROM documents),
