@@ -32,6 +32,7 @@ from itertools import chain, count
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,9 @@ B_BITS = 32
 #: At most so many pairs can hold 1/HOT of all rows of (document, pair) each.
 HOT = 65_536
 #: Bytes that a worker's memory of units may take, and what one takes beside its own and its groups' bytes.
-MEMORY, EACH = 90_000_000, 420
+MEMORY, EACH = 45_000_000, 420
+#: Bytes of pairs that a worker counts or looks up at once.
+PORTION = 1 << 22
 #: Units that go to the libraries as one text.
 AT_ONCE = 4000
 #: Share of the memory's units, those used most, that is kept when it is full.
@@ -252,11 +255,21 @@ def _portions(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[range, lis
         yield range(begin, begin + len(held)), held
 
 
+def pair_portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``aligned`` whose pairs, in a column, take some ``PORTION`` bytes. The worker aligns no more, so its aligner goes first."""
+    aligner.cache_clear()
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // PORTION)) + 1).tolist(), b.num_rows]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            yield b.slice(begin, end - begin)
+
+
 def pair_counts(found: DataFrame) -> DataFrame:
     """(``pair``, ``n``, ``best``): in how many documents a pair is linked, and whether no pair of its A id has more. Written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pair_portions(batches, 0):
             joined = b"".join(byte_values(b.column(0)))
             pairs, n = np.unique(np.frombuffer(joined, "<i8"), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
@@ -279,7 +292,7 @@ def totals(found: DataFrame) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch], cold: bool) -> Iterator[pa.RecordBatch]:
         known, n, best = held.value
-        for b in batches:
+        for b in pair_portions(batches, 1):
             raw = list(byte_values(b.column(1)))
             pairs = np.frombuffer(b"".join(raw), "<i8")
             times = np.frombuffer(b"".join(byte_values(b.column(2))), "<i8")

@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -132,3 +134,15 @@ def test_empty_tables_and_null_ids(spark):
     assert sorted((r.doc_id is None, r.n_links, r.count_sum) for r in rows) == [(False, 0, 0), (True, 2, 4), (True, 2, 4)]
     named = alignment.compare(df.withColumnRenamed("doc_id", "id").withColumn("id", F.lit("x")), id_col="id")
     assert named.columns[0] == "id" and named.schema["id"].dataType.simpleString() == "string"
+
+
+def test_pairs_are_read_in_portions_and_the_aligner_goes(monkeypatch):
+    monkeypatch.setattr(alignment, "PORTION", 80)
+    alignment.aligner(alignment.BYTE_LEVEL, alignment.PIECES)
+    raw = [np.arange(n).astype("<i8").tobytes() for n in (3, 0, 30, 1, 1, 9, 2)] + [None]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(raw, pa.binary())], names=["row", "pairs"])] * 2 + [pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["row", "pairs"])]
+    parts = list(alignment.pair_portions(iter(batches), 1))
+    assert [r for p in parts for r in p.column(0).to_pylist()] == [*range(8)] * 2 and len(parts) > 6
+    sizes = [[len(x or b"") for x in p.column(1).to_pylist()] for p in parts]
+    assert all(sum(x) - max(x, default=0) < 80 for x in sizes)
+    assert alignment.aligner.cache_info().currsize == 0
