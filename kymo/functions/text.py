@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures
+from .titles import let
 
 # Letters and phrases of the transcripts' language.
 TATWEEL = "ـ"
@@ -60,8 +61,10 @@ def fold(text: Column) -> Column:
 
 
 def runs(words: Column, n: Column) -> Column:
-    """All runs of n words, joined."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """All runs of n words, joined. The words are computed once, not for each run."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    joined = lambda w, k: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array().cast("array<string>"))
+    return let(F.struct(words.alias("w"), n.alias("n")), lambda s: joined(s["w"], s["n"]))
 
 
 def strip_prompt_echo(text: Column, prompt: Column, least: int = 4, share: float = 0.7) -> Column:
@@ -80,7 +83,8 @@ def strip_prompt_echo(text: Column, prompt: Column, least: int = 4, share: float
 def jaccard3(a: Column, b: Column) -> Column:
     """Jaccard of the three-word runs of two texts."""
     x, y = (F.array_distinct(runs(F.split(fold(t), " "), F.lit(3))) for t in (a, b))
-    return F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y)))
+    sizes = let(F.struct(x.alias("x"), y.alias("y")), lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("both"), (F.size(s["x"]) + F.size(s["y"])).alias("all")))
+    return let(sizes, lambda n: F.try_divide(n["both"], n["all"] - n["both"]))
 
 
 def shuffled_options(question: Column, options: Column) -> Column:
