@@ -17,7 +17,7 @@ KNOWN_PHRASES = (
     r"(?:لا\s+تنس(?:وا|ى)\s+)?(?:ال)?اشترا?ك(?:وا)?\s+(?:في|ب)\s*القناة(?!\s+(?:ال[ء-ي]+|الخاص|التي|اللي|بتاع|دي|هذه))(?:\s+(?:و\s*)?(?:تفعيل\s+)?(?:زر\s+)?الجرس)?",
     rf"شكر{_MARKS}ا?{_MARKS}\s+(?:لكم\s+)?(?:على|ل)\s*(?:ال|ل)?مشاهدة",
     r"(?i)subtitles\s+by\s+the\s+amara\.org\s+community",
-    r"[^.،؛!؟]*صفحتنا\s+ليصل(?:ك|كم)\s+كل\s+جديد",
+    r"(?:^|\G|(?<=[.،؛!؟]))[^.،؛!؟]*صفحتنا\s+ليصل(?:ك|كم)\s+كل\s+جديد",
 )
 TRUE, FALSE = ("صح", "صحيح", "نعم", "true", "t", "1"), ("خطأ", "خطا", "غير صحيح", "لا", "false", "f", "0")
 _REPEAT = r"(?U)\b(.{4,40}?)(?:\s+\1(?!\w)){2,}"
@@ -41,18 +41,26 @@ def collapse_repeats(text: Column, passes: int = 10) -> Column:
 
     Every pass that changes a nested repeat makes it at least three times shorter, so ten settle texts of 4 * 3**10 characters.
     """
-    for _ in range(passes):
-        text = F.regexp_replace(text, _REPEAT, "$1")
-    return text
+
+    def again(t: Column, left: int) -> Column:
+        return let(F.regexp_replace(t, _REPEAT, "$1"), lambda u: F.when(u == t, u).otherwise(again(u, left - 1))) if left else t
+
+    return let(text, lambda t: again(t, passes))
 
 
 def strip_known_phrases(text: Column) -> Column:
     """Phrases that recognisers make up over silence go, and punctuation that is then alone."""
-    out = text
-    for p in KNOWN_PHRASES:
-        out = F.regexp_replace(out, f"(?U){p}", " ")
-    tidy = F.trim(F.regexp_replace(F.regexp_replace(out, r"(^|\s)[،.؛!؟,]+(?=\s|$)", "$1"), r"(?U)\s+", " "))
-    return F.when(out == text, text).otherwise(F.regexp_replace(tidy, "^[ ،,]+|[ ،,]+$", ""))
+
+    def without(t: Column) -> Column:
+        for p in KNOWN_PHRASES:
+            t = F.regexp_replace(t, f"(?U){p}", " ")
+        return t
+
+    def tidy(t: Column) -> Column:
+        spaced = F.trim(F.regexp_replace(F.regexp_replace(t, r"(^|\s)[،.؛!؟,]+(?=\s|$)", "$1"), r"(?U)\s+", " "))
+        return F.regexp_replace(spaced, "^[ ،,]+|[ ،,]+$", "")
+
+    return let(text, lambda t: let(without(t), lambda out: F.when(out == t, t).otherwise(tidy(out))))
 
 
 def fold(text: Column) -> Column:
@@ -69,15 +77,15 @@ def runs(words: Column, n: Column) -> Column:
 
 def strip_prompt_echo(text: Column, prompt: Column, least: int = 4, share: float = 0.7) -> Column:
     """Sentences of which a run of ``least`` words and ``share`` of all words stands in the prompt go."""
-    hay = F.concat(F.lit(" "), fold(prompt), F.lit(" "))
 
-    def echoes(sentence: Column) -> Column:
-        words = F.split(fold(sentence), " ")
+    def echoes(words: Column, hay: Column) -> Column:
         n = F.greatest(F.lit(least), F.ceil(F.size(words) * share).cast("int"))
         return F.exists(runs(words, n), lambda run: F.contains(hay, F.concat(F.lit(" "), run, F.lit(" "))))
 
-    kept = F.filter(F.split(text, r"(?<=[.!?؟])\s+"), lambda s: ~echoes(s))
-    return F.trim(F.array_join(kept, " "))
+    def kept(hay: Column) -> Column:
+        return F.filter(F.split(text, r"(?<=[.!?؟])\s+"), lambda s: ~let(F.split(fold(s), " "), lambda words: echoes(words, hay)))
+
+    return F.trim(F.array_join(let(F.concat(F.lit(" "), fold(prompt), F.lit(" ")), kept), " "))
 
 
 def jaccard3(a: Column, b: Column) -> Column:
