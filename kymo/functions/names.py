@@ -14,6 +14,7 @@ from .titles import any_text, let
 NAME, LOWER_NAME = r"^[A-Z][A-Za-z'\-]{1,}$", r"^[a-z][a-z'\-]{2,}$"
 TRUNCATED = r"^(?:[A-Z][A-Za-z'\-]{1,14}(?:\.{2,}|…)|(?:\.{2,}|…)[A-Za-z'\-]{1,14})$"
 SURNAME = r"(?i)^(?:al|el|abu|bin|abd|ibn)[a-z]{3,}$"
+MAY_BE_SURNAME = r"(?i)(?<![a-z])(?:al|el|abu|bin|abd|ibn)[a-z]{3}"
 MARKS = r"[.,:;()\[\]!|]"
 AMBIGUOUS = "asia dana hala nada amal jana mona hayat bayan noor nour reem lama haya".split()
 NOT_SURNAMES = """
@@ -62,6 +63,11 @@ def _is_person(words: Column, first_names: Sequence[str]) -> Column:
     return F.exists(words, lambda w: _is_known(w, first_names) | (w.rlike(SURNAME) & ~F.lower(w).isin(NOT_SURNAMES)))
 
 
+def _may_hold_person(text: Column, first_names: Sequence[str]) -> Column:
+    """False only for texts of which no word is a person's by ``_is_person``: what is cheap to see of a text before it is cut into words."""
+    return F.lit(True) if first_names else text.rlike(MAY_BE_SURNAME)
+
+
 def is_name_line(words: Column, first_names: Sequence[str] = ()) -> Column:
     """Two to four words shaped like names, none of a user interface, one of them a known first name or shaped like a surname."""
     shaped = F.forall(words, lambda w: (w.rlike(NAME) | w.rlike(LOWER_NAME)) & (F.length(w) >= 3) & ~F.lower(w).isin(UI_WORDS))
@@ -74,10 +80,11 @@ def looks_like_person_name(text: Column, first_names: Sequence[str] = ()) -> Col
     def of(words: Column) -> Column:
         windows = lambda n: F.exists(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: is_name_line(F.slice(words, i, n), first_names))
         clear = F.exists(words, lambda w: w.rlike(NAME) & _is_known(w, first_names) & ~F.lower(w).isin(AMBIGUOUS))
-        return clear | windows(4) | windows(3) | windows(2)
+        return _is_person(words, first_names) & (clear | windows(4) | windows(3) | windows(2))
 
-    cut = F.exists(F.split(any_text(text), r"(?U)\s+"), is_truncated)
-    return cut | let(_tokens(text), of)
+    whole = any_text(text)
+    cut = whole.rlike(r"\.\.|…") & F.exists(F.split(whole, r"(?U)\s+"), is_truncated)
+    return cut | (_may_hold_person(whole, first_names) & let(_tokens(text), of))
 
 
 def is_noise_term(term: Column, origin: Column, first_names: Sequence[str] = ()) -> Column:

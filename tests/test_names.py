@@ -1,5 +1,7 @@
 """Names, noise terms and nested plans on cases with known results."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from kymo.functions import names, plans
@@ -40,3 +42,22 @@ def test_plans_that_cannot_be_read_have_no_blocks(spark):
     want = [(1, 0, 0, "figure", "a", 1.5, None), (1, 2, 1, None, "b", None, None)]
     assert [tuple(r) for r in spark.sql("SELECT plan_id, e.* FROM odd_plans, LATERAL explode_plan(plan) e ORDER BY block_idx").collect()] == want
     assert sorted(map(tuple, plans.flat(df).collect())) == want
+
+
+def test_what_is_seen_before_a_text_is_cut_hides_no_name(spark):
+    rng = random.Random(5)
+    parts = ["Alsaimi", "abu", "(Alharbi)", "also", "Binladen;", "ABDULLAH", "Omar", "Mohamed.", "View", "x", "al", "El-Sayed", "[elsayed", "Sara", "Mo...", "…ab", "..", " Ibnamin", "malsaimi"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(0, 7))) for _ in range(600)]
+    for known in ([], KNOWN):
+
+        def plain(t, known=known):
+            words = names._tokens(t)
+            at = lambda n: F.exists(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: names.is_name_line(F.slice(words, i, n), known))
+            windows = [at(n) for n in (4, 3, 2)]
+            clear = F.exists(words, lambda w: w.rlike(names.NAME) & names._is_known(w, known) & ~F.lower(w).isin(names.AMBIGUOUS))
+            return F.exists(F.split(t, r"(?U)\s+"), names.is_truncated) | clear | windows[0] | windows[1] | windows[2]
+
+        got = values(spark, lambda t, known=known: names.looks_like_person_name(t, known), texts)
+        assert got == values(spark, plain, texts) and 50 < sum(got) < 550
+        seen = values(spark, lambda t, known=known: names._may_hold_person(t, known), texts)
+        assert known or not all(seen)
