@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures
+from ..operators.lines import lines as lines_of
+from ..operators.lines import words_in_order
 from .titles import any_text, let
 
 # Shapes of names, and words of user interfaces.
@@ -60,7 +62,11 @@ def _is_known(word: Column, first_names: Sequence[str]) -> Column:
 
 
 def _is_person(words: Column, first_names: Sequence[str]) -> Column:
-    return F.exists(words, lambda w: _is_known(w, first_names) | (w.rlike(SURNAME) & ~F.lower(w).isin(NOT_SURNAMES)))
+    return F.exists(words, lambda w: _is_person_word(w, first_names))
+
+
+def _is_person_word(word: Column, first_names: Sequence[str]) -> Column:
+    return _is_known(word, first_names) | (word.rlike(SURNAME) & ~F.lower(word).isin(NOT_SURNAMES))
 
 
 def _may_hold_person(text: Column, first_names: Sequence[str]) -> Column:
@@ -108,8 +114,9 @@ def name_spans(words: DataFrame, first_names: Sequence[str] = ()) -> DataFrame:
     From left to right, the longest window of four, three or two words that is a name, carried on over neighbours that are
     shaped like names; words of one name are in no other. Cut display names stand alone or with a neighbour.
     """
-    lines = words.groupBy("image_id", "line").agg(F.array_sort(F.collect_list(F.struct("word_idx", "text"))).alias("w"))
-    lines = lines.select("image_id", "line", F.transform("w", lambda x: x["word_idx"]).alias("at"), F.transform("w", lambda x: _bare(x["text"])).alias("t"), F.transform("w", lambda x: is_truncated(F.trim(x["text"]))).alias("cut"))
+    may_begin = (F.col("text").rlike(r"\.\.|…") & is_truncated(F.trim("text"))) | (_may_hold_person(F.col("text"), first_names) & _is_person_word(_bare(F.col("text")), first_names))  # a line without such a word holds no name
+    lines = lines_of(words, hit=may_begin).filter("hit").withColumn("w", words_in_order(F.col("runs")))
+    lines = lines.select("image_id", "line", F.transform("w", lambda x: x["word_idx"].cast(words.schema["word_idx"].dataType)).alias("at"), F.transform("w", lambda x: _bare(x["text"])).alias("t"), F.transform("w", lambda x: is_truncated(F.trim(x["text"]))).alias("cut"))
     like = F.transform("t", lambda w: (w.rlike(NAME) | w.rlike(LOWER_NAME)) & (F.length(w) >= 3) & ~F.lower(w).isin(UI_WORDS))
     lines = lines.withColumn("like", like).withColumn("n", F.size("t"))
     span = "struct<a: int, z: int>"

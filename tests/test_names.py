@@ -61,3 +61,10 @@ def test_what_is_seen_before_a_text_is_cut_hides_no_name(spark):
         assert got == values(spark, plain, texts) and 50 < sum(got) < 550
         seen = values(spark, lambda t, known=known: names._may_hold_person(t, known), texts)
         assert known or not all(seen)
+
+
+def test_lines_without_a_word_of_a_name_are_left_out_before_they_are_walked(spark):
+    rows = [(1, 0, 0, "Omar"), (1, 0, 1, "Alsaimi,"), (1, 1, 0, "plain"), (1, 1, 1, "words"), (1, 2, 0, "Moha..."), (1, 2, 1, None), (1, 3, 0, None)]
+    found = names.name_spans(spark.createDataFrame(rows, "image_id int, line int, word_idx int, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 0, 1, "Omar Alsaimi"), (1, 2, 0, 0, "Moha")]
+    assert "max(hit" in found._jdf.queryExecution().optimizedPlan().toString()
