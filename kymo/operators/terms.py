@@ -8,13 +8,21 @@ from ..plans.query import Query
 _STOP = "('the', 'and', 'of', 'to', 'in', 'is', 'that', 'it', 'for', 'was', 'with', 'this', 'are', 'from', 'by', 'on', 'at', 'be')"
 
 
+# Two to four Latin words.
+_RUN = "[A-Za-z]{3,}(?: [A-Za-z]{3,}){1,3}"
+
+
 def _runs(d) -> str:
     """Runs of two to four Latin words on a screen line."""
-    return f"""r AS (SELECT plan_id, block_idx, run FROM {d.unnest("(SELECT plan_id, block_idx, " + d.found('text', '[A-Za-z]{3,}(?: [A-Za-z]{3,}){1,3}') + " AS runs FROM " + d.plan_blocks + ") q", 'runs', 'run', 'i')} x)"""
+    return f"""r AS (SELECT plan_id, block_idx, run FROM {d.unnest("(SELECT plan_id, block_idx, " + d.found('text', _RUN) + " AS runs FROM " + d.plan_blocks + ") q", 'runs', 'run', 'i')} x)"""
+
+
+def _cut(d, text: str) -> str:
+    return d.split(d.replace(f"lower({text})", "[^a-z ]+", " "))
 
 
 def _words(d, source: str, key: str, text: str) -> str:
-    return d.unnest(f"(SELECT {key}, {d.split(d.replace(f'lower({text})', '[^a-z ]+', ' '))} AS ws FROM {source}) q", "ws", "w", "i")
+    return d.unnest(f"(SELECT {key}, {_cut(d, text)} AS ws FROM {source}) q", "ws", "w", "i")
 
 
 def _items(d) -> str:
@@ -23,10 +31,11 @@ def _items(d) -> str:
  trim(substr(text, 1, 24)) AS front, trim(substr(text, 10, 40)) AS answer, block_idx - block_idx % 4 AS cited FROM {d.plan_blocks})"""
 
 
-#: The first 25 that aren't whole words of a term accepted before them: a fold over the candidates of one plan.
-_ACCEPTED = """k AS (SELECT plan_id, aggregate(array_sort(collect_list(struct(origin, CAST(place AS BIGINT) AS place, term))), CAST(array() AS ARRAY<STRUCT<origin: INT, place: BIGINT, term: STRING>>),
- (kept, x) -> CASE WHEN size(kept) < 25 AND NOT exists(kept, y -> contains(concat(' ', y.term, ' '), concat(' ', x.term, ' '))) THEN concat(kept, array(x)) ELSE kept END) AS kept FROM f WHERE rn = 1 GROUP BY plan_id)
-SELECT plan_id, x.term, CASE x.origin WHEN 1 THEN 'screen' ELSE 'frequency' END AS origin FROM k LATERAL VIEW explode(kept) e AS x"""
+#: The first 25 that aren't whole words of a term accepted before them: a fold over the candidates of one plan, each with a space at both ends. A term
+#: that comes again is part of itself, or of what kept it out, so candidates need not be distinct.
+_ACCEPTED = """k AS (SELECT plan_id, aggregate(sort_array(flatten(collect_list(terms))), CAST(array() AS ARRAY<STRUCT<origin: INT, place: BIGINT, term: STRING>>),
+ (kept, x) -> CASE WHEN size(kept) < 25 AND NOT exists(kept, y -> contains(y.term, x.term)) THEN concat(kept, array(x)) ELSE kept END) AS kept FROM u GROUP BY plan_id)
+SELECT plan_id, trim(x.term) AS term, CASE x.origin WHEN 1 THEN 'screen' ELSE 'frequency' END AS origin FROM k LATERAL VIEW explode(kept) e AS x"""
 
 QUERIES = [
     Query("screen_terms", "A17", ["plan_blocks"], lambda d: f"WITH {_runs(d)} SELECT lower(run) AS term, count(*) AS n FROM r WHERE NOT {d.matches('run', 'https?|www')} GROUP BY lower(run) HAVING count(*) >= 2"),
@@ -39,10 +48,8 @@ WITH {_runs(d)} SELECT DISTINCT lower(run) AS term, {d.size(d.split('run'))} > 4
 WITH {_runs(d)}, c AS (SELECT plan_id, lower(run) AS term, count(*) AS n FROM r GROUP BY plan_id, lower(run)), k AS (SELECT *, sum(CASE WHEN n >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id) AS repeated FROM c)
 SELECT plan_id, term, n, row_number() OVER (PARTITION BY plan_id ORDER BY n DESC, length(term) DESC, term) AS place FROM k WHERE n >= 2 OR repeated < 3"""),
     Query("glossary_candidates", "U02 U04", ["plan_blocks", "documents"], lambda d: f"""
-WITH {_runs(d)},
-u AS (SELECT plan_id, lower(run) AS term, 1 AS origin, min(block_idx) AS place FROM r GROUP BY plan_id, lower(run)
-      UNION ALL SELECT doc_id, lower(w), 2, min(i) FROM {_words(d, d.documents, 'doc_id', 'text')} x WHERE length(w) > 7 GROUP BY doc_id, lower(w)),
-f AS (SELECT *, row_number() OVER (PARTITION BY plan_id, term ORDER BY origin) AS rn FROM u),
+WITH u AS (SELECT plan_id, transform({d.found('text', _RUN)}, run -> struct(1 AS origin, CAST(block_idx AS BIGINT) AS place, concat(' ', lower(run), ' ') AS term)) AS terms FROM {d.plan_blocks}
+      UNION ALL SELECT doc_id, filter(transform({_cut(d, 'text')}, (w, i) -> CASE WHEN length(w) > 7 THEN struct(2 AS origin, CAST(i + 1 AS BIGINT) AS place, concat(' ', w, ' ') AS term) END), x -> x IS NOT NULL) FROM {d.documents}),
 {_ACCEPTED}""", sql="""
 WITH runs AS (SELECT plan_id, block_idx, unnest(regexp_extract_all(text, '[A-Za-z]{3,}(?: [A-Za-z]{3,}){1,3}')) AS run FROM plan_blocks),
 ws AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '[^a-z ]+', ' ', 'g'), ' ')) AS w, generate_subscripts(string_split(regexp_replace(lower(text), '[^a-z ]+', ' ', 'g'), ' '), 1) AS i FROM documents),
