@@ -4,7 +4,7 @@ import random
 import re
 
 from kymo import fixtures
-from kymo.operators import terms
+from kymo.operators import plan, terms
 
 from .test_queries import SF
 
@@ -27,8 +27,8 @@ def found(spark, q, blocks, docs, parts):
 
 
 def exchanges(spark, q):
-    plan = q.on(spark, **{name: fixtures.view(spark, SF, name) for name in q.inputs})._jdf.queryExecution().executedPlan().toString()
-    return plan.count("Exchange hashpartitioning"), plan.count("Window [")
+    shown = q.on(spark, **{name: fixtures.view(spark, SF, name) for name in q.inputs})._jdf.queryExecution().executedPlan().toString()
+    return shown.count("Exchange hashpartitioning"), shown.count("Window [")
 
 
 def glossary(blocks, docs):
@@ -59,3 +59,24 @@ def test_glossaries_of_odd_rows(spark):
 
 def test_a_glossary_moves_an_array_for_each_text(spark):
     assert exchanges(spark, query(terms, "glossary_candidates")) == (1, 0)  # three, and a window, when each word was a row
+
+
+def unsupported(blocks, docs):
+    tokens = lambda text: {x.lower() for x in re.findall("[A-Za-z]{4,}|[0-9]+", text or "")}
+    said, seen = {}, {}
+    for rows, out in (([(p, t) for p, _, t in blocks], said), (docs, seen)):
+        for key, text in rows:
+            out.setdefault(key, set()).update(tokens(text))
+    return sorted(((key, len(of - (set() if key is None else seen.get(key, set())))) for key, of in said.items() if of), key=str)
+
+
+def test_unsupported_tokens_of_odd_rows(spark):
+    words = ["Form", "form", "FORMS", "x12y", "12", "0", "der", "Überprüfung", "a-b", "lists", *(f"word{chr(97 + k)}" for k in range(26))]
+    for seed, parts in ((4, 1), (5, 5), (6, 3)):
+        blocks, docs = tables(seed, words)
+        blocks += [(99, 0, "a b"), (98, 0, None), (97, 0, "alone 1 alone 1")]  # no token, no text, no document
+        assert found(spark, query(plan, "unsupported_tokens"), blocks, docs, parts) == unsupported(blocks, docs)
+
+
+def test_unsupported_tokens_move_a_row_for_each_text(spark):
+    assert exchanges(spark, query(plan, "unsupported_tokens"))[0] == 1
