@@ -89,6 +89,34 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from batches sorted by ``keys``, some batch together, with the number of each row's group."""
+    held: list[pa.RecordBatch] = []
+
+    def numbered(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts)
+        return table, np.concatenate(([0], np.cumsum(_changes([table.column(k).to_numpy() for k in keys]))))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        begins = held and any(b.column(k)[0] != held[-1].column(k)[held[-1].num_rows - 1] for k in keys)
+        cuts = np.flatnonzero(_changes([b.column(k).to_numpy(zero_copy_only=False) for k in keys])) + 1
+        cut = int(cuts[-1]) if len(cuts) else 0
+        if cut:
+            yield numbered([*held, b.slice(0, cut)])
+        elif begins:
+            yield numbered(held)
+        held = [b.slice(cut)] if cut or begins else [*held, b]
+    if held:
+        yield numbered(held)
+
+
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Whether each row but the first differs from the one before."""
+    return np.logical_or.reduce([v[1:] != v[:-1] for v in columns])
+
+
 def texts_of(rows: DataFrame, chosen: list[int]) -> dict[int, bytes]:
     """The texts (column ``bytes``) whose hash is among ``chosen``, each once however often it occurs; the list's length is the bound."""
     few = rows.sparkSession.createDataFrame([(h,) for h in chosen], "hash long")

@@ -7,11 +7,11 @@ Pieces have ``LEAST_UNIT`` words or more. Each unit has a MinHash of its five-wo
 one row: a pair of a Jaccard of 0.8 meets in some band with 1 - 0.2**bands. Paragraphs have ``PARAGRAPH_BANDS`` (0.9997),
 pieces ``BANDS``: a passage has several of them, equal ones always meet.
 
-1. Every band key is counted, with partial counts in each task. Up to ``BITMAP_KEYS`` keys met twice or more set bits of a
+1. Every band key is looked for a second time, in parts by its last bits. Up to ``BITMAP_KEYS`` keys met twice or more set bits of a
    bitmap that is broadcast (at most one bit in eight is set; a key may be let through by chance, never held back); more
    of them meet the units in a shuffle.
 2. Units with such a key are kept with their shingles; equal ones are one class.
-3. Classes that share a key are compared by exact Jaccard (``links_in_groups``: groups of any size, no pair list).
+3. Classes that share a key are compared by exact Jaccard: pairs that share one of their rarest shingles (``class_links``: groups of any size).
 4. Connected components over classes; a component in two or more documents repeats. Neighbouring repeated units of a
    document are one span. A gap of up to ``BRIDGE`` words, as a changed word leaves, is bridged where the units on both
    sides were first seen in one document at one distance; of such a span ``COVERED`` must be repeated units. Spans of fewer
@@ -32,15 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_values, discard, table, utf8, written
-from .components import Forest, components, links_in_groups
+from .common import byte_values, discard, groups, table, utf8, written
+from .components import Forest, components, heavy, links_of_many_groups, trees
 
 SHINGLE, RADIUS, BANDS, PARAGRAPH_BANDS, JACCARD = 5, 4, 2, 5, 0.8
 LEAST_UNIT, LEAST, BRIDGE, COVERED = 5, 30, 32, 0.45
-#: Bits of the bitmap of repeated keys (16 MB), and the keys that it takes at most.
-SLOTS = 27
-BITMAP_KEYS = 1 << SLOTS >> 3
-_BLOCK = 1 << 19
+#: Bits of the least and the largest bitmap of repeated keys (16 and 128 MB), and the keys that the largest takes.
+SLOTS, MOST_SLOTS = 27, 30
+BITMAP_KEYS = 1 << MOST_SLOTS >> 3
+#: Bytes of a block of a text, of texts that are cut together, shingles that are compared at once, rows of one shingle that are compared by pairs.
+_BLOCK, _TOGETHER = 1 << 19, 1 << 18
+_COMPARED, _DENSE = 1 << 20, 64
+#: Bytes of the shingles of a group that one task compares.
+GROUP = 1 << 21
+#: Parts of the keys, by their last bits; one part's keys are sorted at a time.
+PARTS = 1 << 10
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -79,14 +85,14 @@ def blocks(text: bytes) -> Iterator[bytes]:
 
 
 def laid(texts: Iterator[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Blocks of one or more texts, some ``_BLOCK`` bytes together, with the number of each one's text."""
+    """Blocks of one or more texts, some ``_TOGETHER`` bytes or one block, with the number of each one's text."""
     rows, held, size = [], [], 0
     for k, text in enumerate(texts):
         for block in blocks(text):
             rows.append(k)
             held.append(block)
             size += len(block)
-            if size >= _BLOCK:
+            if size >= _TOGETHER:
                 yield rows, held
                 rows, held, size = [], [], 0
     if held:
@@ -189,37 +195,206 @@ def _linked(least: float):
     return link
 
 
+def _sets(shingles: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and values of the distinct shingles of each row, in order."""
+    ends = np.frombuffer(shingles.buffers()[1], np.int32)[shingles.offset : shingles.offset + len(shingles) + 1] >> 2
+    values = np.frombuffer(shingles.buffers()[2], np.uint32, count=int(ends[-1]))[ends[0] :]
+    both = np.sort(np.repeat(np.arange(len(shingles), dtype=np.uint64) << np.uint64(32), np.diff(ends)) | values)
+    distinct = both[np.concatenate(([True], both[1:] != both[:-1]))[: len(both)]]
+    return (distinct >> np.uint64(32)).astype(np.int64), distinct & np.uint64(0xFFFFFFFF)
+
+
+def _needed(size: np.ndarray, least: float) -> np.ndarray:
+    """Shingles that a set of ``size`` shares with any set of a Jaccard of ``least`` or more."""
+    return np.ceil(least * size - 1e-6).astype(np.int64)
+
+
+def _ranked(rank: np.ndarray, row: np.ndarray, value: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Places of the first ``slots`` of each row by rank, then value."""
+    order = np.lexsort((value, rank, row))
+    begins = np.searchsorted(row[order], np.arange(len(slots)))
+    return order[np.arange(len(order)) - begins[row[order]] < slots[row[order]]]
+
+
+def _pairs(number: np.ndarray, row: np.ndarray, value: np.ndarray, size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Pairs of rows of a group that can have a Jaccard of ``least``, and rows of a group of which any may, too many for a list of pairs.
+
+    In any order of shingles, two such sets share one among the first of each, all but ``_needed`` less one. Rarest first, few share one.
+    """
+    need, alive = _needed(size, least), np.ones(len(size), bool)
+    for _ in range(2):  # what is left counts again: shingles are rarer without the rows that have no like
+        keep = alive[row]
+        row, value = row[keep], value[keep]
+        key = (number[row].astype(np.uint64) << np.uint64(32)) | value
+        order = np.argsort(key)
+        begins = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) > 0))[: len(key)])
+        many = np.empty(len(key), np.int64)
+        many[order] = np.repeat(np.diff(begins, append=len(key)), np.diff(begins, append=len(key)))
+        shared = np.bincount(row[many > 1], minlength=len(size))
+        alive &= shared >= need
+    keep = (many > 1) & alive[row]
+    row, key, many = row[keep], key[keep], many[keep]
+    first = _ranked(many, row, key, np.maximum(shared - need + 1, 0))
+    order = first[np.lexsort((row[first], key[first]))]
+    key, row = key[order], row[order]
+    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    length = np.diff(np.append(begins, len(key)))
+    many = np.flatnonzero(np.bincount(row[np.repeat(length > _DENSE, length)], minlength=len(size)))  # rows of such runs, once: copies share many
+    dense = [rows for rows in np.split(many, np.flatnonzero(np.diff(number[many])) + 1) if len(rows)]
+    left = np.repeat(np.where(length > _DENSE, 0, begins + length), length) - np.arange(len(key)) - 1  # others behind in its run
+    at, found = np.arange(len(key)), []
+    for d in range(1, _DENSE):
+        at = at[left[at] >= d]
+        if not len(at):
+            break
+        found.append(row[at] * len(size) + row[at + d])
+    met = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+    a, b = np.divmod(met[np.diff(met, prepend=-1) > 0], max(1, len(size)))
+    close = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])
+    return a[close], b[close], dense
+
+
+def _alike(a: np.ndarray, b: np.ndarray, value: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows have a Jaccard of ``least`` or more; ``value`` holds the sets one behind the other."""
+    start = np.cumsum(size) - size
+    out = np.zeros(len(a), bool)
+    cost = np.cumsum(size[a] + size[b])
+    cuts = np.searchsorted(cost, np.arange(_COMPARED, int(cost[-1]) + _COMPARED, _COMPARED)) + 1 if len(a) else np.zeros(0, np.int64)
+    for low, high in zip(np.concatenate(([0], cuts[:-1])), cuts, strict=False):
+        sides = []
+        for rows in (a[low:high], b[low:high]):
+            n = size[rows]
+            at = np.arange(int(n.sum())) + np.repeat(start[rows] - (np.cumsum(n) - n), n)
+            sides.append((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | value[at])
+        met = np.sort(np.concatenate(sides))
+        met = met[1:][met[1:] == met[:-1]]
+        both = np.bincount((met >> np.uint64(32)).astype(np.int64), minlength=len(a[low:high]))
+        out[low:high] = both >= least * (size[a[low:high]] + size[b[low:high]] - both)
+    return out
+
+
+def linked(least: float):
+    """Joins the sets of each group, of many at once, that have a Jaccard of ``least`` or more."""
+
+    def link(number: np.ndarray, shingles: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.append(np.flatnonzero(number[1:] != number[:-1]) + 1, len(number))
+        weight = np.frombuffer(shingles.buffers()[1], np.int32)[shingles.offset + ends].astype(np.int64) >> 2
+        last = np.concatenate((np.diff(weight // _COMPARED) > 0, [True]))  # groups after which rows are compared
+        us, vs, begin = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for end in ends[last].tolist():
+            part = shingles.slice(begin, end - begin)
+            row, value = _sets(part)
+            size = np.bincount(row, minlength=len(part))
+            a, b, dense = _pairs(number[begin:end] - number[begin], row, value, size, least)
+            like = _alike(a, b, value, size, least)
+            joined = [(a[like], b[like])]
+            for rows in dense:
+                edges = list(_linked(least)([part.take(pa.array(rows))]).edges())
+                joined.append(tuple(rows[list(side)] for side in zip(*edges, strict=True)) if edges else (rows[:0], rows[:0]))
+            u, v = trees(len(part), *(np.concatenate(side) for side in zip(*joined, strict=True)))
+            us.append(u + begin)
+            vs.append(v + begin)
+            begin = end
+        return np.concatenate(us), np.concatenate(vs)
+
+    return link
+
+
+def class_links(classes: DataFrame, least: float, most: int = GROUP) -> DataFrame:
+    """Edges between ``uid`` of classes that share a ``key`` and have a Jaccard of ``least`` or more.
+
+    In a task, pairs are found by the rarest shingles of a key's classes (``_pairs``), so a common phrase is no work by the square of its classes.
+    Classes of a key that is too large for a task, of more than ``most`` bytes, are dealt to tasks by the same rule: once for each of the
+    first of their shingles, rarest of the key first, of which two alike share one: no pair is lost. Where that is more work, as among copies,
+    they stay one group, of which all pairs of tiles meet.
+    """
+    common = written(heavy(classes, ["key"], "shingles", most).withColumnRenamed("_n", "n"), "common-keys")
+    plain = classes.join(F.broadcast(common), "key", "left_anti").withColumn("token", F.lit(0).cast("long"))
+    large = written(classes.join(F.broadcast(common.select("key")), "key"), "common")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, value = _sets(b.column(2)) if b.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            size, at = np.bincount(row, minlength=b.num_rows), pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(value.view(np.int64)), pa.array(_needed(size, least)[row])], names=["key", "uid", "token", "need"])
+
+    cut = large.select("key", "uid", "shingles").mapInArrow(tokens, "key long, uid long, token long, need long")
+    met = cut.join(cut.groupBy("key", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["key", "token"])
+    sets = met.groupBy("key", "uid").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("met"))
+    first = sets.filter(F.size("met") >= F.col("need")).select("key", "uid", F.explode(F.slice("met", F.lit(1), (F.size("met") - F.col("need") + 1).cast("int"))).alias("x"))
+    first = written(first.select("key", "uid", F.col("x.token").alias("token")), "first")
+    cost = first.groupBy("key", "token").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum(F.pow("n", F.lit(2))).alias("cost"))
+    worse = written(common.join(cost, "key").filter(F.col("cost") >= F.pow("n", F.lit(2))).select("key"), "worse")  # mostly copies, which share all
+    parts = first.join(F.broadcast(worse), "key", "left_anti").join(large, ["key", "uid"]).select("key", "uid", "shingles", "token")
+    whole = large.join(F.broadcast(worse), "key", "left_semi").withColumn("token", F.lit(0).cast("long"))
+    out = written(links_of_many_groups(plain.unionByName(parts).unionByName(whole), ["key", "token"], "uid", "shingles", linked(least), most), "links")
+    for done in (common, large, first, worse):
+        discard(done)
+    return out
+
+
 def repeated_keys(docs: DataFrame, text_col: str) -> DataFrame:
-    """The band keys that occur more than once, written."""
+    """The band keys that occur more than once, written. Keys are shuffled packed, by their last bits: a row for each task's share of a part, not for each key."""
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.concatenate([np.zeros(0, np.int64), *held])
+        order = np.argsort((keys & (PARTS - 1)).astype(np.uint16), kind="stable")
+        ends = np.cumsum(np.bincount(keys & (PARTS - 1), minlength=PARTS))
+        rows = pa.Array.from_buffers(pa.binary(), PARTS, [None, pa.py_buffer((np.append(0, ends) * 8).astype(np.int32)), pa.py_buffer(keys[order])])
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS), pa.int32()), rows], names=["part", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for _, texts in laid(byte_values(b.column(0))):
+                held += [u["keys"].ravel() for u in units(texts)[1:]]
+                n += sum(map(len, held[-2:]))
+                if n >= _COMPARED:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups(batches, ["part"]):
+            keys = np.sort(np.frombuffer(b"".join(byte_values(part.column(1))), np.int64))
+            again = keys[1:][keys[1:] == keys[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(again[np.diff(again, prepend=again[:1] - 1) != 0] if len(again) else again)], names=["key"])
+
+    rows = docs.select(utf8(text_col).alias("bytes")).mapInArrow(run, "part int, keys binary")
+    return written(rows.repartition("part").sortWithinPartitions("part").mapInArrow(repeated, "key long"), "keys")
+
+
+def bitmap_of(keys: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """A bit for the last ``slots`` bits of each key. Tasks set the bits; each part, of 2**16 bits, comes as 8 kB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for b in batches:
-            for _, held in laid(byte_values(b.column(0))):
-                found = [u["keys"].ravel() for u in units(held)[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["key"])
-
-    counted = docs.select(utf8(text_col).alias("bytes")).mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return written(counted.filter("n > 1").select("key"), "keys")
-
-
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """A bit for the last SLOTS bits of each key."""
-    slot = keys.select(F.col("key").bitwiseAND((1 << SLOTS) - 1).alias("slot")).distinct()
-    parts = slot.groupBy(F.shiftright("slot", 16).cast("int").alias("part")).agg(F.collect_list(F.col("slot").bitwiseAND(0xFFFF).cast("int")).alias("bits"))
-    bitmap = np.zeros(1 << SLOTS >> 3, np.uint8)
-    for row in parts.toLocalIterator():  # at most 2**11 parts of at most 2**16 bits
-        slots = np.array(row.bits, np.int64) + (row.part << 16)
-        np.bitwise_or.at(bitmap, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+            slot = np.sort(b.column(0).to_numpy())
+            cuts = np.flatnonzero(np.diff(slot >> 16)) + 1
+            for of in np.split(slot, cuts) if len(slot) else []:
+                bits = held.setdefault(int(of[0] >> 16), np.zeros(1 << 13, np.uint8))
+                np.bitwise_or.at(bits, (of & 0xFFFF) >> 3, (1 << (of & 7)).astype(np.uint8))
+        for part, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([bits.tobytes()])], names=["part", "bits"])
+
+    slot = keys.select(F.col("key").bitwiseAND((1 << slots) - 1).alias("slot"))
+    parts = slot.repartition(F.shiftright("slot", 16)).mapInArrow(run, "part long, bits binary")
+    bitmap = np.zeros(1 << slots >> 3, np.uint8)
+    for row in parts.toLocalIterator():  # at most 2**14 parts
+        bitmap[row.part << 13 : row.part + 1 << 13] = np.frombuffer(row.bits, np.uint8)
     return bitmap
 
 
 def candidates(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, bitmap_keys: int = BITMAP_KEYS) -> DataFrame:
     """Units with one of ``keys``: id, words ``first`` to ``last``, bounds, class ``uid``, ``keys``, ``shingles``. Written."""
-    few = keys.count() <= bitmap_keys
-    held = docs.sparkSession.sparkContext.broadcast(bitmap_of(keys) if few else None)
+    n_keys = keys.count()
+    few, slots_of = n_keys <= bitmap_keys, min(MOST_SLOTS, max(SLOTS, (8 * n_keys - 1).bit_length()))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap_of(keys, slots_of) if few else None)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc {kind}, row long, first long, last long, by_left boolean, by_right boolean, uid long, keys array<long>, shingles binary"
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
@@ -233,11 +408,16 @@ def candidates(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, bit
                 lead = before[row] + np.where(same, done - done[np.maximum.accumulate(np.where(same, 0, np.arange(len(row))))], 0)
                 np.add.at(before, row, counted["base"])
                 for u in found:
-                    slots = u["keys"] & ((1 << SLOTS) - 1)
+                    slots = u["keys"] & ((1 << slots_of) - 1)
                     hit = np.flatnonzero(((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).any(axis=0)) if bits is not None else np.arange(len(u["uid"]))
                     at = u["text"][hit]
-                    columns = [u["first"][hit] + lead[at], u["last"][hit] + lead[at], u["left"][hit], u["right"][hit], u["uid"][hit], u["keys"].T[hit].tolist(), [u["shingles"][o : o + c].tobytes() for o, c in zip(u["offsets"][hit].tolist(), u["count"][hit].tolist(), strict=True)]]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), b.column(1).take(pa.array(row[at])), *map(pa.array, columns, types)], names=["doc", "row", "first", "last", "by_left", "by_right", "uid", "keys", "shingles"])
+                    n = u["count"][hit]
+                    ends = np.concatenate(([0], np.cumsum(n)))
+                    shingles = u["shingles"][np.arange(int(ends[-1])) + np.repeat(u["offsets"][hit] - ends[:-1], n)]
+                    packed = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(shingles)])
+                    bands = pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1) * len(u["keys"]), pa.int32()), pa.array(u["keys"].T[hit].ravel()))
+                    columns = [u["first"][hit] + lead[at], u["last"][hit] + lead[at], u["left"][hit], u["right"][hit], u["uid"][hit]]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), b.column(1).take(pa.array(row[at])), *map(pa.array, columns, types), bands, packed], names=["doc", "row", "first", "last", "by_left", "by_right", "uid", "keys", "shingles"])
 
     row = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))  # rows without an id are told apart
     found = docs.select(F.col(id_col), row.alias("row"), utf8(text_col).alias("bytes")).mapInArrow(run, schema)
@@ -258,13 +438,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jac
     met = written(pairs.join(many_classes, "key", "left_semi").select("key", "uid"), "met")
     shapes = found.select("uid", "shingles").join(met.select("uid").distinct(), "uid", "left_semi").dropDuplicates(["uid"])
     classes = written(met.join(shapes, "uid").select("key", "uid", "shingles"), "classes")
-    linked = components(links_in_groups(classes, ["key"], "uid", ["shingles"], _linked(jaccard)))
+    links = class_links(classes, jaccard)
     discard(met)
     discard(classes)
-    rows = found.drop("keys", "shingles").join(linked.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    joined = components(links)
+    discard(links)
+    rows = found.drop("keys", "shingles").join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     rows = written(rows, "labelled")
     discard(found)
-    discard(linked)
+    discard(joined)
     own = F.struct(F.col("doc").isNull().alias("none"), "doc", "row")  # rows without an id come last, each a document
     place = F.struct(own.alias("own"), "first")
     many = rows.groupBy("label").agg(F.min(own).alias("least"), F.max(own).alias("other"), F.min(place).alias("kept"), F.min("doc").alias("component_id"))
